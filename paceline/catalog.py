@@ -10,7 +10,11 @@ from pyspark.sql import types as T
 
 from paceline.functions.columns import window_floor
 from paceline.model import ACTIVITY, FEATURE_KEYS, MEASURES
-from paceline.operators import cleaning, eda, events, features, master, matrix, profile, rollup
+from paceline.operators import (
+    cleaning, cluster, eda, events, features, interpret, master, matrix, neighbours, profile, rollup, scores,
+)
+from paceline.plans import slices
+from paceline.session import cut
 from paceline.sources import warehouse as wh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +47,11 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def staged(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly features as a written table, for operators that pass over them several times."""
+    return cut(weekly(spark, sf))
+
+
 def daily_weekly(spark: SparkSession, sf: str) -> DataFrame:
     """Branch B: weekly features of the rolled-up days; one segment has no event coverage."""
     days = rollup.rollup_daily(hourly(spark, sf), by=SOURCE).drop("n_source_rows", "anomaly_hours")
@@ -369,12 +378,12 @@ def system_feature_means(spark, sf):
 
 @query
 def histogram(spark, sf):
-    return rounded(eda.histogram(weekly(spark, sf)))
+    return rounded(eda.histogram(staged(spark, sf)))
 
 
 @query
 def boxplot_stats(spark, sf):
-    return rounded(eda.boxplot_stats(weekly(spark, sf)))
+    return rounded(eda.boxplot_stats(staged(spark, sf)))
 
 
 @query
@@ -392,20 +401,244 @@ def group_centroids(spark, sf):
 
 @query
 def impute_median(spark, sf):
-    f = weekly(spark, sf)
+    f = staged(spark, sf)
     cols = matrix.feature_columns(f, "absolute")
     return rounded(matrix.impute_median(f, cols).select(*FEATURE_KEYS, *[f"{m}_std" for m in MEASURES], "ruminate_cv"))
 
 
 @query
 def standardize(spark, sf):
-    f = weekly(spark, sf)
+    f = staged(spark, sf)
     cols = matrix.feature_columns(f, "absolute_no_count")
     return rounded(matrix.standardize(f, cols).select(*FEATURE_KEYS, *[f"{a}_mean" for a in ACTIVITY], "walk_cv"))
 
 
 @query
 def eta_squared(spark, sf):
-    f = weekly(spark, sf)
+    f = staged(spark, sf)
     out = [matrix.eta_squared(f, v, g) for v in ("eat_mean", "steps_mean") for g in ("system", "dataset")]
     return rounded(master.union_features(out))
+
+
+def _ratio_matrix(spark, sf):
+    """Scaled behaviour ratios of every entity-week, keyed, and their names."""
+    points, names = slices.feature_matrix(slices.keyed(staged(spark, sf)), "ratios")
+    return cut(points), names
+
+
+@query
+def pca_projection(spark, sf):
+    points, names = _ratio_matrix(spark, sf)
+    return rounded(matrix.pca(points, names).projection.select(*FEATURE_KEYS, "pc1", "pc2"), 4)
+
+
+@query
+def pca_loadings(spark, sf):
+    points, names = _ratio_matrix(spark, sf)
+    return rounded(matrix.pca(points, names).loadings, 4)
+
+
+@query
+def pca_variance(spark, sf):
+    points, names = _ratio_matrix(spark, sf)
+    explained = matrix.pca(points, names).explained
+    table = spark.createDataFrame([(i + 1, v) for i, v in enumerate(explained)], "component int, explained double")
+    return rounded(eda.cumulative_variance(table), 5)
+
+
+@query
+def top_loadings(spark, sf):
+    """The two strongest ratios of the first component, as base variables with their sign."""
+    points, names = _ratio_matrix(spark, sf)
+    top = matrix.top_loadings(matrix.pca(points, names).loadings, 1, 2)
+    summary = interpret.loading_summary(top)
+    return rounded(summary.withColumn("base_variables", F.array_join("base_variables", ",")), 4)
+
+
+@query
+def eta_verdict(spark, sf):
+    f = staged(spark, sf)
+    parts = []
+    for m in MEASURES:
+        for part, name in ((f, "all"), (f.where("system = 'extensive'"), "extensive")):
+            etas = {g: matrix.eta_squared(part, f"{m}_mean", g).select("eta_squared").scalar() for g in SOURCE}
+            parts.append(profile.branch_summary(part).withColumns({
+                "part": F.lit(name), "measure": F.lit(m), "eta_system": etas["system"], "eta_dataset": etas["dataset"],
+            }))
+    return rounded(interpret.eta_verdict(master.union_features(parts)).drop("only_system"))
+
+
+# --- neighbours, clustering, scores -------------------------------------------
+
+
+@query
+def knn_distance(spark, sf):
+    return rounded(neighbours.knn_distance(wh.matrix(spark, sf), 5))
+
+
+@query
+def eps_percentiles(spark, sf):
+    points = cut(wh.matrix(spark, sf).select("id", "features"))
+    rows = [
+        (m, p, eps) for m in (5, 10) for p, eps in neighbours.eps_percentiles(neighbours.knn_distance(points, m))
+    ]
+    return rounded(spark.createDataFrame(rows, "min_samples int, percentile int, eps double"))
+
+
+@query
+def dbscan(spark, sf):
+    """Embeddings, eps at the 75th percentile of the 5th neighbour distance."""
+    points = cut(wh.matrix(spark, sf).select("id", "features"))
+    eps = neighbours.eps_percentiles(neighbours.knn_distance(points, 5), [75])[0][1]
+    return neighbours.dbscan(points, eps, 5)
+
+
+@query
+def dbscan_activity(spark, sf):
+    """Density clusters of the scaled behaviour ratios of all entity-weeks."""
+    points, _ = _ratio_matrix(spark, sf)
+    eps = neighbours.eps_percentiles(neighbours.knn_distance(points, 5), [90])[0][1]
+    found = neighbours.dbscan(points, eps, 5)
+    return points.select("id", *FEATURE_KEYS).join(found, "id").drop("id")
+
+
+def _labelled(spark, sf):
+    """Embeddings under four given partitions; the last one leaves some rows out as noise."""
+    m, label = wh.matrix(spark, sf), F.col("label").cast("int")
+    return cut(m.select("id", "features", F.array(label, label % 2, label % 3, label - 1).alias("labels")))
+
+
+@query
+def silhouette(spark, sf):
+    samples = scores.silhouette_samples(_labelled(spark, sf))
+    return rounded(samples.groupBy("config", "cluster").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette")))
+
+
+@query
+def silhouette_squared(spark, sf):
+    return rounded(scores.silhouette_squared(_labelled(spark, sf)))
+
+
+@query
+def davies_bouldin(spark, sf):
+    return rounded(scores.davies_bouldin(_labelled(spark, sf)))
+
+
+@query
+def calinski_harabasz(spark, sf):
+    return rounded(scores.calinski_harabasz(_labelled(spark, sf)))
+
+
+def _given_metrics(spark, sf):
+    labelled = _labelled(spark, sf)
+    sizes = scores.cluster_sizes(labelled).groupBy("config").agg(F.count("*").alias("n_clusters"), F.sum("size").alias("kept"))
+    total = labelled.agg(F.count("*").alias("n")).scalar()
+    return scores.score_all(labelled).join(sizes, "config").select(
+        F.lit("dbscan").alias("algorithm"), F.concat(F.lit("given "), F.col("config").cast("string")).alias("params"), "n_clusters",
+        (total - F.col("kept")).alias("n_noise"), "silhouette", "davies_bouldin", "calinski_harabasz", total.alias("n_rows"),
+    )
+
+
+@query
+def best_config(spark, sf):
+    return rounded(cluster.best_config(_given_metrics(spark, sf)))
+
+
+@query
+def degenerate_flag(spark, sf):
+    flagged = interpret.degenerate_flag(_given_metrics(spark, sf), F.col("n_rows"), max_clusters=9, max_noise=0.05)
+    return flagged.select("params", "n_clusters", "n_noise", "degenerate")
+
+
+@query
+def kmeans_grid(spark, sf):
+    """Cost and sizes of seeded k-means on the embeddings."""
+    points = cut(wh.matrix(spark, sf).select("id", "features"))
+    parts = []
+    for k in (2, 3):
+        model, cost = cluster.kmeans_model(points, k, restarts=3)
+        found = model.transform(cluster._vectors(points)).groupBy("cluster").agg(F.count("*").alias("n"))
+        parts.append(found.withColumns({"k": F.lit(k), "cost": F.lit(float(cost))}))
+    return rounded(master.union_features(parts))
+
+
+def _pca_points(spark, sf):
+    points, names = _ratio_matrix(spark, sf)
+    return cut(matrix.pca(points, names).projection.select("id", *FEATURE_KEYS, F.array("pc1", "pc2").alias("features")))
+
+
+@query
+def gmm_grid(spark, sf):
+    """Mixtures of the entity-weeks in PCA space."""
+    points = _pca_points(spark, sf)
+    parts = [cluster.gmm(points, k).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)) for k in (2, 3)]
+    return master.union_features(parts)
+
+
+@query
+def hierarchical_grid(spark, sf):
+    """Ward clusters of the embeddings for several k from one agglomeration."""
+    points = cut(wh.matrix(spark, sf).select("id", "features"))
+    grid = cluster.ward_grid(points, (2, 3, 4, 5, 6))
+    parts = [labels.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)) for k, labels in grid.items()]
+    return master.union_features(parts)
+
+
+@query
+def evaluate_grid(spark, sf):
+    """All four algorithms on the entity-weeks in PCA space, scored together."""
+    grid = cluster.evaluate_grid(
+        _pca_points(spark, sf).select("id", "features"), ks=(2, 3), restarts=2, min_samples=(5,), percentiles=(90,)
+    )
+    return rounded(grid.metrics)
+
+
+# --- interpretation -----------------------------------------------------------
+
+
+def _dominant(spark, sf):
+    """Entity-weeks with their strongest behaviour as a given cluster, -1 where nothing was recorded."""
+    ratios = F.array(*[F.col(f"ratio_{a}") for a in ACTIVITY])
+    top = F.array_position(ratios, F.array_max(ratios)) - 1
+    return weekly(spark, sf).select(*FEATURE_KEYS, F.coalesce(top, F.lit(-1)).cast("int").alias("cluster"))
+
+
+@query
+def contingency(spark, sf):
+    long = interpret.contingency(_dominant(spark, sf), "system")
+    return interpret.contingency_wide(long, ["extensive", "intensive"])
+
+
+@query
+def entity_purity(spark, sf):
+    return rounded(interpret.entity_purity(_dominant(spark, sf)))
+
+
+@query
+def mean_purity(spark, sf):
+    return rounded(interpret.mean_purity(interpret.entity_purity(_dominant(spark, sf))))
+
+
+@query
+def relation_strength(spark, sf):
+    """Dominant behaviour against system, dataset and calendar week."""
+    d = _dominant(spark, sf).withColumn("week", F.col("window_start").cast("string"))
+    parts = []
+    for category in ("system", "dataset", "week"):
+        rel = interpret.relation_strength(interpret.contingency(d, category))
+        reading = interpret.interpretation(F.col("relation"), F.col("min_share"))
+        parts.append(rel.withColumns({"category": F.lit(category), "reading": reading}))
+    return rounded(master.union_features(parts))
+
+
+@query
+def global_summary(spark, sf):
+    """Best PCA-space configuration of two feature sets with its relation to system and dataset."""
+    f = staged(spark, sf)
+    bests = [
+        slices.analyze_slice(
+            f, "hourly", kind, spaces=["pca"], algorithms=("kmeans", "agglomerative"), ks=(2, 3), restarts=2
+        )[1]
+        for kind in ("ratios", "absolute_no_count")
+    ]
+    return slices.global_summary(master.union_features(bests))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from paceline.model import ACTIVITY, MEASURES, STATISTICS
 
 KEY_FEATURES = [f"{m}_mean" for m in MEASURES] + [f"ratio_{a}" for a in ACTIVITY]
@@ -115,15 +117,14 @@ def sql(body: str, *extra: tuple[str, str]) -> str:
     """``body`` with the shared CTEs it needs, dependencies first."""
     pool = {**CTES, **dict(extra)}
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
-        import re
-
         for name in pool:
-            if name not in order and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+            if name not in seen and re.search(rf"(\bFROM|\bJOIN|,)\s+{name}\b", text):
+                seen.add(name)
                 visit(pool[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(body)
     if not order:
@@ -336,3 +337,166 @@ SQL["eta_squared"] = sql(" UNION ALL ".join(
     FROM (SELECT {g}, count({v}) AS n, avg({v}) AS mu FROM weekly GROUP BY 1),
       (SELECT avg({v}) AS gm, var_pop({v}) * count({v}) AS st FROM weekly)"""
     for v in ("eat_mean", "steps_mean") for g in ("system", "dataset")))
+
+
+# --- PCA by power iteration on the correlation matrix of the imputed ratios ---------
+_RATIOS = [f"ratio_{a}" for a in ACTIVITY]
+_N = len(_RATIOS)
+_UNIT = "list_transform({0}, lambda z: z / sqrt(list_dot_product({0}, {0})))"
+_PCA = (
+    ("rat", "SELECT dataset, system, entity_id, window_start, "
+     + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM weekly)) AS {c}" for c in _RATIOS) + " FROM weekly"),
+    ("zs", "SELECT dataset, system, entity_id, window_start, ["
+     + ", ".join(f"({c} - (SELECT avg({c}) FROM rat)) / (SELECT stddev_pop({c}) FROM rat)" for c in _RATIOS) + "] AS z FROM rat"),
+    ("cm", "SELECT [" + ", ".join("[" + ", ".join(f"corr({a}, {b})" for b in _RATIOS) + "]" for a in _RATIOS) + "] AS c FROM rat"),
+    ("it1", "SELECT 0 AS i, [0.9, 0.1, -0.4, 0.3, -0.7]::DOUBLE[] AS v UNION ALL SELECT i + 1, "
+     + _UNIT.format("list_transform(c, lambda r: list_dot_product(r, v))") + " FROM it1, cm WHERE i < 2000"),
+    ("e1", "SELECT v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM it1, cm WHERE i = 2000"),
+    ("cm2", f"SELECT list_transform(range(1, {_N + 1}), lambda a: list_transform(range(1, {_N + 1}), "
+     "lambda b: c[a][b] - l * v[a] * v[b])) AS c FROM cm, e1"),
+    ("it2", "SELECT 0 AS i, [0.2, 0.8, -0.1, -0.6, 0.5]::DOUBLE[] AS v UNION ALL SELECT i + 1, "
+     + _UNIT.format("list_transform(c, lambda r: list_dot_product(r, v))") + " FROM it2, cm2 WHERE i < 2000"),
+    ("e2", "SELECT v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM it2, cm2 WHERE i = 2000"),
+    ("axes", "SELECT list_transform(a.v, lambda x: x * CASE WHEN list_max(a.v) >= -list_min(a.v) THEN 1 ELSE -1 END) AS w1, "
+     "list_transform(b.v, lambda x: x * CASE WHEN list_max(b.v) >= -list_min(b.v) THEN 1 ELSE -1 END) AS w2, "
+     "a.l AS l1, b.l AS l2 FROM e1 a, e2 b"),
+)
+_NAMES = ", ".join(f"'{c}'" for c in _RATIOS)
+SQL["pca_projection"] = sql("""
+  SELECT dataset, system, entity_id, window_start, round(list_dot_product(z, w1), 4) + 0.0 AS pc1,
+    round(list_dot_product(z, w2), 4) + 0.0 AS pc2 FROM zs, axes""", *_PCA)
+SQL["pca_loadings"] = sql(f"""
+  SELECT variable, round(a, 4) + 0.0 AS pc1, round(b, 4) + 0.0 AS pc2, round(abs(a), 4) AS abs_pc1, round(abs(b), 4) AS abs_pc2
+  FROM (SELECT unnest([{_NAMES}]) AS variable, unnest(w1) AS a, unnest(w2) AS b FROM axes)""", *_PCA)
+SQL["pca_variance"] = sql(f"""
+  SELECT 1 AS component, round(l1 / {_N}, 5) AS explained, round(l1 / {_N}, 5) AS cumulative FROM axes UNION ALL
+  SELECT 2, round(l2 / {_N}, 5), round((l1 + l2) / {_N}, 5) FROM axes""", *_PCA)
+SQL["top_loadings"] = sql(f"""
+  SELECT string_agg(replace(variable, 'ratio_', ''), ',' ORDER BY abs(a) DESC) AS base_variables,
+    arg_max(variable, abs(a)) AS top_variable, round(arg_max(a, abs(a)), 4) AS top_loading,
+    CASE WHEN arg_max(a, abs(a)) > 0 THEN 'positive' ELSE 'negative' END AS sign FROM (
+    SELECT * FROM (SELECT unnest([{_NAMES}]) AS variable, unnest(w1) AS a FROM axes) ORDER BY abs(a) DESC LIMIT 2)""", *_PCA)
+
+
+def _eta(v: str, g: str, where: str) -> str:
+    return f"""(SELECT sum(n * (mu - gm) * (mu - gm)) / any_value(st) FROM
+      (SELECT {g}, count({v}) AS n, avg({v}) AS mu FROM weekly WHERE {where} GROUP BY 1),
+      (SELECT avg({v}) AS gm, var_pop({v}) * count({v}) AS st FROM weekly WHERE {where}))"""
+
+
+SQL["eta_verdict"] = sql(
+    """SELECT n_rows, n_systems, part, measure, round(es, 6) + 0.0 AS eta_system, round(ed, 6) + 0.0 AS eta_dataset,
+    CASE WHEN n_systems < 2 THEN CASE WHEN ed < 0.15 THEN 'not comparable, low' ELSE 'not comparable, notable' END
+      WHEN ed > es + 0.1 THEN 'dataset-driven' WHEN es > ed + 0.1 THEN 'system-driven' ELSE 'confounded' END AS verdict FROM ("""
+    + " UNION ALL ".join(
+        f"""SELECT count(*) AS n_rows, count(DISTINCT system) AS n_systems, '{p}' AS part, '{m}' AS measure,
+        {_eta(f'{m}_mean', 'system', w)} AS es, {_eta(f'{m}_mean', 'dataset', w)} AS ed FROM weekly WHERE {w}"""
+        for m in MEASURES for p, w in (("all", "true"), ("extensive", "system = 'extensive'"))
+    ) + ")")
+
+# --- neighbours, clusters and scores over all pairs (small tables only) -----------
+_VEC = ("vec", "SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings")
+_RAT_VEC = ("vec", "SELECT concat_ws('|', dataset, system, entity_id, strftime(window_start, '%Y-%m-%d %H:%M:%S')) AS id, z AS e FROM zs")
+_PAIRS = ("pairs", "SELECT a.id AS a, b.id AS b, list_distance(a.e, b.e) AS d FROM vec a, vec b")
+
+
+def _kth(k: int) -> tuple[str, str]:
+    return f"k{k}", f"SELECT a AS id, d AS distance FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = {k}"
+
+
+def _density(p: float, min_samples: int) -> tuple[tuple[str, str], ...]:
+    return (
+        _PAIRS, _kth(min_samples),
+        ("near", f"SELECT a, b FROM pairs WHERE d <= (SELECT quantile_cont(distance, {p}) FROM k{min_samples})"),
+        ("core", f"SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {min_samples}"),
+        ("links", "SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)"),
+        ("reach", "SELECT id, id AS root FROM core UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id"),
+        ("cored", "SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT id, min(root) AS root FROM reach GROUP BY id)"),
+        ("placed", "SELECT id, cluster FROM cored UNION ALL SELECT a, min(cluster) FROM near JOIN cored ON cored.id = near.b "
+         "WHERE a NOT IN (SELECT id FROM core) GROUP BY a"),
+    )
+
+
+SQL["knn_distance"] = sql(f"SELECT id, {r('distance')} FROM k5", _VEC, _PAIRS, _kth(5))
+SQL["eps_percentiles"] = sql(
+    " UNION ALL ".join(
+        f"SELECT {k} AS min_samples, {p} AS percentile, {r(f'quantile_cont(distance, {p / 100})', 'eps')} FROM k{k}"
+        for k in (5, 10) for p in (50, 75, 90)
+    ), _VEC, _PAIRS, _kth(5), _kth(10))
+SQL["dbscan"] = sql(
+    "SELECT id, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM vec LEFT JOIN placed USING (id)", _VEC, *_density(0.75, 5))
+SQL["dbscan_activity"] = sql("""
+  SELECT dataset, system, entity_id, window_start, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM zs
+  LEFT JOIN placed ON placed.id = concat_ws('|', dataset, system, entity_id, strftime(window_start, '%Y-%m-%d %H:%M:%S'))""",
+    _RAT_VEC, *_PCA[:2], *_density(0.90, 5))
+
+_LABELLED = ("labelled", "SELECT id, e, config, cluster FROM (SELECT id, e, unnest([0, 1, 2, 3]) AS config, "
+             "unnest([label, label % 2, label % 3, label - 1]) AS cluster FROM vec) WHERE cluster >= 0")
+
+
+def _sil(power: str) -> tuple[tuple[str, str], ...]:
+    return (
+        ("to_clusters", f"""SELECT p.config, p.id, p.cluster AS own, q.cluster, count(*) AS size, sum({power}) AS total
+          FROM labelled p JOIN labelled q ON p.config = q.config JOIN pairs ON pairs.a = p.id AND pairs.b = q.id GROUP BY ALL"""),
+        ("ab", """SELECT config, id, own AS cluster, max(size) FILTER (WHERE own = cluster) AS size,
+          max(total / (size - 1)) FILTER (WHERE own = cluster AND size > 1) AS a, min(total / size) FILTER (WHERE own <> cluster) AS b
+          FROM to_clusters GROUP BY ALL"""),
+        ("sil", "SELECT config, id, cluster, CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab WHERE b IS NOT NULL"),
+    )
+
+
+SQL["silhouette"] = sql(
+    f"SELECT CAST(config AS INT) AS config, CAST(cluster AS INT) AS cluster, count(*) AS n, {r('avg(s)', 'silhouette')} FROM sil GROUP BY config, cluster",
+    _VEC, _PAIRS, _LABELLED, *_sil("d"))
+SQL["silhouette_squared"] = sql(
+    f"SELECT CAST(config AS INT) AS config, {r('avg(s)', 'silhouette_squared')} FROM sil GROUP BY config",
+    _VEC, _PAIRS, _LABELLED, *_sil("d * d"))
+_CENTRES = (
+    ("cells", "SELECT config, cluster, id, unnest(range(64)) AS dim, unnest(e) AS x FROM labelled"),
+    ("centre", "SELECT config, cluster, dim, avg(x) AS m, var_pop(x) * count(*) AS ss, count(*) AS n FROM cells GROUP BY ALL"),
+    ("centre_list", "SELECT config, cluster, list(m ORDER BY dim) AS m, max(n) AS n FROM centre GROUP BY ALL"),
+    ("spread", """SELECT config, cluster, m, avg(list_distance(e, m)) AS s FROM labelled JOIN centre_list USING (config, cluster)
+      GROUP BY ALL"""),
+    ("db", """SELECT config, avg(w) AS davies_bouldin FROM (SELECT a.config, a.cluster, max((a.s + b.s) / list_distance(a.m, b.m)) AS w
+      FROM spread a JOIN spread b ON a.config = b.config AND a.cluster <> b.cluster GROUP BY ALL) GROUP BY config"""),
+    ("grand", "SELECT config, dim, avg(x) AS g FROM cells GROUP BY ALL"),
+    ("ch", """SELECT config, sum(n * (m - g) * (m - g)) * (max(rows) - max(k)) / (sum(ss) * (max(k) - 1)) AS calinski_harabasz
+      FROM centre JOIN grand USING (config, dim) JOIN (SELECT config, count(*) AS rows, count(DISTINCT cluster) AS k FROM labelled GROUP BY ALL)
+      USING (config) GROUP BY config"""),
+)
+SQL["davies_bouldin"] = sql(
+    f"SELECT CAST(config AS INT) AS config, {r('davies_bouldin')} FROM db", _VEC, _LABELLED, *_CENTRES)
+SQL["calinski_harabasz"] = sql(
+    f"SELECT CAST(config AS INT) AS config, {r('calinski_harabasz')} FROM ch", _VEC, _LABELLED, *_CENTRES)
+_GIVEN = ("given", """SELECT config, count(DISTINCT cluster) AS n_clusters, (SELECT count(*) FROM vec) - count(*) AS n_noise,
+  (SELECT count(*) FROM vec) AS n_rows FROM labelled GROUP BY config""")
+SQL["best_config"] = sql(f"""
+  SELECT 'dbscan' AS algorithm, 'given ' || config AS params, n_clusters, n_noise, {rs('silhouette', 'davies_bouldin', 'calinski_harabasz')}, n_rows
+  FROM given JOIN (SELECT config, avg(s) AS silhouette FROM sil GROUP BY config) USING (config) JOIN db USING (config) JOIN ch USING (config)
+  ORDER BY silhouette DESC LIMIT 1""", _VEC, _PAIRS, _LABELLED, *_sil("d"), *_CENTRES, _GIVEN)
+SQL["degenerate_flag"] = sql("""
+  SELECT 'given ' || config AS params, n_clusters, n_noise, n_clusters > 9 OR n_noise / n_rows::DOUBLE > 0.05 AS degenerate FROM given""",
+    _VEC, _LABELLED, _GIVEN)
+
+# --- interpretation ---------------------------------------------------------------
+_RLIST = "[" + ", ".join(_RATIOS) + "]"
+_DOM = ("dom", f"""SELECT dataset, system, entity_id, window_start, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS week,
+  CAST(CASE WHEN ratio_eat IS NULL THEN -1 ELSE list_position({_RLIST}, list_max({_RLIST})) - 1 END AS INT) AS cluster FROM weekly""")
+SQL["contingency"] = sql("""
+  SELECT cluster, count(*) FILTER (WHERE system = 'extensive') AS extensive, count(*) FILTER (WHERE system = 'intensive') AS intensive
+  FROM dom GROUP BY cluster""", _DOM)
+_PURE = ("pure", """SELECT entity_id, arg_max(cluster, n * 100 - cluster) AS dominant_cluster, max(n) / sum(n) AS purity,
+  CAST(sum(n) AS BIGINT) AS n_windows FROM (SELECT entity_id, cluster, count(*) AS n FROM dom GROUP BY ALL) GROUP BY entity_id""")
+SQL["entity_purity"] = sql(f"SELECT entity_id, dominant_cluster, {r('purity')}, n_windows FROM pure", _DOM, _PURE)
+SQL["mean_purity"] = sql(f"SELECT {r('avg(purity)', 'mean_purity')} FROM pure", _DOM, _PURE)
+SQL["relation_strength"] = sql(
+    """SELECT n_categories, category, relation, CASE WHEN n_categories > 1 THEN round(s, 6) END AS min_share,
+    CASE WHEN relation = 'not evaluable' THEN 'system constant' WHEN s > 0.85 THEN 'consistent with system'
+      WHEN s > 0.65 THEN 'partly consistent with system' ELSE 'not attributable to system' END AS reading FROM (
+    SELECT *, CASE WHEN n_categories <= 1 THEN 'not evaluable' WHEN s > 0.85 THEN 'strong' WHEN s > 0.65 THEN 'moderate' ELSE 'none' END AS relation
+    FROM ("""
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS category, count(*) AS n_categories, min(top / total) AS s FROM
+        (SELECT {c}, sum(n) AS total, max(n) AS top FROM (SELECT {c}, cluster, count(*) AS n FROM dom GROUP BY ALL) GROUP BY {c})"""
+        for c in ("system", "dataset", "week")
+    ) + "))", _DOM)
