@@ -372,10 +372,10 @@ SQL["pca_variance"] = sql(f"""
   SELECT 1 AS component, round(l1 / {_N}, 5) AS explained, round(l1 / {_N}, 5) AS cumulative FROM axes UNION ALL
   SELECT 2, round(l2 / {_N}, 5), round((l1 + l2) / {_N}, 5) FROM axes""", *_PCA)
 SQL["top_loadings"] = sql(f"""
-  SELECT string_agg(replace(variable, 'ratio_', ''), ',' ORDER BY abs(a) DESC) AS base_variables,
-    arg_max(variable, abs(a)) AS top_variable, round(arg_max(a, abs(a)), 4) AS top_loading,
-    CASE WHEN arg_max(a, abs(a)) > 0 THEN 'positive' ELSE 'negative' END AS sign FROM (
-    SELECT * FROM (SELECT unnest([{_NAMES}]) AS variable, unnest(w1) AS a FROM axes) ORDER BY abs(a) DESC LIMIT 2)""", *_PCA)
+  SELECT string_agg(replace(variable, 'ratio_', ''), ',' ORDER BY k) AS base_variables, max(variable) FILTER (WHERE k = 1) AS top_variable,
+    round(max(a) FILTER (WHERE k = 1), 4) AS top_loading, CASE WHEN max(a) FILTER (WHERE k = 1) > 0 THEN 'positive' ELSE 'negative' END AS sign
+  FROM (SELECT variable, a, row_number() OVER (ORDER BY abs(a) DESC) AS k
+    FROM (SELECT unnest([{_NAMES}]) AS variable, unnest(w1) AS a FROM axes)) WHERE k <= 2""", *_PCA)
 
 
 def _eta(v: str, g: str, where: str) -> str:

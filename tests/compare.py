@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -75,7 +76,10 @@ def main() -> int:
             spent = time.time() - t
             if name in oracle:
                 u = time.time()
+                stop = threading.Timer(60, con.interrupt)
+                stop.start()
                 want = con.execute(oracle[name]).df()
+                stop.cancel()
                 why = difference(got, want)
                 state = "ok" if why is None else f"FAIL {why}"
                 dt = f" sql {time.time() - u:.2f}s"
