@@ -416,7 +416,7 @@ def standardize(spark, sf):
 @query
 def eta_squared(spark, sf):
     f = staged(spark, sf)
-    out = [matrix.eta_squared(f, v, g) for v in ("eat_mean", "steps_mean") for g in ("system", "dataset")]
+    out = [matrix.eta_squared(f, ("eat_mean", "steps_mean"), g) for g in SOURCE]
     return rounded(master.union_features(out))
 
 
@@ -459,13 +459,16 @@ def top_loadings(spark, sf):
 def eta_verdict(spark, sf):
     f = staged(spark, sf)
     parts = []
-    for m in MEASURES:
-        for part, name in ((f, "all"), (f.where("system = 'extensive'"), "extensive")):
-            etas = {g: matrix.eta_squared(part, f"{m}_mean", g).select("eta_squared").scalar() for g in SOURCE}
-            parts.append(profile.branch_summary(part).withColumns({
-                "part": F.lit(name), "measure": F.lit(m), "eta_system": etas["system"], "eta_dataset": etas["dataset"],
-            }))
-    return rounded(interpret.eta_verdict(master.union_features(parts)).drop("only_system"))
+    for part, name in ((f, "all"), (f.where("system = 'extensive'"), "extensive")):
+        etas = master.union_features([matrix.eta_squared(part, [f"{m}_mean" for m in MEASURES], g) for g in SOURCE])
+        wide = etas.groupBy(F.regexp_replace("value", "_mean$", "").alias("measure")).agg(
+            *[F.expr(f"max(if(grouping = '{g}', eta_squared, NULL)) AS eta_{g}") for g in SOURCE]
+        )
+        shape = profile.branch_summary(part).select(F.struct("n_rows", "n_systems").alias("s")).scalar()
+        parts.append(wide.withColumns({"part": F.lit(name), "s": shape}).select(
+            "part", "measure", "eta_system", "eta_dataset", F.col("s.n_rows").alias("n_rows"), F.col("s.n_systems").alias("n_systems")
+        ))
+    return rounded(interpret.eta_verdict(master.union_features(parts)))
 
 
 # --- neighbours, clustering, scores -------------------------------------------

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.quantiles import exact_quantiles
@@ -146,22 +146,26 @@ def top_loadings(loadings: DataFrame, component: int = 1, k: int = 5) -> DataFra
     return loadings.orderBy(F.col(f"abs_{name}").desc(), "variable").limit(k).select("variable", F.col(name).alias("loading"))
 
 
-def eta_squared(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Share of the variance of ``value`` between the groups: one grouped pass, then a merge.
+def eta_squared(df: DataFrame, values: str | Sequence[str], group: str) -> DataFrame:
+    """Share of the variance of each value between the groups ``(value, grouping, eta_squared)``.
 
-    NULL values of ``group`` count in the total only; no variance at all gives NULL.
+    One grouped pass for all values; only the per-group moments are merged afterwards.
+    A NULL group counts in the total only; no variance at all gives NULL.
     """
-    grand = df.agg(F.avg(value)).scalar()
-    parts = df.where(F.col(value).isNotNull()).groupBy(group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mu"), F.var_pop(value).alias("v")
-    )
-    between = F.col("n") * F.pow(F.col("mu") - grand, F.lit(2))
-    sums = parts.agg(
-        F.sum(F.col("n") * F.col("v") + between).alias("total"),
-        F.coalesce(F.sum(F.when(F.col(group).isNotNull(), between)), F.lit(0.0)).alias("between"),
+    values = [values] if isinstance(values, str) else list(values)
+    moments = [F.expr(f"struct(count(`{v}`) AS n, avg(`{v}`) AS mu, var_pop(`{v}`) AS var) AS `{v}`") for v in values]
+    pairs = ", ".join(f"'{v}', `{v}`" for v in values)
+    parts = df.groupBy(F.col(group).alias("__g")).agg(*moments).selectExpr(
+        "__g", f"stack({len(values)}, {pairs}) AS (value, s)"
+    ).where("s.n > 0")
+    w = Window.partitionBy("value")
+    grand = F.sum(F.expr("s.n * s.mu")).over(w) / F.sum("s.n").over(w)
+    merged = parts.withColumn("between", F.col("s.n") * F.pow(F.col("s.mu") - grand, F.lit(2)))
+    sums = merged.groupBy("value").agg(
+        F.expr("sum(s.n * s.var + between) AS total"), F.expr("coalesce(sum(if(__g IS NOT NULL, between, NULL)), 0.0D) AS between")
     )
     return sums.select(
-        F.lit(value).alias("value"), F.lit(group).alias("grouping"),
+        "value", F.lit(group).alias("grouping"),
         F.when(F.col("total") > 0, F.col("between") / F.col("total")).alias("eta_squared"),
     )
 

@@ -59,7 +59,7 @@ def feature_matrix(features: DataFrame, feature_set: str) -> tuple[DataFrame, li
 
 
 def eta_table(projection: DataFrame, components: Sequence[str] = ("pc1", "pc2"), groups: Sequence[str] = ("system", "dataset")) -> DataFrame:
-    return union_features([eta_squared(projection, c, g) for c in components for g in groups])
+    return union_features([eta_squared(projection, components, g) for g in groups])
 
 
 def analyze_pca(features: DataFrame, feature_set: str) -> tuple[PcaResult, DataFrame]:
