@@ -99,7 +99,7 @@ def cluster_space(points: DataFrame, meta: DataFrame, **grid) -> tuple[DataFrame
     row = best.first()
     if row is None:
         return result.metrics, None
-    labelled = meta.join(cluster.labels_of(result, row["config"]), "id")
+    labelled = cut(meta.join(cluster.labels_of(result, row["config"]), "id"))
     tables = {}
     for g in ("system", "dataset"):
         long = interpret.contingency(labelled, g)
@@ -109,7 +109,8 @@ def cluster_space(points: DataFrame, meta: DataFrame, **grid) -> tuple[DataFrame
     purity = interpret.mean_purity(interpret.entity_purity(labelled)).scalar()
     rows = points.agg(F.count("*").alias("n")).scalar()
     best = interpret.degenerate_flag(best.withColumn("n_rows", rows), F.col("n_rows"))
-    return result.metrics, best.withColumns({**tables, "mean_purity": purity})
+    # one row, written out so that its subqueries run once however often it is read
+    return result.metrics, cut(best.withColumns({**tables, "mean_purity": purity}))
 
 
 def analyze_slice(features: DataFrame, branch: str, feature_set: str, spaces: Sequence[str] = SPACES, **grid) -> tuple[DataFrame, DataFrame]:
