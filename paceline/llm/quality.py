@@ -12,6 +12,8 @@ results raises ``ValueError``. Texts of any length are judged whole, in time tha
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,26 +23,26 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
-#: Fixed phrases of site furniture; a line of fewer than BOILERPLATE_WORDS words that holds one fails.
+#: Fixed phrases of site furniture; a line of fewer than BOILERPLATE_CHARS characters that holds one fails.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies",
     "enable javascript", "sign up for our newsletter", "click here", "read more", "share this",
 )
-BOILERPLATE_WORDS = 20
-NAVIGATION = r"(?:\||»|›|·|•|→)"
+BOILERPLATE_CHARS = 160
+NAVIGATION = "[|»›·•→]"
+PUNCTUATION = "[.,;:!?…。！？،؟।]"
+SYMBOL_SHARE, BAR_SHARE = 10, 3
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "cleaned")
 
 
 def repeat_words(ws: Column) -> Column:
-    """Words inside 3-word windows that occur at least twice among the windows of ``ws``."""
-    grams = F.transform(
-        F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 2, F.lit(0))),
-        lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)),
-    )
+    """Words inside 3-word windows that occur at least twice among the windows of ``ws`` (told apart by 64-bit hashes)."""
+    windows = F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 2, F.lit(0)))
+    hashes = F.transform(windows, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
 
     def covered(s: Column) -> Column:
         def twice(x: Column, i: Column) -> Column:
-            same = lambda j: F.coalesce(F.get(s, j)["g"] == x["g"], F.lit(False))
+            same = lambda j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
             return F.when(same(i - 1) | same(i + 1), x["i"])
 
         starts = F.sort_array(F.filter(F.transform(s, twice), lambda p: p.isNotNull()))
@@ -48,24 +50,26 @@ def repeat_words(ws: Column) -> Column:
         step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last"))
         return F.aggregate(starts, first, step, lambda a: a["n"])
 
-    def count(g: Column) -> Column:
-        ordered = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(ordered, covered))
+    def count(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered, covered))
 
-    return let(grams, count).cast("long")
+    return let(hashes, count).cast("long")
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line with words that breaks a rule."""
-    chars = word_chars(line)
-    gone = lambda s: F.length(line) - F.length(F.translate(line, s, ""))
-    n_words = F.size(words(line))
-    symbols = gone(SYMBOLS) * 10 > chars
-    shouting = (gone("!") * 10 > chars) & (F.upper(line) == line) & (chars >= 10)
-    unpunctuated = ~line.rlike(r"[.,;:!?…。！？،؟।]")
-    navigation = F.regexp_count(line, F.lit(NAVIGATION)) * 3 > n_words
-    furniture = F.lower(line).rlike("|".join(BOILERPLATE)) & (n_words < BOILERPLATE_WORDS)
-    return (chars > 0) & (symbols | shouting | unpunctuated | navigation | furniture)
+    """True for a line with words that breaks a rule. Cheap tests come first, counts only behind them."""
+    symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * SYMBOL_SHARE > F.length(line)
+    shouting = line.contains("!!") & (F.upper(line) == line) & (F.length(line) >= 10)
+    unpunctuated = ~line.rlike(PUNCTUATION)
+    navigation = line.rlike(NAVIGATION) & (F.regexp_count(line, F.lit(NAVIGATION)) * BAR_SHARE > F.size(words(line)))
+    low = F.lower(line)
+    furniture = (F.length(line) < BOILERPLATE_CHARS) & reduce(lambda a, b: a | b, [low.contains(p) for p in BOILERPLATE])
+    return has_word(line) & (unpunctuated | shouting | symbols | navigation | furniture)
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,28 +80,32 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     t = or_empty(F.col(text))
 
     def measured(ws: Column) -> Column:
-        return F.struct(F.size(ws).cast("long").alias("n_words"), repeat_words(ws).alias("n_repeat_words"))
+        chars = F.length(F.array_join(ws, "")).cast("long")
+        return F.struct(F.size(ws).cast("long").alias("n_words"), chars.alias("word_chars"), repeat_words(ws).alias("n_repeat_words"))
 
     def line_results(ls: Column) -> Column:
-        with_word = F.filter(ls, lambda x: word_chars(x) > 0)
-        dup = let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-        lost = lambda good: word_chars(t) - word_chars(good)
-        good = F.array_join(F.filter(ls, lambda x: ~line_fails(x)), "\n")
-        return let(good, lambda g: F.struct(dup.cast("long").alias("n_dup_lines"), lost(g).alias("lost_chars"), g.alias("cleaned")))
+        dup = let(F.filter(ls, has_word), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+        bad = F.filter(ls, line_fails)
+
+        def with_bad(b: Column) -> Column:
+            lost = F.when(F.size(b) == 0, F.lit(0)).otherwise(word_chars(F.array_join(b, "")))
+            cleaned = F.when(F.size(b) == 0, t).otherwise(F.array_join(F.filter(ls, lambda x: ~line_fails(x)), "\n"))
+            return F.struct(dup.alias("n_dup_lines"), lost.cast("long").alias("lost_chars"), cleaned.alias("cleaned"))
+
+        return let(bad, with_bad)
 
     out = once(
         docs,
         let(words(t), measured).alias("__w"),
         let(lines(t), line_results).alias("__l"),
-        word_chars(t).alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
     )
-    n, repeats = F.col("__w.n_words"), F.col("__w.n_repeat_words")
+    n, repeats, chars = F.col("__w.n_words"), F.col("__w.n_repeat_words"), F.col("__w.word_chars")
     failed = (n < MIN_WORDS) | (repeats * 100 > n * MAX_REPEAT_PERCENT)
-    too_much = F.col("__l.lost_chars") * 100 > F.col("word_chars") * MAX_LOST_PERCENT
+    too_much = F.col("__l.lost_chars") * 100 > chars * MAX_LOST_PERCENT
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        n.alias("n_words"), "word_chars", "n_symbols", F.col("__l.n_dup_lines"), repeats.alias("n_repeat_words"),
+        n.alias("n_words"), chars.alias("word_chars"), "n_symbols", F.col("__l.n_dup_lines"), repeats.alias("n_repeat_words"),
         failed.alias("base_failed"), F.col("__l.lost_chars"), (~failed & ~too_much).alias("kept"), F.col("__l.cleaned"),
     )
 
