@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.text import SPACE, let, lines, lower_ascii, or_empty
+from paceline.llm.text import SPACE, hash_folded, let, lines, or_empty
 from paceline.session import cut
 
 MIN_CHARS = 20
@@ -26,18 +26,15 @@ MIN_DOCS = 3
 SALTS = 64
 
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(SPACE)))
-
-
 def row_hash(text: Column) -> Column:
     """Tells rows with the same id and different texts apart."""
     return F.xxhash64(F.lit(7), or_empty(text))
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(doc_id, row_key, pos, h1, h2)`` of every line whose key has ``min_chars`` code points."""
-    keyed = F.transform(lines(F.col("text")), lambda x, i: let(line_key(x), lambda k: F.when(F.length(k) >= min_chars, F.struct(i.alias("pos"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")))))
+    """``(doc_id, row_key, pos, h1, h2)`` of every line whose key has ``min_chars`` code points. The
+    key is the line without white space at its ends and with A-Z in lower case."""
+    keyed = F.transform(lines(F.col("text")), lambda x, i: let(F.btrim(x, F.lit(SPACE)), lambda k: F.when(F.length(k) >= min_chars, F.struct(i.alias("pos"), hash_folded(k, 1).alias("h1"), hash_folded(k, 2).alias("h2")))))
     return docs.select("doc_id", row_hash(F.col("text")).alias("row_key"), F.inline(F.filter(keyed, lambda s: s.isNotNull())))
 
 
