@@ -13,6 +13,7 @@ Defined results: null or empty html gives an empty text. Unclosed and truncated
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "heading", "place", "furniture")
 BLOCK = "struct<text: string, words: double, links: double, prev_words: double, prev_links: double, next_words: double, next_links: double, heading: double, place: double, furniture: double>"
-MAX_DEPTH = 6
+MAX_DEPTH = 8
 
 # Element kinds of the HTML standard.
 UNSEEN = "script style noscript template textarea svg math iframe object canvas video audio select datalist head"
@@ -178,19 +179,44 @@ def labelled_pages() -> list[tuple[str, list[str]]]:
         pages.append((f"<body><nav>{menu}</nav><div>{_filler(6 + 12 * k, 2)}</div>{semantic}{foot}</body>", texts))
         pages.append((f"<body><header>{menu}</header>{noise}<main><h2>{title}</h2>{with_link}<div class='comments'><p>{_filler(20 + 9 * k)}</p></div></main><aside>{noise}{menu}</aside></body>", texts))
         pages.append((f"<body>{semantic.replace('</article>', '')}<form><p>{_filler(4)}</p></form><ul class='share'><li><a href='/s'>Share</a></li></ul></article>{noise}</body>", texts))
+        loose = "".join(f"<div>{_filler(n, k)}</div>" for n in (14 + 5 * k, 40, 22))
+        pages.append((f"<body>{loose}{semantic}{loose}</body>", texts))
         pages.append((f"<body>{semantic}<section class='related'><h3>{title}</h3>{body}</section></body>", texts))
         # class names only
         long = [p for p in ps if p.count(" ") >= 8]
         text = "".join(f"<p>{p}</p>" for p in long)
+        boxes = {name: f"<div class='{name}'><p>{_filler(n, k)}</p><p>{_filler(n + 7, k)}</p></div>" for name, n in (("promo-box", 12 + k), ("related-posts", 25), ("reader_comments", 33 + k), ("newsletterSignup", 9))}
         if long:
+            pages.append((f"<body>{boxes['promo-box']}<div class='entry-content'><h2>{title}</h2>{text}</div>{boxes['related-posts']}{boxes['reader_comments']}{boxes['newsletterSignup']}</body>", [title, *long]))
             pages.append((f"<body><div class='top-menu'>{menu}</div><div class='post-content'><h1>{title}</h1>{text}</div><div class='sidebar'><p>{_filler(30)}</p></div><div id='cookie-notice'>{_filler(15)}</div>{foot}</body>", [title, *long]))
             # no hints at all: links and lengths decide
             pages.append((f"<body><div>{menu}</div><div><h1>{title}</h1>{text}</div><div>{menu}</div><div>{_filler(3)}</div></body>", [title, *long]))
+    rng = random.Random(7)
+
+    def some(low: int, high: int) -> str:
+        return _filler(rng.randint(low, high), rng.randint(0, 9))
+
+    def linked(text: str, share: float) -> str:
+        """``text`` with its last part as a link."""
+        words = text.split(" ")
+        cut = len(words) - round(share * len(words))
+        return " ".join(words[:cut]) + (" <a href='/l'>" + " ".join(words[cut:]) + "</a>" if cut < len(words) else "")
+
+    for k in range(60):  # layouts of every size, half of them with an article; texts may hold links
+        links = lambda: "".join(f"<div><a href='/m'>{some(1, 3)[:-1]}</a></div>" for _ in range(rng.randint(2, 8)))
+        short = lambda: f"<div>{some(1, 5)}</div>"
+        semantic = k % 2 == 0
+        title, ps = some(1, 9)[:-1], [some(1 if semantic else 9, 70) for _ in range(rng.randint(2, 6))]
+        body = "".join(f"<div>{linked(p, rng.choice((0, 0, 0.1, 0.3, 1) if semantic else (0, 0, 0.1, 0.3)))}</div>" for p in ps)
+        box = f"<div class='sidebar'>{short()}{''.join(f'<div>{p}</div>' for p in ps)}</div>" if rng.random() < 0.5 else ""
+        main = f"<h1>{title}</h1>{body}"
+        loose = f"<div>{some(9, 40)}</div>" if semantic else ""
+        pages.append((f"<body>{links()}{short()}{loose}{f'<article>{main}</article>' if semantic else main}{loose}{links()}{short()}{box}{links()}</body>", [title, *ps]))
     return pages
 
 
 def labelled_blocks() -> list[tuple]:
-    """The labelled table: FEATURES and ``label`` of every block of the labelled pages (a few hundred rows)."""
+    """The labelled table: FEATURES and ``label`` of every block of the labelled pages (under 2,000 rows)."""
     rows = []
     for html, texts in labelled_pages():
         wanted, i = texts, 0

@@ -46,14 +46,16 @@ ZERO_WIDTH = "​‌‍⁠﻿­"
 ONE_TO_ONE = str.maketrans(LOOKALIKES | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)})
 OTHERS = re.compile("[" + "".join(LOOKALIKES) + ZERO_WIDTH + "！-～]")
 _AT, _DOT = r"(?:at|arobase|arroba|ät)", r"(?:dot|punkt|point|punto)"
+# Endings that a fully spelled-out address must have, as any words may stand around "at" and "dot".
+_TOP = "com|org|net|edu|gov|info|biz|io|ai|app|dev|eu|uk|us|ca|au|nz|ie|in|de|at|ch|fr|be|nl|es|mx|ar|it|pt|br|pl|se|no|fi|dk|cz|ru|jp|cn|test|example|invalid"
 _SPELLED = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 BRACKETED_AT = rf"[ ]?[\[({{<][ ]?(?:{_AT}|@)[ ]?[\])}}>][ ]?"
 BRACKETED_DOT = rf"[ ]?[\[({{<][ ]?(?:{_DOT}|\.)[ ]?[\])}}>][ ]?"
 #: word at word dot word, all spelled out
-SPELLED_ADDRESS = re.compile(rf"(?<![\w.%+-])[a-z0-9][a-z0-9._%+-]{{0,63}}(?P<at> {_AT} )[a-z0-9-]{{1,63}}(?:(?: {_DOT} |\.)[a-z0-9-]{{1,63}})*? {_DOT} [a-z]{{2,24}}(?!\w)", re.IGNORECASE)
+SPELLED_ADDRESS = re.compile(rf"(?<![\w.%+-])[a-z0-9][a-z0-9._%+-]{{0,63}}(?P<at> {_AT} )[a-z0-9-]{{1,63}}(?:(?: {_DOT} |\.)[a-z0-9-]{{1,63}})*? {_DOT} (?:{_TOP})(?!\w)", re.IGNORECASE)
 BRACKETS = re.compile(rf"(?P<at>{BRACKETED_AT})|(?P<dot>{BRACKETED_DOT})", re.IGNORECASE)
 #: An address whose at is plain or bracketed, with spelled dots behind it.
-DOTS_BEHIND = re.compile(rf"@[a-z0-9-]{{1,63}}(?:(?: {_DOT} |\.)[a-z0-9-]{{1,63}})*? {_DOT} [a-z]{{2,24}}(?!\w)", re.IGNORECASE)
+DOTS_BEHIND = re.compile(rf"@[a-z0-9-]{{1,63}}(?:(?: {_DOT} |\.)[a-z0-9-]{{1,63}})*? {_DOT} (?:{_TOP})(?!\w)", re.IGNORECASE)
 #: At least four digit words in a row, with a spelled or written plus in front and dots or digits between.
 SPELLED_DIGITS = re.compile(rf"(?<!\w)(?:plus[ -])?(?:(?:{_SPELLED})(?!\w)[ ,-]{{0,2}}|(?:{_DOT}|\.)[ ]|[0-9]+(?!\w)[ -]?){{3,400}}(?:{_SPELLED}|[0-9]+)(?!\w)", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"(?P<plus>plus[ -])|(?P<word>{_SPELLED})(?!\w)|(?P<dot>{_DOT}(?!\w)|\.)|(?P<digits>[0-9]+)", re.IGNORECASE)

@@ -95,7 +95,7 @@ def test_simhash_edges(spark, odd, none):
     want = naive_components(fps)
     assert len(got) == len(ODD)
     assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == set(want.items())
-    assert sorted(r["component_id"] for r in got if r["doc_id"] is None) == [1, 4]
+    assert sorted(r["component_id"] for r in got if r["doc_id"] is None) == sorted([want[1], want[4]])
     assert simhash.groups(none).count() == 0
     assert Counter(r["doc_id"] for r in simhash.keep_one(odd).collect()) == Counter(set(want.values()))
 
@@ -245,7 +245,7 @@ def test_warc_edges(spark, tmp_path):
 
 
 def test_warc_pushes_predicates_down():
-    reader = warc.WarcReader({"files": "file:///a\t9\nfile:///b\t9\nfile:///c\t9", "partitionbytes": "12"})
+    reader = warc.WarcReader({"files": "file:///a\t9\nfile:///b\t9\nfile:///c\t9", "partitionbytes": "20"})
     from pyspark.sql.datasource import EqualTo, StringStartsWith
     left = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), StringStartsWith(("url",), "h")]))
     assert [type(f).__name__ for f in left] == ["StringStartsWith"] and len(reader.filters) == 1
