@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceline.functions.columns import window_floor
-from paceline.model import ACTIVITY, FEATURE_KEYS, MEASURES
+from paceline.model import ACTIVITY, FEATURE_KEYS, FEATURE_SETS, MEASURES, SourceSpec
 from paceline.operators import (
     cleaning, cluster, eda, events, features, interpret, master, matrix, neighbours, profile, rollup, scores,
 )
+from paceline.operators.centres import add_up, assign, kmeans_fits, mixture_fits
 from paceline.plans import slices
-from paceline.session import cut
+from paceline.session import cut, shared_folder
+from paceline.sources import sinks, tables
 from paceline.sources import warehouse as wh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,9 +45,9 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean(wh.hourly(spark, sf), deduplicate=False)
 
 
-def weekly(spark: SparkSession, sf: str) -> DataFrame:
+def weekly(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
     return features.extract_features(
-        hourly(spark, sf), "weekly", by=SOURCE, resolution="hourly", scale_type="native"
+        hourly(spark, sf) if hours is None else hours, "weekly", by=SOURCE, resolution="hourly", scale_type="native"
     )
 
 
@@ -52,9 +56,9 @@ def staged(spark: SparkSession, sf: str) -> DataFrame:
     return cut(weekly(spark, sf))
 
 
-def daily_weekly(spark: SparkSession, sf: str) -> DataFrame:
+def daily_weekly(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
     """Branch B: weekly features of the rolled-up days; one segment has no event coverage."""
-    days = rollup.rollup_daily(hourly(spark, sf), by=SOURCE).drop("n_source_rows", "anomaly_hours")
+    days = rollup.rollup_daily(hourly(spark, sf) if hours is None else hours, by=SOURCE).drop("n_source_rows", "anomaly_hours")
     out = features.extract_features(
         days, "weekly", by=SOURCE, resolution="daily", scale_type="rolled up from hourly"
     )
@@ -123,8 +127,9 @@ def select_sources(spark, sf):
 
 @query(name="profile")
 def profile_sources(spark, sf):
-    out = profile.profile(hourly(spark, sf), by=["dataset"], data_columns=["entity_id", "ts", *MEASURES, "anomaly_label"])
-    return rounded(out.drop("top_labels"))
+    out = profile.profile(cut(hourly(spark, sf)), by=["dataset"], data_columns=["entity_id", "ts", *MEASURES, "anomaly_label"])
+    spelled = F.transform("top_labels", lambda s: F.concat_ws(":", s["label"], s["n"].cast("string")))
+    return rounded(out.withColumn("top_labels", F.array_join(spelled, ",")))
 
 
 @query
@@ -195,11 +200,9 @@ def classify_resolution(spark, sf):
 
 
 def _audits(spark, sf):
-    """Native days against hours rolled up; each side lacks one segment, one side is off in one measure."""
-    native = wh.daily(spark, sf).where(F.col("dataset") != "BUILDING")
-    hours = wh.hourly(spark, sf).where(F.col("dataset") != "MACHINERY")
-    native = native.withColumn("steps", F.col("steps") + 1.0)
-    return rollup.audit_rollup(native), rollup.audit_rollup(hours)
+    """Native days against hours rolled up; one side is off by one in one measure."""
+    native = wh.daily(spark, sf).withColumn("steps", F.col("steps") + 1.0)
+    return rollup.audit_rollup(native), rollup.audit_rollup(wh.hourly(spark, sf))
 
 
 @query
@@ -238,8 +241,7 @@ def events_in_activity_range(spark, sf):
 
 @query
 def label_from_events(spark, sf):
-    days = wh.raw_daily(spark, sf)
-    return rounded(events.label_from_events(days, wh.event_log(spark, sf)).select("entity_id", "ts", "steps", "anomaly_label"))
+    return rounded(events.label_from_events(cut(wh.raw_daily(spark, sf)), cut(wh.event_log(spark, sf))))
 
 
 @query
@@ -257,9 +259,8 @@ def daily_equivalent(spark, sf):
 
 @query
 def rescale_report(spark, sf):
-    log = wh.event_log(spark, sf)
-    half = _first_half(spark, sf)
-    return rounded(events.rescale_report(cleaning.rescale(half, factor=24.0), log))
+    scaled = cut(cleaning.rescale(wh.raw_daily(spark, sf), factor=24.0))
+    return rounded(events.rescale_report(scaled, cut(wh.event_log(spark, sf))))
 
 
 @query
@@ -269,18 +270,12 @@ def event_counts(spark, sf):
 
 @query
 def entity_event_summary(spark, sf):
-    few = wh.raw_daily(spark, sf).where(F.col("anomaly_label") == "Heat/Estrus")
-    return events.entity_event_summary(few, wh.event_log(spark, sf))
-
-
-def _heat_and_birth(spark, sf):
-    heat = wh.raw_daily(spark, sf).where(F.col("anomaly_label") == "Heat/Estrus")
-    return heat, wh.event_log(spark, sf).where(F.col("event_type") == "BIRTH")
+    return events.entity_event_summary(wh.raw_daily(spark, sf), wh.event_log(spark, sf))
 
 
 @query
 def common_entities(spark, sf):
-    return events.common_entities(*_heat_and_birth(spark, sf), sample=10)
+    return events.common_entities(wh.raw_daily(spark, sf), wh.event_log(spark, sf), sample=10)
 
 
 @query
@@ -290,7 +285,7 @@ def temporal_overlap(spark, sf):
 
 @query
 def integration_report(spark, sf):
-    r = events.integration_report(*_heat_and_birth(spark, sf))
+    r = events.integration_report(cut(wh.raw_daily(spark, sf)), cut(wh.event_log(spark, sf)))
     return r.select(
         F.col("activity.rows").alias("activity_rows"), F.col("activity.entities").alias("activity_entities"),
         F.col("activity.missing").alias("activity_missing"), F.col("activity.start").alias("activity_start"),
@@ -338,39 +333,64 @@ def anomaly_rate(spark, sf):
     return rounded(features.anomaly_rate(h, ["dataset", "system", "window_start"]))
 
 
+def _branches(spark, sf):
+    """Weekly features of the hourly and of the daily branch; the hours are read once."""
+    hours = cut(hourly(spark, sf))
+    return weekly(spark, sf, hours), daily_weekly(spark, sf, hours)
+
+
 @query
 def branch_union(spark, sf):
-    """Hourly and daily branch together; columns absent from one are NULL."""
-    a = weekly(spark, sf).select(*FEATURE_KEYS, "resolution", "eat_mean", "anomaly_count")
-    b = daily_weekly(spark, sf).select(*FEATURE_KEYS, "resolution", "rest_median", "anomaly_count")
-    return rounded(master.union_features([a, b]))
+    """Hourly and daily branch together."""
+    return rounded(master.union_features(_branches(spark, sf)))
 
 
-def _master(spark, sf):
-    a = weekly(spark, sf).where(F.col("system") == "extensive")
-    return master.master_table([a, daily_weekly(spark, sf)])
+@query
+def branch_union_gaps(spark, sf):
+    """Columns that one branch lacks are NULL."""
+    a, b = _branches(spark, sf)
+    return rounded(master.union_features([a.drop("rest_median"), b.drop("eat_mean")]))
 
 
 @query
 def master_table(spark, sf):
-    cols = [*FEATURE_KEYS, "resolution", "n_records", "ruminate_mean", "steps_p90", "ratio_walk", "anomaly_count"]
-    return rounded(_master(spark, sf).select(*cols))
+    return rounded(master.master_table(_branches(spark, sf)))
+
+
+@query
+def master_table_daily_first(spark, sf):
+    return rounded(master.master_table(_branches(spark, sf)[::-1]))
 
 
 @query
 def master_report(spark, sf):
-    r = master.master_report(_master(spark, sf))
+    r = master.master_report(cut(master.master_table(_branches(spark, sf))))
     return r.withColumns({"datasets": F.array_join("datasets", ","), "systems": F.array_join("systems", ",")})
 
 
+@query
+def master_inputs(spark, sf):
+    """Size and origin of each table that goes into the master table."""
+    return master.table_report(list(zip(("hourly branch", "daily branch"), map(cut, _branches(spark, sf)))))
+
+
 @query
 def feature_counts(spark, sf):
-    return master.feature_counts(master.union_features([weekly(spark, sf), daily_weekly(spark, sf)]))
+    return master.feature_counts(master.union_features(_branches(spark, sf)))
 
 
 # --- exploratory numbers ------------------------------------------------------
 
 
+@query
+def numeric_summary(spark, sf):
+    """Values present in each numeric column of the weekly features."""
+    f = weekly(spark, sf)
+    names = cleaning.numeric_columns(f)
+    counts = f.agg(*[F.count(f"`{c}`").alias(c) for c in names])
+    return counts.unpivot([], names, "variable", "n_values")
+
+
 @query
 def system_feature_means(spark, sf):
     return rounded(eda.system_feature_means(weekly(spark, sf), groups=["extensive", "intensive"]))
@@ -403,14 +423,14 @@ def group_centroids(spark, sf):
 def impute_median(spark, sf):
     f = staged(spark, sf)
     cols = matrix.feature_columns(f, "absolute")
-    return rounded(matrix.impute_median(f, cols).select(*FEATURE_KEYS, *[f"{m}_std" for m in MEASURES], "ruminate_cv"))
+    return rounded(matrix.impute_median(f, cols).select(*FEATURE_KEYS, *cols))
 
 
 @query
 def standardize(spark, sf):
     f = staged(spark, sf)
     cols = matrix.feature_columns(f, "absolute_no_count")
-    return rounded(matrix.standardize(f, cols).select(*FEATURE_KEYS, *[f"{a}_mean" for a in ACTIVITY], "walk_cv"))
+    return rounded(matrix.standardize(f, cols).select(*FEATURE_KEYS, *cols))
 
 
 @query
@@ -426,33 +446,66 @@ def _ratio_matrix(spark, sf):
     return cut(points), names
 
 
+def _components(spark, sf):
+    """``(feature set, PCA)`` of all three sets."""
+    f = slices.keyed(staged(spark, sf))
+    for name in FEATURE_SETS:
+        points, names = slices.feature_matrix(f, name)
+        yield name, matrix.pca(cut(points), names)
+
+
+def _of_all_sets(spark, sf, part):
+    return master.union_features([part(result).withColumn("feature_set", F.lit(name)) for name, result in _components(spark, sf)])
+
+
 @query
 def pca_projection(spark, sf):
-    points, names = _ratio_matrix(spark, sf)
-    return rounded(matrix.pca(points, names).projection.select(*FEATURE_KEYS, "pc1", "pc2"), 4)
+    return rounded(_of_all_sets(spark, sf, lambda r: r.projection.select(*FEATURE_KEYS, "pc1", "pc2")), 4)
 
 
 @query
 def pca_loadings(spark, sf):
-    points, names = _ratio_matrix(spark, sf)
-    return rounded(matrix.pca(points, names).loadings, 4)
+    return rounded(_of_all_sets(spark, sf, lambda r: r.loadings), 4)
 
 
 @query
 def pca_variance(spark, sf):
-    points, names = _ratio_matrix(spark, sf)
-    explained = matrix.pca(points, names).explained
-    table = spark.createDataFrame([(i + 1, v) for i, v in enumerate(explained)], "component int, explained double")
-    return rounded(eda.cumulative_variance(table), 5)
+    def table(result):
+        rows = [(i + 1, v) for i, v in enumerate(result.explained)]
+        return eda.cumulative_variance(spark.createDataFrame(rows, "component int, explained double"))
+
+    return rounded(_of_all_sets(spark, sf, table), 5)
+
+
+@query
+def pca_by_resolution(spark, sf):
+    """Explained variance of the absolute features for two groups of sources; a third group has no rows."""
+    groups = {"extensive": list(wh.EXTENSIVE), "intensive": ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD"], "absent": ["NONE"]}
+    found = slices.pca_by_resolution(staged(spark, sf), "ratios", groups)
+    return rounded(spark.createDataFrame([(g, *r.explained) for g, r in found.items()], "part string, explained_pc1 double, explained_pc2 double"), 5)
+
+
+@query
+def projection_with_features(spark, sf):
+    """The projection of the ratios joined with the features on the four keys."""
+    f = staged(spark, sf)
+    points, names = slices.feature_matrix(slices.keyed(f), "ratios")
+    projected = matrix.pca(cut(points), names).projection.select(*FEATURE_KEYS, "pc1", "pc2")
+    joined = matrix.with_features(projected, f)
+    return rounded(rounded(joined.select(*FEATURE_KEYS, "pc1", "pc2"), 4).join(rounded(f.select(*FEATURE_KEYS, "eat_mean", "n_records")), list(FEATURE_KEYS)))
 
 
 @query
 def top_loadings(spark, sf):
-    """The two strongest ratios of the first component, as base variables with their sign."""
-    points, names = _ratio_matrix(spark, sf)
-    top = matrix.top_loadings(matrix.pca(points, names).loadings, 1, 2)
-    summary = interpret.loading_summary(top)
-    return rounded(summary.withColumn("base_variables", F.array_join("base_variables", ",")), 4)
+    """The five strongest features of both components of every set, as base variables with the sign of the first."""
+    def tables(result):
+        parts = []
+        for component in (1, 2):
+            summary = interpret.loading_summary(matrix.top_loadings(result.loadings, component, 5))
+            parts.append(summary.withColumns({"base_variables": F.array_join("base_variables", ","), "component": F.lit(component)}))
+        return master.union_features(parts)
+
+    return rounded(_of_all_sets(spark, sf, tables), 4)
 
 
 @query
@@ -555,14 +608,20 @@ def degenerate_flag(spark, sf):
 
 @query
 def kmeans_grid(spark, sf):
-    """Cost and sizes of seeded k-means on the embeddings."""
+    """Per k: rows, clusters, rows that are not at their nearest centre, and centres that are off the mean of their rows."""
     points = cut(wh.matrix(spark, sf).select("id", "features"))
-    parts = []
-    for k in (2, 3):
-        model, cost = cluster.kmeans_model(points, k, restarts=3)
-        found = model.transform(cluster._vectors(points)).groupBy("cluster").agg(F.count("*").alias("n"))
-        parts.append(found.withColumns({"k": F.lit(k), "cost": F.lit(float(cost))}))
-    return rounded(master.union_features(parts))
+    fits = kmeans_fits(points, cluster.K_RANGE, cluster.RESTARTS, cluster.SEED)
+    centres = spark.createDataFrame([(k, i, [float(v) for v in c]) for k, f in fits.items() for i, c in enumerate(f.centres)], "config int, cluster int, centre array<double>")
+    gap = "aggregate(zip_with(features, centre, (x, y) -> (x - y) * (x - y)), 0.0D, (a, z) -> a + z)"
+    labels = assign(points, fits).withColumnRenamed("cluster", "own")
+    nearest = points.join(labels, "id").join(centres, "config").groupBy("config", "id", "own").agg(
+        F.expr(f"min({gap}) AS least"), F.expr(f"max(if(cluster = own, {gap}, NULL)) AS mine")
+    )
+    rows = nearest.groupBy("config").agg(F.count("*").alias("n_rows"), F.countDistinct("own").alias("n_clusters"), F.count_if(F.expr("mine > least + 1e-9")).alias("n_misplaced"))
+    means = points.join(labels, "id").select("config", F.col("own").alias("cluster"), F.posexplode("features").alias("dim", "x"))
+    means = means.groupBy("config", "cluster", "dim").agg(F.avg("x").alias("mean"))
+    off = means.join(centres, ["config", "cluster"]).groupBy("config", "cluster").agg(F.max(F.abs(F.col("mean") - F.get("centre", "dim"))).alias("off"))
+    return rows.join(off.groupBy("config").agg(F.count_if(F.col("off") > 1e-5).alias("n_off_centre")), "config").withColumnRenamed("config", "k")
 
 
 def _pca_points(spark, sf):
@@ -572,28 +631,48 @@ def _pca_points(spark, sf):
 
 @query
 def gmm_grid(spark, sf):
-    """Mixtures of the entity-weeks in PCA space."""
-    points = _pca_points(spark, sf)
-    parts = [cluster.gmm(points, k).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)) for k in (2, 3)]
-    return master.union_features(parts)
+    """Mixtures of the entity-weeks in PCA space. Per k: rows, rows whose shares do not sum to one, weights
+    that do not, and iterations in which the likelihood fell."""
+    points = cut(_pca_points(spark, sf).select("id", "features"))
+    fits = mixture_fits(points, kmeans_fits(points, cluster.K_RANGE, cluster.RESTARTS, cluster.SEED))
+    rows = []
+    for k, f in fits.items():
+        bad = add_up(points, lambda x, f=f: np.array([len(x), (np.abs(f.responsibilities(x)[0].sum(1) - 1) > 1e-9).sum()], float), 2)
+        falls = sum(b < a - 1e-6 for a, b in zip(f.history, f.history[1:]))
+        rows.append((k, int(bad[0]), int(bad[1]), int(abs(f.weights.sum() - 1) > 1e-9), falls))
+    return spark.createDataFrame(rows, "k int, n_rows long, n_bad_shares long, n_bad_weights int, n_falls int")
 
 
 @query
 def hierarchical_grid(spark, sf):
-    """Ward clusters of the embeddings for several k from one agglomeration."""
+    """Ward clusters of the embeddings. Per k: rows, clusters, and clusters that lie across two clusters of the next smaller k."""
     points = cut(wh.matrix(spark, sf).select("id", "features"))
-    grid = cluster.ward_grid(points, (2, 3, 4, 5, 6))
-    parts = [labels.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)) for k, labels in grid.items()]
-    return master.union_features(parts)
+    labels = cut(cluster.ward_labels(points, cluster.K_RANGE))
+    sizes = labels.groupBy("config").agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"))
+    coarser = labels.select("id", (F.col("config") + 1).alias("config"), F.col("cluster").alias("parent"))
+    torn = labels.join(coarser, ["id", "config"]).groupBy("config", "cluster").agg(F.countDistinct("parent").alias("n")).groupBy("config").agg(F.count_if(F.col("n") > 1).alias("n_torn"))
+    return sizes.join(torn, "config", "left").select(F.col("config").alias("k"), "n_rows", "n_clusters", F.coalesce("n_torn", F.lit(0)).alias("n_torn"))
+
+
+@query
+def ward_labels(spark, sf):
+    """Ward's clusters of the label centroids of all embeddings, weighted by their rows (at most a few labels)."""
+    dims = wh.matrix(spark, sf).select("label", F.posexplode("features").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    table = dims.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "m"))).alias("c"), F.max("n").alias("n")).orderBy("label").collect()
+    centres, weights = np.array([[x["m"] for x in r["c"]] for r in table]), np.array([r["n"] for r in table], float)
+    trees = cluster.ward_trees(centres, weights, cluster.K_RANGE)
+    rows = [(k, table[i]["label"], c) for k, tree in trees.items() for i, c in enumerate(tree)]
+    named = spark.createDataFrame(rows, "k int, label int, cluster int")
+    # clusters named by their smallest label
+    return named.join(named.groupBy("k", "cluster").agg(F.min("label").alias("lowest_label")), ["k", "cluster"]).select("k", "label", "lowest_label")
 
 
 @query
 def evaluate_grid(spark, sf):
-    """All four algorithms on the entity-weeks in PCA space, scored together."""
-    grid = cluster.evaluate_grid(
-        _pca_points(spark, sf).select("id", "features"), ks=(2, 3), restarts=2, min_samples=(5,), percentiles=(90,)
-    )
-    return rounded(grid.metrics)
+    """All settings of all four algorithms on the entity-weeks in PCA space, scored together."""
+    grid = cluster.evaluate_grid(_pca_points(spark, sf).select("id", "features"))
+    given = F.when(F.col("algorithm") != "dbscan", F.col("n_clusters"))
+    return rounded(grid.metrics.select("algorithm", "k", "micro", "min_samples", "percentile", F.round("eps", 4).alias("eps"), given.alias("n_clusters"), (F.col("k").isNull() | F.col("silhouette").isNotNull()).alias("scored"), "silhouette_kind").na.fill("none", ["silhouette_kind"]).drop("silhouette_kind"))
 
 
 # --- interpretation -----------------------------------------------------------
@@ -625,7 +704,7 @@ def mean_purity(spark, sf):
 @query
 def relation_strength(spark, sf):
     """Dominant behaviour against system, dataset and calendar week."""
-    d = _dominant(spark, sf).withColumn("week", F.col("window_start").cast("string"))
+    d = cut(_dominant(spark, sf)).withColumn("week", F.col("window_start").cast("string"))
     parts = []
     for category in ("system", "dataset", "week"):
         rel = interpret.relation_strength(interpret.contingency(d, category))
@@ -636,12 +715,85 @@ def relation_strength(spark, sf):
 
 @query
 def global_summary(spark, sf):
-    """Best PCA-space configuration of two feature sets with its relation to system and dataset."""
-    f = staged(spark, sf)
-    bests = [
-        slices.analyze_slice(
-            f, "hourly", kind, spaces=["pca"], algorithms=("kmeans", "agglomerative"), ks=(2, 3), restarts=2
-        )[1]
-        for kind in ("ratios", "absolute_no_count")
-    ]
-    return slices.global_summary(master.union_features(bests))
+    """Best PCA-space configuration of every branch and feature set with its relation to system and dataset.
+
+    Whether each row's scores lie in their ranges is checked here; the numbers depend on seeds.
+    """
+    bests = []
+    for branch, f in zip(("hourly", "daily"), map(cut, _branches(spark, sf))):
+        for kind in FEATURE_SETS:
+            bests.append(slices.analyze_slice(f, branch, kind, spaces=["pca"])[1])
+    out = slices.global_summary(master.union_features(bests))
+    sound = F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") > 0) & (F.col("calinski_harabasz") > 0) & (F.col("n_clusters") >= 2)
+    known = F.col("relation_system").isin("strong", "moderate", "none") & F.col("relation_dataset").isin("strong", "moderate", "none")
+    return out.select("branch", "feature_set", "space", (sound & known & F.col("interpretation").isNotNull()).alias("sound"))
+
+
+# --- readers and writers ------------------------------------------------------
+
+
+def _place(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def activity_round_trip(spark, sf):
+    """Every source written as text with broken cells and read back; a source that does not exist is skipped."""
+    base, whole = _place(spark, "activity"), cut(wh.hourly(spark, sf))
+    specs = []
+    for r in whole.select("dataset", "system").distinct().orderBy("dataset").collect():
+        part = whole.where(F.col("dataset") == r["dataset"]).select(
+            F.col("entity_id").alias("Cow_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Time"),
+            F.col("eat").cast("string").alias(" Eat "), F.coalesce(F.col("rest").cast("string"), F.lit("n/a")).alias("Rest"), F.col("anomaly_label").alias("Anomaly_Label"),
+        )
+        sinks.write_table(part, f"{base}/{r['dataset']}.csv", "csv")
+        specs.append(SourceSpec(f"{base}/{r['dataset']}.csv", r["dataset"], r["system"]))
+    back = tables.read_activities(spark, [*specs, SourceSpec(f"{base}/none.csv", "none", "none")], skip_missing=True)
+    return rounded(back.select("dataset", "system", "entity_id", "ts", "eat", "rest", "anomaly_label"))
+
+
+@query
+def event_log_round_trip(spark, sf):
+    path = _place(spark, "log") + ".csv"
+    log = wh.event_log(spark, sf)
+    dated = F.when(F.col("event_type") == "BIRTH", F.lit("no date")).otherwise(F.date_format("event_date", "yyyy-MM-dd"))
+    sinks.write_table(log.select(F.col("entity_id").alias("official_tag"), dated.alias("date"), F.concat(F.lit(" "), F.lower("event_type")).alias("event")), path, "csv")
+    return tables.read_events(spark, path)
+
+
+@query
+def feature_tables_round_trip(spark, sf):
+    """Both branches written in order of their keys, as Parquet and as text, and read back as the master table's input."""
+    base = _place(spark, "features")
+    a, b = _branches(spark, sf)
+    sinks.write_table(a, f"{base}/a.parquet", order_by=FEATURE_KEYS)
+    sinks.write_table(b, f"{base}/b.csv", "csv", order_by=FEATURE_KEYS)
+    named = tables.read_feature_tables(spark, [f"{base}/a.parquet", f"{base}/b.csv"])
+    return rounded(master.union_features([t for _, t in named]))
+
+
+@query
+def summary_round_trip(spark, sf):
+    """A nested one-row summary written as JSON and read back."""
+    path = _place(spark, "summary")
+    sinks.write_summary(master.master_report(cut(weekly(spark, sf))), path)
+    return spark.read.json(path).select("rows", "columns", F.array_join("datasets", ",").alias("datasets"), "entities", "missing")
+
+
+@query
+def slice_round_trip(spark, sf):
+    """Slices written one after the other, one of them a second time; all are read back, each once."""
+    path, f = _place(spark, "slices"), staged(spark, sf)
+    empty = slices.consolidate(spark, path)
+    for kind in ("ratios", "absolute", "ratios"):
+        rows = profile.branch_summary(f).select("n_rows", F.lit(kind == "absolute" or slices.consolidate(spark, path) is not None).alias("later"))
+        sinks.write_slice(rows.withColumns({"branch": F.lit("hourly"), "feature_set": F.lit(kind)}), path)
+    return slices.consolidate(spark, path).select("branch", "feature_set", "n_rows", "later", F.lit(empty is None).alias("began_empty"))
+
+
+@query
+def rows_with_time(spark, sf):
+    raw = wh.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("entity_id"), F.when(F.col("event_type") != "signup", F.col("ts").cast("string")).alias("ts"), F.col("value").alias("eat")
+    )
+    return rounded(cleaning.drop_without_time(cleaning.clean(raw, deduplicate=False)).groupBy("entity_id").agg(F.count("*").alias("n"), F.sum("eat").alias("eat")))

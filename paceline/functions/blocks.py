@@ -150,10 +150,13 @@ def build_cells(points: DataFrame, rows_per_cell: int = 1_024, max_pivots: int =
     return Cells(assigned.select("pid", "w", "features", "cell"), pivots, count, weight, radius, slack)
 
 
-def lower_bounds(d: np.ndarray, own: np.ndarray, cells: Cells) -> np.ndarray:
-    """No point of cell j is nearer than this to the row: ball bound and bisector bound."""
+def lower_bounds(d: np.ndarray, own: np.ndarray, cells: Cells, between: np.ndarray) -> np.ndarray:
+    """No point of cell j is nearer than this to the row: ball bound and bisector bound.
+
+    ``between`` holds the distances of the pivots, computed once per task.
+    """
     ball = d - cells.radius[None, :]
-    p2 = np.sqrt(squared(cells.pivots, cells.pivots))[own]
+    p2 = between[own]
     mine = d[np.arange(len(d)), own][:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         bisector = np.where(p2 > 0, (d * d - mine * mine) / (2.0 * p2), 0.0)

@@ -37,7 +37,13 @@ FEATURE_METADATA = (
     "dataset", "system", "entity_id", "window_start", "resolution", "scale_type",
     "n_records", "n_missing", "anomaly_count", "anomaly_rate",
 )
-FEATURE_SETS = ("absolute", "ratios", "absolute_no_count")
+# which features go into PCA and clustering together
+FEATURE_SET_COLUMNS = {
+    "absolute": tuple(f"{m}_{s}" for m in MEASURES for s in STATISTICS),
+    "ratios": tuple(f"ratio_{a}" for a in ACTIVITY),
+    "absolute_no_count": tuple(f"{a}_{s}" for a in ACTIVITY for s in STATISTICS),
+}
+FEATURE_SETS = tuple(FEATURE_SET_COLUMNS)
 # ------------------------------------------------------------------------------
 
 

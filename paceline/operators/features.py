@@ -12,6 +12,7 @@ from paceline.functions.columns import (
 )
 from paceline.functions.quantiles import exact_quantiles
 from paceline.model import FEATURE_METADATA
+from paceline.session import cut
 
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 # above this many rows a single (entity, window) no longer fits one aggregation buffer
@@ -25,35 +26,29 @@ def _same_keys(keys: Sequence[str], left: DataFrame, right: DataFrame) -> Column
     return cond
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """(ordinary rows, rows of groups larger than ``limit``).
-
-    There are at most rows/limit hot groups, which bounds the broadcast. When there
-    are none AQE drops the hot branch after the counting stage.
-    """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys)
-    hot = F.broadcast(hot)
-    cond = _same_keys(keys, df, hot)
-    return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys of the groups larger than ``limit`` (at most rows/limit of them), None if there are none."""
+    hot = cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys))
+    return hot if hot.limit(1).count() else None
 
 
-def _mergeable(cols: Sequence[str], acts: Sequence[str], counted: Sequence[str], labelled: bool) -> list[Column]:
-    aggs = [F.count("*").alias("n_records"), F.sum(missing_cells(counted)).cast("long").alias("n_missing")]
+def _mergeable(cols: Sequence[str], acts: Sequence[str], labelled: bool) -> list[Column]:
+    aggs = [F.count("*").alias("n_records"), F.sum("__missing").cast("long").alias("n_missing")]
     for c in cols:
         aggs += [
-            F.expr(f"avg({c}) AS {c}_mean"), F.expr(f"stddev_samp({c}) AS {c}_std"),
-            F.expr(f"min({c}) AS {c}_min"), F.expr(f"max({c}) AS {c}_max"),
+            F.expr(f"avg(`{c}`) AS `{c}_mean`"), F.expr(f"stddev_samp(`{c}`) AS `{c}_std`"),
+            F.expr(f"min(`{c}`) AS `{c}_min`"), F.expr(f"max(`{c}`) AS `{c}_max`"),
         ]
-    aggs += [F.expr(f"coalesce(sum({c}), 0.0D) AS __sum_{c}") for c in acts]
+    aggs += [F.expr(f"coalesce(sum(`{c}`), 0.0D) AS `__sum_{c}`") for c in acts]
     if labelled:
-        aggs.append(F.count_if(is_anomaly("anomaly_label")).alias("anomaly_count"))
+        aggs.append(F.count_if("__anomaly").alias("anomaly_count"))
     return aggs
 
 
 def _hot_features(df: DataFrame, keys: Sequence[str], cols: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     base = df.groupBy(*keys).agg(*aggs)
-    q = exact_quantiles(df, keys, cols, QUANTILES, few_groups=True)
-    wide = q.groupBy(*keys).agg(*[F.expr(f"max(if(variable = '{c}', q, NULL)) AS __q_{c}") for c in cols])
+    q = exact_quantiles(df, keys, cols, QUANTILES)
+    wide = q.groupBy(*keys).agg(*[F.expr(f"max(if(variable = '{c}', q, NULL)) AS `__q_{c}`") for c in cols])
     cond = _same_keys(keys, base, wide)
     return base.join(wide, cond, "left").select(*[base[c] for c in base.columns], *[wide[f"__q_{c}"] for c in cols])
 
@@ -71,6 +66,9 @@ def extract_features(
     ``by`` names metadata columns already in ``df`` (several sources in one job);
     ``metadata`` stamps literal ones. A missing entity is a group of its own.
     ``approximate`` trades exact quantiles for sketches.
+
+    The source is read once: its keys, measures and two flags are written as a narrow table, groups
+    are counted from that, and only if one is too large for an aggregation buffer is it treated apart.
     """
     require(df, ("entity_id", "ts"), "activity table")
     by = list(by)
@@ -78,17 +76,25 @@ def extract_features(
     labelled = "anomaly_label" in df.columns
     counted = [c for c in df.columns if c not in by and c not in ("dataset", "system")]
     keys = by + ["entity_id", "window_start"]
-    work = df.where(F.col("ts").isNotNull()).withColumn("window_start", window_floor("ts", window))
-    aggs = _mergeable(cols, acts, counted, labelled)
+    flags = [missing_cells(counted).alias("__missing")] + ([is_anomaly("anomaly_label").alias("__anomaly")] if labelled else [])
+    work = df.where(F.col("ts").isNotNull()).select(
+        *[F.col(f"`{k}`") for k in by], "entity_id", window_floor("ts", window).alias("window_start"), *[F.col(f"`{c}`") for c in cols], *flags
+    )
+    aggs = _mergeable(cols, acts, labelled)
 
     probs = ", ".join(f"{q}D" for q in QUANTILES)
-    percentile = f"percentile_approx({{0}}, array({probs}), 10000)" if approximate else f"percentile({{0}}, array({probs}))"
-    quantiles = [F.expr(percentile.format(c) + f" AS __q_{c}") for c in cols]
-    if hot_group_rows is None or approximate or not cols:
+    percentile = f"percentile_approx(`{{0}}`, array({probs}), 10000)" if approximate else f"percentile(`{{0}}`, array({probs}))"
+    quantiles = [F.expr(percentile.format(c) + f" AS `__q_{c}`") for c in cols]
+    hot = None
+    if hot_group_rows is not None and not approximate and cols:
+        work = cut(work)
+        hot = hot_groups(work, keys, hot_group_rows)
+    if hot is None:
         grouped = work.groupBy(*keys).agg(*aggs, *quantiles)
     else:
-        ordinary, hot = split_hot(work, keys, hot_group_rows)
-        grouped = ordinary.groupBy(*keys).agg(*aggs, *quantiles).unionByName(_hot_features(hot, keys, cols, aggs))
+        cond = _same_keys(keys, work, hot)
+        ordinary, crowded = work.join(hot, cond, "left_anti"), cut(work.join(hot, cond, "left_semi"))
+        grouped = ordinary.groupBy(*keys).agg(*aggs, *quantiles).unionByName(_hot_features(crowded, keys, cols, aggs))
 
     literal = {k: f"'{v}' AS {k}" for k, v in metadata.items()}
     available = {*keys, *grouped.columns}
@@ -98,14 +104,14 @@ def extract_features(
     stats = []
     for c in cols:
         stats += [
-            f"{c}_mean", f"{c}_std", f"{c}_min", f"{c}_max", f"__q_{c}[2] AS {c}_median", f"__q_{c}[0] AS {c}_p10",
-            f"__q_{c}[4] AS {c}_p90", f"__q_{c}[3] - __q_{c}[1] AS {c}_iqr",
-            f"if({c}_mean <> 0, {c}_std / {c}_mean, NULL) AS {c}_cv",
+            f"`{c}_mean`", f"`{c}_std`", f"`{c}_min`", f"`{c}_max`", f"`__q_{c}`[2] AS `{c}_median`", f"`__q_{c}`[0] AS `{c}_p10`",
+            f"`__q_{c}`[4] AS `{c}_p90`", f"`__q_{c}`[3] - `__q_{c}`[1] AS `{c}_iqr`",
+            f"if(`{c}_mean` <> 0, `{c}_std` / `{c}_mean`, NULL) AS `{c}_cv`",
         ]
-    total = " + ".join(f"__sum_{c}" for c in acts)
-    ratios = [f"if({total} > 0, __sum_{c} / ({total}), NULL) AS ratio_{c}" for c in acts]
+    total = " + ".join(f"`__sum_{c}`" for c in acts)
+    ratios = [f"if({total} > 0, `__sum_{c}` / ({total}), NULL) AS `ratio_{c}`" for c in acts]
     tail = ["anomaly_count", "anomaly_count / n_records AS anomaly_rate"] if labelled else []
-    extra = [k for k in by if k not in FEATURE_METADATA]
+    extra = [f"`{k}`" for k in by if k not in FEATURE_METADATA]
     return grouped.selectExpr(*extra, *head, *stats, *ratios, *tail)
 
 

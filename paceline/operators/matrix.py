@@ -11,21 +11,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.functions.columns import present
 from paceline.functions.quantiles import exact_quantiles
-from paceline.model import COUNT_COLUMN, FEATURE_METADATA, FEATURE_SETS
+from paceline.model import FEATURE_KEYS, FEATURE_SET_COLUMNS, FEATURE_SETS
 
 
 def feature_columns(df: DataFrame, feature_set: str) -> list[str]:
-    """Columns of a feature set, metadata excluded."""
-    if feature_set not in FEATURE_SETS:
+    """The declared columns of a set, as far as the table has them."""
+    require_set(feature_set)
+    return present(df, FEATURE_SET_COLUMNS[feature_set])
+
+
+def require_set(feature_set: str) -> None:
+    if feature_set not in FEATURE_SET_COLUMNS:
         raise ValueError(f"unknown feature set {feature_set!r}; choose one of {FEATURE_SETS}")
-    candidates = [c for c in df.columns if c not in FEATURE_METADATA and c != "id"]
-    if feature_set == "ratios":
-        return [c for c in candidates if c.startswith("ratio_")]
-    absolute = [c for c in candidates if not c.startswith("ratio_")]
-    if feature_set == "absolute_no_count":
-        return [c for c in absolute if not c.startswith(f"{COUNT_COLUMN}_")]
-    return absolute
 
 
 @dataclass(frozen=True)
@@ -70,7 +69,7 @@ def fit_scale(df: DataFrame, columns: Sequence[str]) -> ScaleModel:
     moments = df.agg(
         F.count("*").alias("__rows"),
         *[
-            F.expr(f"struct(count({c}) AS n, avg(cast({c} AS DOUBLE)) AS mu, var_pop(cast({c} AS DOUBLE)) AS var) AS {c}")
+            F.expr(f"struct(count(`{c}`) AS n, avg(cast(`{c}` AS DOUBLE)) AS mu, var_pop(cast(`{c}` AS DOUBLE)) AS var) AS `{c}`")
             for c in columns
         ],
     ).first()
@@ -140,6 +139,16 @@ def pca(df: DataFrame, names: Sequence[str], k: int = 2, features: str = "featur
     return PcaResult(projection, spark.createDataFrame(rows, schema), explained, pc)
 
 
+def with_features(projection: DataFrame, features: DataFrame) -> DataFrame:
+    """The projection with the feature columns of the same entity-window; keys may be missing."""
+    right = features.select(F.struct(*features.columns).alias("__f"))
+    same = F.lit(True)
+    for k in FEATURE_KEYS:
+        same = same & projection[k].eqNullSafe(F.col(f"__f.{k}"))
+    rest = [F.col(f"__f.{c}") for c in features.columns if c not in projection.columns]
+    return projection.join(right, same, "left").select(*projection.columns, *rest)
+
+
 def top_loadings(loadings: DataFrame, component: int = 1, k: int = 5) -> DataFrame:
     """The k variables with the largest absolute loading on one component."""
     name = f"pc{component}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.columns import hour_floor, label_or_default, measure_columns, missing_cells
 from paceline.functions.quantiles import exact_medians
+from paceline.session import cut
 
 DAILY_GAP_HOURS = 12.0
 
@@ -34,10 +35,11 @@ def time_gaps(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Times are first cut into hours. Inside an hour ``lag`` runs over that hour's
     distinct times only; gaps across hours come from the hours' first and last
-    times. No window ever spans a whole source's times.
+    times. One window spans a source's hours (some thousands a year), none its times.
     """
     by = list(by)
-    times = df.where(F.col("ts").isNotNull()).select(*by, "ts").distinct().withColumn("__h", hour_floor("ts"))
+    # read by both kinds of gap below, so written once
+    times = cut(df.where(F.col("ts").isNotNull()).select(*by, "ts").distinct().withColumn("__h", hour_floor("ts")))
 
     def hours(late: Column, early: Column) -> Column:
         return (F.unix_micros(late.cast("timestamp")) - F.unix_micros(early.cast("timestamp"))) / F.lit(3.6e9)
@@ -54,7 +56,7 @@ def infer_frequency(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """"daily" when the median gap is at least twelve hours, else "hourly"; one time only: "unknown"."""
     by = list(by)
     gaps = time_gaps(df, by)
-    medians = exact_medians(gaps, by, ["gap_hours"], ["median_gap_hours"], few_groups=True)
+    medians = exact_medians(gaps, by, ["gap_hours"], ["median_gap_hours"])
     sources = df.select(*by).distinct() if by else df.agg(F.count("*").alias("rows"))
     out = attach(sources, medians, by, ["median_gap_hours"])
     gap = F.col("median_gap_hours")

@@ -52,7 +52,7 @@ def classify_resolution(audited: DataFrame, by: Sequence[str] = ("dataset",), ba
     Sources are few, days are many: medians come from the bracketed quantiles.
     """
     by = list(by)
-    long = exact_quantiles(audited, by, ["n_records", "sum_activity"], [0.5], few_groups=True)
+    long = exact_quantiles(audited, by, ["n_records", "sum_activity"], [0.5])
     is_sum = F.col("variable") == "sum_activity"
     wide = long.groupBy(*by).agg(
         F.max(F.when(~is_sum, F.col("q")[0])).alias("median_records"),
@@ -119,7 +119,7 @@ def rollup_report(daily: DataFrame, by: Sequence[str] = (), **provenance: str) -
         F.avg("sum_activity").alias("mean_sum_activity"),
     )
     cols = [c for c in ("n_source_rows", "sum_activity") if c in work.columns]
-    medians = exact_medians(work, by, cols, few_groups=True)
+    medians = exact_medians(work, by, cols)
     if by:
         cond = F.lit(True)
         for k in by:

@@ -72,7 +72,6 @@ CTES = {
       CASE event_type WHEN 'error' THEN 'ANOMALY' WHEN 'signup' THEN 'HEAT' ELSE 'BIRTH' END AS event_type
       FROM events WHERE event_type IN ('error', 'signup', 'purchase')""",
     "half": "SELECT * FROM raw_daily WHERE ts < TIMESTAMP '2024-01-16'",
-    "heat": "SELECT * FROM raw_daily WHERE anomaly_label = 'Heat/Estrus'",
     "weekly": features("clean", "week", ["dataset", "system"], list(MEASURES), list(ACTIVITY), "hourly", "native"),
     "label_n": """SELECT dataset, system, entity_id, date_trunc('day', ts)::TIMESTAMP AS ts, anomaly_label, count(*) AS n
       FROM clean WHERE anomaly_label NOT IN """ + _NORMAL + " GROUP BY ALL",
@@ -87,10 +86,10 @@ CTES = {
     "CASE WHEN dataset <> 'FURNITURE' THEN anomaly_rate END AS anomaly_rate) FROM ("
     + features("days", "week", ["dataset", "system"], list(MEASURES), list(ACTIVITY), "daily", "rolled up from hourly") + ")",
     "native_a": f"SELECT entity_id, ts AS day, {_COALESCED.replace('coalesce(steps, 0.0)', 'coalesce(steps + 1.0, 0.0)')} "
-    "FROM daily WHERE dataset <> 'BUILDING'",
+    "FROM daily",
     "hours_b": f"""SELECT entity_id, date_trunc('day', ts)::TIMESTAMP AS day,
       {', '.join(f'coalesce(sum({m}), 0.0) AS {m}' for m in MEASURES)}
-      FROM hourly WHERE dataset <> 'MACHINERY' GROUP BY ALL""",
+      FROM hourly GROUP BY ALL""",
     "diffs": " UNION ALL ".join(
         f"SELECT '{m}' AS variable, abs(a.{m} - b.{m}) AS d FROM native_a a JOIN hours_b b USING (entity_id, day)" for m in MEASURES
     ),
@@ -104,9 +103,11 @@ CTES = {
     "gaps": """SELECT source, epoch_us(ts - lag(ts) OVER (PARTITION BY source ORDER BY ts)) / 3.6e9 AS g FROM all_times""",
     "ds_gaps": """SELECT dataset, epoch_us(ts - lag(ts) OVER (PARTITION BY dataset ORDER BY ts)) / 3.6e9 AS g
       FROM (SELECT DISTINCT dataset, ts FROM clean)""",
-    "master": """SELECT * EXCLUDE (rk) FROM (SELECT *, 0 AS rk FROM weekly WHERE system = 'extensive'
-        UNION ALL BY NAME SELECT *, 1 AS rk FROM branch_b)
+    "branches": "SELECT *, 0 AS rk FROM weekly UNION ALL BY NAME SELECT *, 1 AS rk FROM branch_b",
+    "master": """SELECT * EXCLUDE (rk) FROM branches
       QUALIFY row_number() OVER (PARTITION BY dataset, system, entity_id, window_start ORDER BY rk) = 1""",
+    "master_days": """SELECT * EXCLUDE (rk) FROM branches
+      QUALIFY row_number() OVER (PARTITION BY dataset, system, entity_id, window_start ORDER BY rk DESC) = 1""",
     "key_values": "UNPIVOT (SELECT dataset, system, " + ", ".join(KEY_FEATURES) + " FROM weekly) ON "
     + ", ".join(KEY_FEATURES) + " INTO NAME variable VALUE x",
     "box_values": "SELECT variable, x FROM key_values WHERE variable LIKE '%_mean'",
@@ -133,6 +134,7 @@ def sql(body: str, *extra: tuple[str, str]) -> str:
 
 
 SQL: dict[str, str] = {}
+_KS = "(SELECT CAST(range AS INT) AS k FROM range(2, 7))"
 
 SQL["clean_activity"] = f"""
   SELECT DISTINCT CAST(user_id AS VARCHAR) AS entity_id, CASE WHEN event_type <> 'signup' THEN ts END AS ts,
@@ -155,8 +157,12 @@ SQL["profile"] = sql(f"""
   SELECT dataset, count(*) AS rows, count(DISTINCT entity_id) AS entities,
     CAST(sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c in ['entity_id', 'ts', *MEASURES, 'anomaly_label'])}) AS BIGINT) AS missing,
     min(ts) AS start, max(ts) AS "end", 9 AS columns, {r('any_value(m)', 'median_gap_hours')},
-    CASE WHEN any_value(m) IS NULL THEN 'unknown' WHEN any_value(m) >= 12 THEN 'daily' ELSE 'hourly' END AS frequency
-  FROM clean LEFT JOIN (SELECT dataset, median(g) AS m FROM ds_gaps GROUP BY dataset) USING (dataset) GROUP BY dataset""")
+    CASE WHEN any_value(m) IS NULL THEN 'unknown' WHEN any_value(m) >= 12 THEN 'daily' ELSE 'hourly' END AS frequency,
+    any_value(tops) AS top_labels
+  FROM clean LEFT JOIN (SELECT dataset, median(g) AS m FROM ds_gaps GROUP BY dataset) USING (dataset)
+  LEFT JOIN (SELECT dataset, string_agg(label || ':' || n, ',' ORDER BY k) AS tops FROM (
+    SELECT dataset, anomaly_label AS label, count(*) AS n, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, anomaly_label) AS k
+    FROM clean GROUP BY 1, 2) WHERE k <= 5 GROUP BY dataset) USING (dataset) GROUP BY dataset""")
 SQL["compare_profiles"] = sql(f"""
   SELECT * REPLACE ({', '.join(f'round(mean_{m}, 6) + 0.0 AS mean_{m}' for m in MEASURES)}), 9 AS columns FROM profiles JOIN (
     SELECT dataset, system, anomaly_label AS top_label, count(*) AS top_label_count FROM clean GROUP BY 1, 2, 3
@@ -219,7 +225,7 @@ SQL["events_in_activity_range"] = sql("""
 _LABEL = """SELECT entity_id, event_date AS ts, CASE WHEN bool_or(event_type = 'ANOMALY') THEN 'ANOMALY'
     WHEN bool_or(event_type = 'HEAT') THEN 'HEAT' ELSE 'unlabelled' END AS lab FROM log GROUP BY 1, 2"""
 SQL["label_from_events"] = sql(f"""
-  SELECT entity_id, ts, {r('steps')}, coalesce(lab, 'unlabelled') AS anomaly_label
+  SELECT entity_id, ts, {rs(*MEASURES)}, coalesce(lab, 'unlabelled') AS anomaly_label
   FROM raw_daily LEFT JOIN ({_LABEL}) USING (entity_id, ts)""")
 SQL["label_without_coverage"] = sql("SELECT CAST(NULL AS VARCHAR) AS anomaly_label, count(*) AS n FROM raw_daily")
 SQL["daily_equivalent"] = sql(f"""
@@ -230,17 +236,17 @@ SQL["rescale_report"] = sql(f"""
   SELECT 'daily_equivalent' AS dataset, count(*) AS rows, count(DISTINCT entity_id) AS entities, 24.0::DOUBLE AS factor,
     '{','.join(MEASURES)}' AS scaled_columns, {r(f'avg(24 * ({_HALF_SUM}))', 'mean_sum_activity')},
     {r(f'median(24 * ({_HALF_SUM}))', 'median_sum_activity')}, (SELECT count(*) FROM log) AS events_total,
-    (SELECT count(*) FROM log WHERE event_date BETWEEN (SELECT min(ts) FROM half) AND (SELECT max(ts) FROM half)) AS events_in_range,
+    (SELECT count(*) FROM log WHERE event_date BETWEEN (SELECT min(ts) FROM raw_daily) AND (SELECT max(ts) FROM raw_daily)) AS events_in_range,
     (SELECT min(event_date) FROM log) AS events_start, (SELECT max(event_date) FROM log) AS events_end,
-    min(ts) AS activity_start, max(ts) AS activity_end, 'labels derived from events within the activity period' AS note FROM half""")
+    min(ts) AS activity_start, max(ts) AS activity_end, 'labels derived from events within the activity period' AS note FROM raw_daily""")
 SQL["event_counts"] = sql("SELECT event_type, count(*) AS n FROM log GROUP BY 1")
 SQL["entity_event_summary"] = sql("""
   SELECT entity_id, count(event_type) AS event_total, count(*) FILTER (WHERE event_type = 'ANOMALY') AS anomaly_events,
     count(*) FILTER (WHERE event_type = 'HEAT') AS heat_events, count(*) FILTER (WHERE event_type = 'BIRTH') AS birth_events,
     min(event_date) AS first_event_date, max(event_date) AS last_event_date,
-    entity_id IN (SELECT entity_id FROM heat) AS has_activity FROM log GROUP BY entity_id""")
+    entity_id IN (SELECT entity_id FROM raw_daily) AS has_activity FROM log GROUP BY entity_id""")
 SQL["common_entities"] = sql("""
-  SELECT entity_id FROM heat INTERSECT SELECT entity_id FROM log WHERE event_type = 'BIRTH' ORDER BY entity_id LIMIT 10""")
+  SELECT entity_id FROM raw_daily INTERSECT SELECT entity_id FROM log ORDER BY entity_id LIMIT 10""")
 SQL["temporal_overlap"] = sql("""
   SELECT a.*, e.*, activity_start IS NOT NULL AND events_start IS NOT NULL
     AND greatest(activity_start, events_start) <= least(activity_end, events_end) AS temporal_overlap
@@ -251,12 +257,12 @@ SQL["integration_report"] = sql(f"""
     CAST(sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c in ['entity_id', 'ts', *MEASURES, 'anomaly_label'])}) AS BIGINT) AS activity_missing,
     min(ts) AS activity_start, max(ts) AS activity_end, any_value(er) AS event_rows, any_value(ee) AS event_entities,
     any_value(es) AS events_start, any_value(ed) AS events_end, any_value(ek) AS event_kinds,
-    (SELECT count(*) FROM (SELECT entity_id FROM heat INTERSECT SELECT entity_id FROM log WHERE event_type = 'BIRTH')) AS common_entities,
-    (SELECT string_agg(entity_id, ',' ORDER BY entity_id) FROM (SELECT entity_id FROM heat INTERSECT
-      SELECT entity_id FROM log WHERE event_type = 'BIRTH' ORDER BY entity_id LIMIT 10)) AS sample,
+    (SELECT count(*) FROM (SELECT entity_id FROM raw_daily INTERSECT SELECT entity_id FROM log)) AS common_entities,
+    (SELECT string_agg(entity_id, ',' ORDER BY entity_id) FROM (SELECT entity_id FROM raw_daily INTERSECT
+      SELECT entity_id FROM log ORDER BY entity_id LIMIT 10)) AS sample,
     min(ts) <= any_value(ed) AND any_value(es) <= max(ts) AS overlap
-  FROM heat, (SELECT count(*) AS er, count(DISTINCT entity_id) AS ee, min(event_date) AS es, max(event_date) AS ed,
-    count(DISTINCT event_type) AS ek FROM log WHERE event_type = 'BIRTH')""")
+  FROM raw_daily, (SELECT count(*) AS er, count(DISTINCT entity_id) AS ee, min(event_date) AS es, max(event_date) AS ed,
+    count(DISTINCT event_type) AS ek FROM log)""")
 
 _F = rs(*feature_list())
 _K = "entity_id, window_start, n_records, n_missing, anomaly_count"
@@ -281,12 +287,17 @@ SQL["anomaly_rate"] = sql(f"""
   SELECT dataset, system, date_trunc('week', ts)::TIMESTAMP AS window_start, count(*) AS n_records,
     count(*) FILTER (WHERE anomaly_label NOT IN {_NORMAL}) AS anomaly_count,
     {r(f'count(*) FILTER (WHERE anomaly_label NOT IN {_NORMAL}) / count(*)::DOUBLE', 'anomaly_rate')} FROM clean GROUP BY 1, 2, 3""")
-SQL["branch_union"] = sql(f"""
-  SELECT dataset, system, entity_id, window_start, resolution, {r('eat_mean')}, anomaly_count, NULL::DOUBLE AS rest_median FROM weekly
-  UNION ALL SELECT dataset, system, entity_id, window_start, resolution, NULL, anomaly_count, {r('rest_median')} FROM branch_b""")
-SQL["master_table"] = sql(f"""
-  SELECT dataset, system, entity_id, window_start, resolution, n_records, anomaly_count,
-    {rs('ruminate_mean', 'steps_p90', 'ratio_walk')} FROM master""")
+_COLS = f"dataset, system, resolution, scale_type, {_K}, {_F}"
+SQL["branch_union"] = sql(f"SELECT {_COLS} FROM branches")
+SQL["branch_union_gaps"] = sql(
+    f"SELECT {_COLS} FROM (SELECT * REPLACE (CASE WHEN rk = 1 THEN rest_median END AS rest_median, CASE WHEN rk = 0 THEN eat_mean END AS eat_mean) FROM branches)")
+SQL["master_table"] = sql(f"SELECT {_COLS} FROM master")
+SQL["master_table_daily_first"] = sql(f"SELECT {_COLS} FROM master_days")
+SQL["master_inputs"] = sql(f"""
+  SELECT CASE rk WHEN 0 THEN 'hourly branch' ELSE 'daily branch' END AS "table", count(*) AS rows, {9 + len(feature_list())} AS columns,
+    min(dataset) AS dataset, min(system) AS system FROM branches GROUP BY rk""")
+_NUMERIC = ["n_records", "n_missing", *[f"{m}_{st}" for m in MEASURES for st in STATISTICS], *[f"ratio_{a}" for a in ACTIVITY], "anomaly_count", "anomaly_rate"]
+SQL["numeric_summary"] = sql(" UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n_values FROM weekly" for c in _NUMERIC))
 SQL["master_report"] = sql(f"""
   SELECT count(*) AS rows, {9 + len(feature_list())} AS columns, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS datasets,
     string_agg(DISTINCT system, ',' ORDER BY system) AS systems, count(DISTINCT entity_id) AS entities,
@@ -294,7 +305,7 @@ SQL["master_report"] = sql(f"""
     CAST(sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c in feature_list() + ['anomaly_count'])}) AS BIGINT) AS missing FROM master""")
 SQL["feature_counts"] = sql("""
   SELECT dataset, system, resolution, scale_type, count(*) AS n FROM
-    (SELECT * FROM weekly UNION ALL BY NAME SELECT * FROM branch_b) GROUP BY ALL""")
+    branches GROUP BY ALL""")
 
 SQL["system_feature_means"] = sql(f"""
   SELECT variable, {r("avg(x) FILTER (WHERE system = 'extensive')", 'mean_extensive')},
@@ -320,18 +331,27 @@ SQL["correlation_matrix"] = sql(
     + ")")
 SQL["group_centroids"] = sql(f"SELECT dataset, {r('avg(eat_mean)', 'eat_mean')}, {r('avg(rest_mean)', 'rest_mean')} FROM weekly GROUP BY 1")
 
-_IMPUTED = [f"{m}_std" for m in MEASURES] + ["ruminate_cv"]
+_ABSOLUTE = [f"{m}_{st}" for m in MEASURES for st in STATISTICS]
+_NO_COUNT = [f"{a}_{st}" for a in ACTIVITY for st in STATISTICS]
+
+
+def _medians(columns: list[str]) -> str:
+    return "SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in columns) + " FROM weekly"
+
+
+def _filled(columns: list[str]) -> str:
+    return "SELECT dataset, system, entity_id, window_start, " + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in columns) + " FROM weekly, medians"
+
+
 SQL["impute_median"] = sql(
-    "SELECT dataset, system, entity_id, window_start, "
-    + ", ".join(r(f"coalesce({c}, (SELECT median({c}) FROM weekly))", c) for c in _IMPUTED) + " FROM weekly")
-_SCALED = [f"{a}_mean" for a in ACTIVITY] + ["walk_cv"]
+    f"SELECT dataset, system, entity_id, window_start, {rs(*_ABSOLUTE)} FROM filled",
+    ("medians", _medians(_ABSOLUTE)), ("filled", _filled(_ABSOLUTE)))
 SQL["standardize"] = sql(
     "SELECT dataset, system, entity_id, window_start, "
-    + ", ".join(
-        f"round(({c} - (SELECT avg({c}) FROM filled)) / (SELECT stddev_pop({c}) FROM filled), 6) + 0.0 AS {c}" for c in _SCALED)
-    + " FROM filled",
-    ("filled", "SELECT dataset, system, entity_id, window_start, "
-     + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM weekly)) AS {c}" for c in _SCALED) + " FROM weekly"))
+    + ", ".join(f"round(({c} - mu_{c}) / CASE WHEN sd_{c} > 1e-10 * greatest(1, abs(mu_{c})) THEN sd_{c} ELSE 1 END, 6) + 0.0 AS {c}" for c in _NO_COUNT)
+    + " FROM filled, moments",
+    ("medians", _medians(_NO_COUNT)), ("filled", _filled(_NO_COUNT)),
+    ("moments", "SELECT " + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _NO_COUNT) + " FROM filled"))
 SQL["eta_squared"] = sql(" UNION ALL ".join(
     f"""SELECT '{v}' AS value, '{g}' AS grouping, round(sum(n * (mu - gm) * (mu - gm)) / any_value(st), 6) + 0.0 AS eta_squared
     FROM (SELECT {g}, count({v}) AS n, avg({v}) AS mu FROM weekly GROUP BY 1),
@@ -339,43 +359,73 @@ SQL["eta_squared"] = sql(" UNION ALL ".join(
     for v in ("eat_mean", "steps_mean") for g in ("system", "dataset")))
 
 
-# --- PCA by power iteration on the correlation matrix of the imputed ratios ---------
+# --- PCA by power iteration on the correlation matrix of the imputed columns ---------
 _RATIOS = [f"ratio_{a}" for a in ACTIVITY]
-_N = len(_RATIOS)
+_SETS = {"absolute": _ABSOLUTE, "ratios": _RATIOS, "absolute_no_count": _NO_COUNT}
 _UNIT = "list_transform({0}, lambda z: z / sqrt(list_dot_product({0}, {0})))"
-_PCA = (
-    ("rat", "SELECT dataset, system, entity_id, window_start, "
-     + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM weekly)) AS {c}" for c in _RATIOS) + " FROM weekly"),
-    ("zs", "SELECT dataset, system, entity_id, window_start, ["
-     + ", ".join(f"({c} - (SELECT avg({c}) FROM rat)) / (SELECT stddev_pop({c}) FROM rat)" for c in _RATIOS) + "] AS z FROM rat"),
-    ("cm", "SELECT [" + ", ".join("[" + ", ".join(f"corr({a}, {b})" for b in _RATIOS) + "]" for a in _RATIOS) + "] AS c FROM rat"),
-    ("it1", "SELECT 0 AS i, [0.9, 0.1, -0.4, 0.3, -0.7]::DOUBLE[] AS v UNION ALL SELECT i + 1, "
-     + _UNIT.format("list_transform(c, lambda r: list_dot_product(r, v))") + " FROM it1, cm WHERE i < 2000"),
-    ("e1", "SELECT v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM it1, cm WHERE i = 2000"),
-    ("cm2", f"SELECT list_transform(range(1, {_N + 1}), lambda a: list_transform(range(1, {_N + 1}), "
-     "lambda b: c[a][b] - l * v[a] * v[b])) AS c FROM cm, e1"),
-    ("it2", "SELECT 0 AS i, [0.2, 0.8, -0.1, -0.6, 0.5]::DOUBLE[] AS v UNION ALL SELECT i + 1, "
-     + _UNIT.format("list_transform(c, lambda r: list_dot_product(r, v))") + " FROM it2, cm2 WHERE i < 2000"),
-    ("e2", "SELECT v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM it2, cm2 WHERE i = 2000"),
-    ("axes", "SELECT list_transform(a.v, lambda x: x * CASE WHEN list_max(a.v) >= -list_min(a.v) THEN 1 ELSE -1 END) AS w1, "
-     "list_transform(b.v, lambda x: x * CASE WHEN list_max(b.v) >= -list_min(b.v) THEN 1 ELSE -1 END) AS w2, "
-     "a.l AS l1, b.l AS l2 FROM e1 a, e2 b"),
-)
-_NAMES = ", ".join(f"'{c}'" for c in _RATIOS)
-SQL["pca_projection"] = sql("""
+
+
+def _pca(s: str, columns: list[str], source: str = "weekly", steps: int = 3000) -> tuple[tuple[str, str], ...]:
+    """CTEs ``zs_s`` (keys and scaled rows) and ``axes_s`` (two axes with their eigenvalues)."""
+    n = len(columns)
+
+    def power(name: str, matrix: str, start: str) -> list[tuple[str, str]]:
+        step = _UNIT.format("list_transform(c, lambda r: list_dot_product(r, v))")
+        return [
+            (f"it{name}_{s}", f"SELECT 0 AS i, list_transform(range(1, {n + 1}), lambda i: {start}) AS v UNION ALL SELECT i + 1, {step} FROM it{name}_{s}, {matrix}_{s} WHERE i < {steps}"),
+            (f"e{name}_{s}", f"SELECT v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM it{name}_{s}, {matrix}_{s} WHERE i = {steps}"),
+        ]
+
+    return (
+        (f"med_{s}", "SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in columns) + f" FROM {source}"),
+        (f"rat_{s}", "SELECT row_number() OVER () AS rid, dataset, system, entity_id, window_start, ["
+         + ", ".join(f"coalesce({c}, m_{c})" for c in columns) + f"]::DOUBLE[] AS xs FROM {source}, med_{s}"),
+        (f"cell_{s}", f"SELECT rid, unnest(range({n})) AS j, unnest(xs) AS x FROM rat_{s}"),
+        (f"mom_{s}", f"SELECT j, avg(x) AS mu, stddev_pop(x) AS sd FROM cell_{s} GROUP BY j"),
+        (f"sca_{s}", f"SELECT rid, j, (x - mu) / CASE WHEN sd > 1e-10 * greatest(1, abs(mu)) THEN sd ELSE 1 END AS z FROM cell_{s} JOIN mom_{s} USING (j)"),
+        (f"zs_{s}", f"SELECT any_value(dataset) AS dataset, any_value(system) AS system, any_value(entity_id) AS entity_id, any_value(window_start) AS window_start, list(z ORDER BY j) AS z FROM sca_{s} JOIN rat_{s} USING (rid) GROUP BY rid"),
+        (f"cov_{s}", f"SELECT a.j AS j, b.j AS k, sum(a.z * b.z) / (SELECT count(*) FROM rat_{s}) AS s FROM sca_{s} a JOIN sca_{s} b USING (rid) GROUP BY 1, 2"),
+        (f"cm_{s}", f"SELECT list(r ORDER BY j) AS c FROM (SELECT j, list(s ORDER BY k) AS r FROM cov_{s} GROUP BY j)"),
+        *power("1", "cm", "sin(i * 1.7) + 0.1"),
+        (f"cm2_{s}", f"SELECT list_transform(range(1, {n + 1}), lambda a: list_transform(range(1, {n + 1}), lambda b: c[a][b] - l * v[a] * v[b])) AS c FROM cm_{s}, e1_{s}"),
+        *power("2", "cm2", "cos(i * 2.3) - 0.2"),
+        (f"axes_{s}", "SELECT list_transform(a.v, lambda x: x * CASE WHEN list_max(a.v) >= -list_min(a.v) THEN 1 ELSE -1 END) AS w1, "
+         "list_transform(b.v, lambda x: x * CASE WHEN list_max(b.v) >= -list_min(b.v) THEN 1 ELSE -1 END) AS w2, "
+         f"a.l AS l1, b.l AS l2, (SELECT sum(s) FROM cov_{s} WHERE j = k) AS total FROM e1_{s} a, e2_{s} b"),
+    )
+
+
+_PCA = _pca("r", _RATIOS)
+_ALL_PCA = (*_pca("a", _ABSOLUTE), *_PCA, *_pca("n", _NO_COUNT))
+_SUFFIX = {"absolute": "a", "ratios": "r", "absolute_no_count": "n"}
+
+
+def _each_set(body) -> str:
+    return " UNION ALL ".join(body(name, _SUFFIX[name], ", ".join(f"'{c}'" for c in columns)) for name, columns in _SETS.items())
+
+
+SQL["pca_projection"] = sql(_each_set(lambda name, x, _: f"""
+  SELECT '{name}' AS feature_set, dataset, system, entity_id, window_start, round(list_dot_product(z, w1), 4) + 0.0 AS pc1,
+    round(list_dot_product(z, w2), 4) + 0.0 AS pc2 FROM zs_{x}, axes_{x}"""), *_ALL_PCA)
+SQL["pca_loadings"] = sql(_each_set(lambda name, x, names: f"""
+  SELECT '{name}' AS feature_set, variable, round(a, 4) + 0.0 AS pc1, round(b, 4) + 0.0 AS pc2, round(abs(a), 4) AS abs_pc1, round(abs(b), 4) AS abs_pc2
+  FROM (SELECT unnest([{names}]) AS variable, unnest(w1) AS a, unnest(w2) AS b FROM axes_{x})"""), *_ALL_PCA)
+SQL["pca_variance"] = sql(_each_set(lambda name, x, _: f"""
+  SELECT '{name}' AS feature_set, 1 AS component, round(l1 / total, 5) AS explained, round(l1 / total, 5) AS cumulative FROM axes_{x} UNION ALL
+  SELECT '{name}', 2, round(l2 / total, 5), round((l1 + l2) / total, 5) FROM axes_{x}"""), *_ALL_PCA)
+SQL["pca_by_resolution"] = sql(
+    " UNION ALL ".join(f"SELECT '{g}' AS part, round(l1 / total, 5) AS explained_pc1, round(l2 / total, 5) AS explained_pc2 FROM axes_{x}" for g, x in (("extensive", "x"), ("intensive", "i"))),
+    ("ext", "SELECT * FROM weekly WHERE system = 'extensive'"), ("int", "SELECT * FROM weekly WHERE system = 'intensive'"),
+    *_pca("x", _RATIOS, "ext"), *_pca("i", _RATIOS, "int"))
+SQL["projection_with_features"] = sql(f"""
   SELECT dataset, system, entity_id, window_start, round(list_dot_product(z, w1), 4) + 0.0 AS pc1,
-    round(list_dot_product(z, w2), 4) + 0.0 AS pc2 FROM zs, axes""", *_PCA)
-SQL["pca_loadings"] = sql(f"""
-  SELECT variable, round(a, 4) + 0.0 AS pc1, round(b, 4) + 0.0 AS pc2, round(abs(a), 4) AS abs_pc1, round(abs(b), 4) AS abs_pc2
-  FROM (SELECT unnest([{_NAMES}]) AS variable, unnest(w1) AS a, unnest(w2) AS b FROM axes)""", *_PCA)
-SQL["pca_variance"] = sql(f"""
-  SELECT 1 AS component, round(l1 / {_N}, 5) AS explained, round(l1 / {_N}, 5) AS cumulative FROM axes UNION ALL
-  SELECT 2, round(l2 / {_N}, 5), round((l1 + l2) / {_N}, 5) FROM axes""", *_PCA)
-SQL["top_loadings"] = sql(f"""
-  SELECT string_agg(replace(variable, 'ratio_', ''), ',' ORDER BY k) AS base_variables, max(variable) FILTER (WHERE k = 1) AS top_variable,
-    round(max(a) FILTER (WHERE k = 1), 4) AS top_loading, CASE WHEN max(a) FILTER (WHERE k = 1) > 0 THEN 'positive' ELSE 'negative' END AS sign
-  FROM (SELECT variable, a, row_number() OVER (ORDER BY abs(a) DESC) AS k
-    FROM (SELECT unnest([{_NAMES}]) AS variable, unnest(w1) AS a FROM axes)) WHERE k <= 2""", *_PCA)
+    round(list_dot_product(z, w2), 4) + 0.0 AS pc2, {r('eat_mean')}, n_records FROM zs_r JOIN weekly USING (dataset, system, entity_id, window_start), axes_r""", *_PCA)
+_BASE = f"regexp_replace(regexp_replace(variable, '_({'|'.join(STATISTICS)})$', ''), 'ratio_', '')"
+SQL["top_loadings"] = sql(_each_set(lambda name, x, names: " UNION ALL ".join(f"""
+  SELECT '{name}' AS feature_set, {c} AS component, (SELECT string_agg(base, ',' ORDER BY size DESC, base) FROM (SELECT {_BASE} AS base, max(abs(a)) AS size
+      FROM (SELECT * FROM (SELECT unnest([{names}]) AS variable, unnest(w{c}) AS a FROM axes_{x}) ORDER BY abs(a) DESC, variable LIMIT 5) GROUP BY 1)) AS base_variables,
+    variable AS top_variable, round(a, 4) AS top_loading, CASE WHEN a > 0 THEN 'positive' ELSE 'negative' END AS sign
+  FROM (SELECT * FROM (SELECT unnest([{names}]) AS variable, unnest(w{c}) AS a FROM axes_{x}) ORDER BY abs(a) DESC, variable LIMIT 1)""" for c in (1, 2))), *_ALL_PCA)
 
 
 def _eta(v: str, g: str, where: str) -> str:
@@ -396,7 +446,7 @@ SQL["eta_verdict"] = sql(
 
 # --- neighbours, clusters and scores over all pairs (small tables only) -----------
 _VEC = ("vec", "SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings")
-_RAT_VEC = ("vec", "SELECT concat_ws('|', dataset, system, entity_id, strftime(window_start, '%Y-%m-%d %H:%M:%S')) AS id, z AS e FROM zs")
+_RAT_VEC = ("vec", "SELECT concat_ws('|', dataset, system, entity_id, strftime(window_start, '%Y-%m-%d %H:%M:%S')) AS id, z AS e FROM zs_r")
 _PAIRS = ("pairs", "SELECT a.id AS a, b.id AS b, list_distance(a.e, b.e) AS d FROM vec a, vec b")
 
 
@@ -426,9 +476,9 @@ SQL["eps_percentiles"] = sql(
 SQL["dbscan"] = sql(
     "SELECT id, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM vec LEFT JOIN placed USING (id)", _VEC, *_density(0.75, 5))
 SQL["dbscan_activity"] = sql("""
-  SELECT dataset, system, entity_id, window_start, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM zs
+  SELECT dataset, system, entity_id, window_start, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM zs_r
   LEFT JOIN placed ON placed.id = concat_ws('|', dataset, system, entity_id, strftime(window_start, '%Y-%m-%d %H:%M:%S'))""",
-    _RAT_VEC, *_PCA[:2], *_density(0.90, 5))
+    _RAT_VEC, *_PCA[:6], *_density(0.90, 5))
 
 _LABELLED = ("labelled", "SELECT id, e, config, cluster FROM (SELECT id, e, unnest([0, 1, 2, 3]) AS config, "
              "unnest([label, label % 2, label % 3, label - 1]) AS cluster FROM vec) WHERE cluster >= 0")
@@ -486,7 +536,8 @@ SQL["contingency"] = sql("""
   SELECT cluster, count(*) FILTER (WHERE system = 'extensive') AS extensive, count(*) FILTER (WHERE system = 'intensive') AS intensive
   FROM dom GROUP BY cluster""", _DOM)
 _PURE = ("pure", """SELECT entity_id, arg_max(cluster, n * 100 - cluster) AS dominant_cluster, max(n) / sum(n) AS purity,
-  CAST(sum(n) AS BIGINT) AS n_windows FROM (SELECT entity_id, cluster, count(*) AS n FROM dom GROUP BY ALL) GROUP BY entity_id""")
+  CAST(sum(n) AS BIGINT) AS n_windows FROM (SELECT entity_id, cluster, count(*) AS n FROM dom WHERE entity_id IS NOT NULL GROUP BY ALL)
+  GROUP BY entity_id""")
 SQL["entity_purity"] = sql(f"SELECT entity_id, dominant_cluster, {r('purity')}, n_windows FROM pure", _DOM, _PURE)
 SQL["mean_purity"] = sql(f"SELECT {r('avg(purity)', 'mean_purity')} FROM pure", _DOM, _PURE)
 SQL["relation_strength"] = sql(
@@ -500,3 +551,47 @@ SQL["relation_strength"] = sql(
         (SELECT {c}, sum(n) AS total, max(n) AS top FROM (SELECT {c}, cluster, count(*) AS n FROM dom GROUP BY ALL) GROUP BY {c})"""
         for c in ("system", "dataset", "week")
     ) + "))", _DOM)
+
+# --- clustering grids: what must hold whatever the seeds --------------------------------
+SQL["kmeans_grid"] = f"SELECT k, (SELECT count(*) FROM embeddings) AS n_rows, CAST(k AS BIGINT) AS n_clusters, 0::BIGINT AS n_misplaced, 0::BIGINT AS n_off_centre FROM {_KS}"
+SQL["gmm_grid"] = sql(f"SELECT k, (SELECT count(*) FROM weekly) AS n_rows, 0::BIGINT AS n_bad_shares, 0 AS n_bad_weights, 0 AS n_falls FROM {_KS}")
+SQL["hierarchical_grid"] = f"SELECT k, (SELECT count(*) FROM embeddings) AS n_rows, CAST(k AS BIGINT) AS n_clusters, 0::BIGINT AS n_torn FROM {_KS}"
+_LABEL_CENTRES = """SELECT label, list(m ORDER BY dim) AS c, max(n)::DOUBLE AS n FROM (
+  SELECT label, dim, avg(x) AS m, count(*) AS n FROM (SELECT label, unnest(range(64)) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY label"""
+#: state: list of groups, each with its smallest label, its labels, its centre and its rows; the cheapest pair joins
+SQL["ward_labels"] = f"""
+WITH RECURSIVE start AS ({_LABEL_CENTRES}),
+w AS (
+  SELECT 0 AS step, list({{'low': label, 'members': [label], 'c': c, 'n': n}} ORDER BY label) AS g FROM start
+  UNION ALL
+  SELECT step + 1, list_concat(list_filter(g, lambda y, q: q <> p[1] AND q <> p[2]), [{{
+      'low': least(g[p[1]].low, g[p[2]].low), 'members': list_concat(g[p[1]].members, g[p[2]].members),
+      'c': list_transform(list_zip(g[p[1]].c, g[p[2]].c), lambda z: (z[1] * g[p[1]].n + z[2] * g[p[2]].n) / (g[p[1]].n + g[p[2]].n)),
+      'n': g[p[1]].n + g[p[2]].n}}])
+  FROM (SELECT step, g, list_sort(flatten(list_transform(range(1, len(g) + 1), lambda i: list_transform(range(i + 1, len(g) + 1), lambda j:
+          {{'d': g[i].n * g[j].n / (g[i].n + g[j].n) * list_distance(g[i].c, g[j].c) ^ 2, 'i': i, 'j': j}}))))[1] AS b FROM w WHERE len(g) > 2),
+    LATERAL (SELECT [b.i, b.j] AS p))
+SELECT CAST(len(g) AS INT) AS k, unnest(x.members) AS label, x.low AS lowest_label FROM (SELECT g, unnest(g) AS x FROM w) WHERE len(g) BETWEEN 2 AND 6"""
+_PC = ("vec", "SELECT concat_ws('|', dataset, system, entity_id, strftime(window_start, '%Y-%m-%d %H:%M:%S')) AS id, [list_dot_product(z, w1), list_dot_product(z, w2)] AS e FROM zs_r, axes_r")
+_EPS = ("eps", " UNION ALL ".join(f"SELECT {m} AS min_samples, {p} AS percentile, quantile_cont(distance, {p / 100}) AS eps FROM k{m}" for m in (5, 10) for p in (50, 75, 90)))
+SQL["evaluate_grid"] = sql(f"""
+  SELECT algorithm, k, CASE WHEN algorithm = 'agglomerative' THEN 512 END AS micro, NULL::INT AS min_samples, NULL::INT AS percentile, NULL::DOUBLE AS eps,
+    CAST(k AS BIGINT) AS n_clusters, true AS scored FROM {_KS}, (SELECT unnest(['kmeans', 'agglomerative', 'gmm']) AS algorithm)
+  UNION ALL SELECT 'dbscan', NULL, NULL, min_samples, min(percentile), round(arg_min(eps, percentile), 4) + 0.0, NULL, true FROM eps
+  WHERE eps > 0 GROUP BY min_samples, round(eps, 4)""", _PC, *_PCA, _PAIRS, _kth(5), _kth(10), _EPS)
+SQL["global_summary"] = """
+  SELECT unnest(['hourly', 'daily']) AS branch, feature_set, 'pca' AS space, true AS sound
+  FROM (SELECT unnest(['ratios', 'absolute', 'absolute_no_count']) AS feature_set)"""
+
+# --- readers and writers -------------------------------------------------------------
+SQL["activity_round_trip"] = sql(f"SELECT dataset, system, entity_id, ts, {rs('eat', 'rest')}, anomaly_label FROM clean")
+SQL["event_log_round_trip"] = sql("SELECT * FROM log WHERE event_type <> 'BIRTH'")
+SQL["feature_tables_round_trip"] = SQL["branch_union"]
+SQL["summary_round_trip"] = sql(f"""
+  SELECT count(*) AS rows, {9 + len(feature_list())} AS columns, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS datasets, count(DISTINCT entity_id) AS entities,
+    CAST(sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c in feature_list() + ['anomaly_count'])}) AS BIGINT) AS missing FROM weekly""")
+SQL["slice_round_trip"] = sql("""
+  SELECT 'hourly' AS branch, feature_set, (SELECT count(*) FROM weekly) AS n_rows, true AS later, true AS began_empty
+  FROM (SELECT unnest(['ratios', 'absolute']) AS feature_set)""")
+SQL["rows_with_time"] = f"""
+  SELECT CAST(user_id AS VARCHAR) AS entity_id, count(*) AS n, {r('sum(value)', 'eat')} FROM events WHERE event_type <> 'signup' GROUP BY 1"""

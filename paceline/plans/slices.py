@@ -8,12 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.model import FEATURE_KEYS, FEATURE_SETS, SourceSpec
+from paceline.model import FEATURE_KEYS, SourceSpec
 from paceline.operators import cluster, interpret, profile, rollup
 from paceline.operators.cleaning import null_where
 from paceline.operators.features import extract_features
 from paceline.operators.master import union_features
-from paceline.operators.matrix import PcaResult, eta_squared, feature_columns, fit_scale, pca, top_loadings
+from paceline.operators.matrix import PcaResult, eta_squared, feature_columns, fit_scale, pca, require_set, top_loadings
 from paceline.session import cut
 from paceline.sources.tables import path_exists, read_activity
 
@@ -45,8 +45,11 @@ def audit(activity: DataFrame) -> DataFrame:
 
 
 def keyed(features: DataFrame) -> DataFrame:
-    """Feature table with one sortable row key ``id`` made of its four key columns."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in FEATURE_KEYS]
+    """Feature table with one sortable row key ``id`` made of its four key columns.
+
+    A backslash marks a bar inside a key, and stands alone for a missing key, so different keys never meet.
+    """
+    parts = [F.coalesce(F.regexp_replace(F.col(k).cast("string"), r"([\\|])", r"\\$1"), F.lit("\\")) for k in FEATURE_KEYS]
     return features.withColumn("id", F.concat_ws("|", *parts))
 
 
@@ -115,8 +118,7 @@ def cluster_space(points: DataFrame, meta: DataFrame, **grid) -> tuple[DataFrame
 
 def analyze_slice(features: DataFrame, branch: str, feature_set: str, spaces: Sequence[str] = SPACES, **grid) -> tuple[DataFrame, DataFrame]:
     """All spaces of one (branch, feature set): metric rows and best rows, stamped with slice and space."""
-    if feature_set not in FEATURE_SETS:
-        raise ValueError(f"unknown feature set {feature_set!r}; choose one of {FEATURE_SETS}")
+    require_set(feature_set)
     matrix, names = feature_matrix(keyed(features), feature_set)
     matrix = cut(matrix)
     projected = pca(matrix, names)

@@ -1,18 +1,24 @@
-"""Session factory and the shared-folder lookup used to cut long lineages."""
+"""Session factory, and written intermediate tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[list[str] | None] = ContextVar("paceline_scratch", default=None)
 
-def get_spark(app: str = "paceline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+
+def get_spark(
+    app: str = "paceline", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None
+) -> SparkSession:
     """A session with the settings the operators rely on.
 
     UTC keeps lenient timestamp parsing exact; AQE re-plans joins, coalesces
-    small shuffle partitions and splits skewed ones.
+    small shuffle partitions and splits skewed ones. ``checkpoint_dir`` names a folder all executors share.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -28,35 +34,59 @@ def get_spark(app: str = "paceline", master: str | None = None, shuffle_partitio
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only where it is unset (single-machine tests) a scratch folder is made.
-    """
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="paceline-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return folder
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     Cuts the lineage so that a lost executor costs no recomputation, and, being a
     columnar table, later passes read only the columns they use. The table goes away
-    with the session.
+    with the ``scratch`` scope it was made in, else with the session.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/paceline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    fs, hadoop_path = _file_system(spark, path)
+    fs.deleteOnExit(hadoop_path)
+    if (made := _scratch.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving all tables that ``cut`` made inside; a result is handed out with ``keep``."""
+    made: list[str] = []
+    token = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in made:
+            fs, hadoop_path = _file_system(spark, path)
+            fs.delete(hadoop_path, True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``cut`` whose table outlives the present scope: it lasts as long as the session."""
+    token = _scratch.set(None)
+    try:
+        return cut(df)
+    finally:
+        _scratch.reset(token)

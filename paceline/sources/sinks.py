@@ -7,8 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """A table in any file format; ``partition_by`` lets later reads prune whole folders."""
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), order_by: Sequence[str] = (), mode: str = "overwrite"
+) -> None:
+    """A table in any file format; ``partition_by`` lets later reads prune whole folders.
+
+    ``order_by`` writes it in global order, one range of keys per file.
+    """
+    if order_by:
+        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", "true")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import threading
 import time
 from pathlib import Path
@@ -62,7 +63,7 @@ def main() -> int:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
-    spark = get_spark(master="local[8]", shuffle_partitions=8)
+    spark = get_spark(master="local[8]", shuffle_partitions=8, checkpoint_dir=tempfile.mkdtemp(prefix="compare-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     queries, oracle = entry.queries(), entry.oracle_sql()

@@ -11,8 +11,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_spark(app="paceline-tests", master="local[8]", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = get_spark(app="paceline-tests", master="local[8]", shuffle_partitions=4, checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     return session
 
