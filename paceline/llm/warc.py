@@ -51,6 +51,7 @@ def classified(pages: DataFrame) -> DataFrame:
     ids = cut(page.select("page_id", "digest"))
     last = ids.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__d"), "top")
     revisits = ids.join(last, F.col("digest") == F.col("__d")).where(~F.col("page_id").eqNullSafe(F.col("top"))).select(F.col("page_id").alias("__id"), "__d", "top").distinct()
+    revisits = cut(revisits)  # its size is known before the join is planned: payloads are shuffled only if there are many
     same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__d"))
     return page.join(revisits, same, "left").select("page_id", "url", "html", "digest", "n_bytes", F.col("top").alias("refers_to"))
 
