@@ -18,7 +18,7 @@ HEADLINE = (
     "reconcile_rollups", "reconcile_coverage", "label_from_events", "entity_event_summary", "weekly_features",
     "daily_features", "monthly_features", "order_features", "master_table", "histogram", "boxplot_stats",
     "correlation_matrix", "standardize", "eta_squared", "pca_projection", "silhouette", "davies_bouldin",
-    "calinski_harabasz", "knn_distance", "dbscan", "hierarchical_grid", "entity_purity", "relation_strength",
+    "calinski_harabasz", "knn_distance", "dbscan", "hierarchical_grid", "entity_purity", "relation_strength", "kmeans_grid", "gmm_grid", "evaluate_grid",
 )
 
 

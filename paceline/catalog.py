@@ -719,11 +719,8 @@ def global_summary(spark, sf):
 
     Whether each row's scores lie in their ranges is checked here; the numbers depend on seeds.
     """
-    bests = []
-    for branch, f in zip(("hourly", "daily"), map(cut, _branches(spark, sf))):
-        for kind in FEATURE_SETS:
-            bests.append(slices.analyze_slice(f, branch, kind, spaces=["pca"])[1])
-    out = slices.global_summary(master.union_features(bests))
+    branches = dict(zip(("hourly", "daily"), map(cut, _branches(spark, sf))))
+    out = slices.global_summary(slices.analyze_slices(branches, spaces=["pca"]))
     sound = F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") > 0) & (F.col("calinski_harabasz") > 0) & (F.col("n_clusters") >= 2)
     known = F.col("relation_system").isin("strong", "moderate", "none") & F.col("relation_dataset").isin("strong", "moderate", "none")
     return out.select("branch", "feature_set", "space", (sound & known & F.col("interpretation").isNotNull()).alias("sound"))

@@ -82,6 +82,11 @@ def lenient_timestamp(c: str | Column, formats: Iterable[str] = ()) -> Column:
     return F.when(has_zone, F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)).otherwise(local)
 
 
+def utc_wall_time(c: str | Column) -> Column:
+    """A timestamp with a zone as zone-free UTC, whatever the session time zone is."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), as_col(c).cast(T.TimestampNTZType()))
+
+
 def label_or_default(c: str | Column, default: str = UNLABELLED) -> Column:
     return F.trim(F.coalesce(as_col(c).cast("string"), F.lit(default)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceline.functions.columns import (
-    clean_double, day_floor, is_anomaly, label_or_default, lenient_timestamp, measure_columns, require,
+    clean_double, day_floor, is_anomaly, label_or_default, lenient_timestamp, measure_columns, require, utc_wall_time,
 )
 from paceline.model import HEADER_NAMES, NORMAL_LABELS, TIME_HEADERS
 
@@ -52,7 +52,9 @@ def clean(df: DataFrame, deduplicate: bool = True, time_formats: Sequence[str] =
     typed = {c: clean_double(df, c) for c in measure_columns(df)}
     if "entity_id" in df.columns:
         typed["entity_id"] = F.col("entity_id").cast("string")
-    if "ts" in df.columns and not isinstance(df.schema["ts"].dataType, T.TimestampNTZType):
+    if "ts" in df.columns and isinstance(df.schema["ts"].dataType, T.TimestampType):
+        typed["ts"] = utc_wall_time("ts")
+    elif "ts" in df.columns and not isinstance(df.schema["ts"].dataType, T.TimestampNTZType):
         typed["ts"] = lenient_timestamp("ts", time_formats)
     if "anomaly_label" in df.columns:
         typed["anomaly_label"] = label_or_default("anomaly_label")
@@ -68,6 +70,8 @@ def normalise_events(df: DataFrame) -> DataFrame:
     when = F.col("event_date")
     if isinstance(df.schema["event_date"].dataType, T.StringType):
         when = lenient_timestamp(when)
+    elif isinstance(df.schema["event_date"].dataType, T.TimestampType):
+        when = utc_wall_time(when)
     return df.withColumns({
         "entity_id": F.col("entity_id").cast("string"),
         "event_date": day_floor(when),

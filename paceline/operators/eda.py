@@ -30,10 +30,10 @@ def system_feature_means(df: DataFrame, columns: Sequence[str] = KEY_FEATURES, g
 def histogram(df: DataFrame, columns: Sequence[str] = KEY_FEATURES, bins: int = 30) -> DataFrame:
     """Counts of equal-width bins from minimum to maximum, the last bin closed; empty bins included."""
     columns = [c for c in columns if c in df.columns]
-    extremes = df.agg(*[F.expr(f"struct(cast(min({c}) AS DOUBLE) AS lo, cast(max({c}) AS DOUBLE) AS hi) AS {c}") for c in columns])
+    extremes = df.agg(*[F.expr(f"struct(cast(min(`{c}`) AS DOUBLE) AS lo, cast(max(`{c}`) AS DOUBLE) AS hi) AS `{c}`") for c in columns])
     # a constant variable gets a unit range around its value
     ranges = ", ".join(
-        f"struct('{c}' AS variable, if({c}.lo = {c}.hi, {c}.lo - 0.5D, {c}.lo) AS lo, if({c}.lo = {c}.hi, {c}.hi + 0.5D, {c}.hi) AS hi)"
+        f"struct('{c}' AS variable, if(`{c}`.lo = `{c}`.hi, `{c}`.lo - 0.5D, `{c}`.lo) AS lo, if(`{c}`.lo = `{c}`.hi, `{c}`.hi + 0.5D, `{c}`.hi) AS hi)"
         for c in columns
     )
     box = extremes.selectExpr(f"array({ranges}) AS b")
@@ -72,7 +72,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
 
-    one = df.selectExpr(*[f"corr(cast({a} AS DOUBLE), cast({b} AS DOUBLE)) AS c{i}" for i, (a, b) in enumerate(pairs)])
+    one = df.selectExpr(*[f"corr(cast(`{a}` AS DOUBLE), cast(`{b}` AS DOUBLE)) AS c{i}" for i, (a, b) in enumerate(pairs)])
     cells = [
         f"'{x}', '{y}', if(isnan(c{i}), NULL, c{i})"
         for i, (a, b) in enumerate(pairs) for x, y in sorted({(a, b), (b, a)})

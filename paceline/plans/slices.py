@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.model import FEATURE_KEYS, SourceSpec
+from paceline.model import FEATURE_KEYS, FEATURE_SETS, SourceSpec
 from paceline.operators import cluster, interpret, profile, rollup
 from paceline.operators.cleaning import null_where
 from paceline.operators.features import extract_features
@@ -141,6 +142,16 @@ def analyze_slice(features: DataFrame, branch: str, feature_set: str, spaces: Se
     return union_features(metrics), (union_features(bests) if bests else None)
 
 
+def analyze_slices(
+    branches: Mapping[str, DataFrame], feature_sets: Sequence[str] = FEATURE_SETS, spaces: Sequence[str] = SPACES, parallel: int = 6, **grid
+) -> DataFrame:
+    """Best rows of every branch and feature set. Slices do not depend on each other, so several run side by side."""
+    jobs = [(branch, kind) for branch in branches for kind in feature_sets]
+    with ThreadPoolExecutor(parallel) as pool:
+        found = list(pool.map(lambda job: analyze_slice(branches[job[0]], *job, spaces=spaces, **grid)[1], jobs))
+    return union_features([best for best in found if best is not None])
+
+
 def analyze_clusters(features: DataFrame, branch: str, feature_set: str, ks: Sequence[int] = cluster.K_RANGE, **grid):
     """The base analysis: scaled space only, no density clustering, unscored configurations left out."""
     metrics, best = analyze_slice(

@@ -69,6 +69,22 @@ def test_dbscan_blobs(blobs, eps, m):
     assert (got == density(BLOBS, eps, m)).all()
 
 
+def test_fewer_pivots_give_the_same_labels(spark):
+    df = frame(spark, BLOBS)
+    found = [
+        neighbours.dbscan(df, 0.3, 8, cells=neighbours.build_cells(neighbours.distinct_points(df), rows_per_cell=16, max_pivots=m)).orderBy("id").toPandas()["cluster"].tolist()
+        for m in (2, 64)
+    ]
+    assert found[0] == found[1] == density(BLOBS, 0.3, 8).tolist()
+
+
+def test_one_search_serves_several_k(blobs):
+    df, cells = blobs
+    got = neighbours.knn_distances(df, [2, 70], cells=cells).orderBy("id").toPandas()
+    for k in (2, 70):
+        assert np.allclose(got[got["k"] == k]["distance"], np.sort(distances(BLOBS), 1)[:, k - 1], atol=1e-9)
+
+
 def test_border_joins_lowest_cluster(spark):
     x = np.array([[0.0], [0.5], [1.0], [1.9], [2.8], [3.3], [3.8]])
     got = neighbours.dbscan(frame(spark, x), 1.0, 3).orderBy("id").toPandas()["cluster"].tolist()

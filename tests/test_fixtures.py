@@ -231,3 +231,77 @@ def test_sources_and_slice_sink(spark, tmp_path):
     assert {(r.branch, r.v) for r in slices.consolidate(spark, out).collect()} == {("A", 9.0), ("B", 2.0)}
     sinks.write_summary(master.master_report(feats), str(tmp_path / "report"))
     assert one(spark.read.json(str(tmp_path / "report"))).rows == 1
+
+
+def test_purity_leaves_rows_without_entity_out(spark):
+    rows = [("a", 0), ("a", 0), ("a", 1), (None, 2), (None, 1)]
+    got = interpret.entity_purity(frame(spark, rows, "entity_id string, cluster int")).collect()
+    assert [(r.entity_id, r.dominant_cluster, r.n_windows) for r in got] == [("a", 0, 3)]
+
+
+def test_row_keys_do_not_meet(spark):
+    names = [(None, "s"), ("", "s"), ("a|b", "s"), ("a", "b|s"), ("\\", "s"), ("a\\", "|s"), ("a\\|", "s")]
+    rows = [(d, x, "e", t(1)) for d, x in names]
+    keys = slices.keyed(frame(spark, rows, "dataset string, system string, entity_id string, window_start timestamp_ntz"))
+    assert keys.select("id").distinct().count() == len(names)
+
+
+def test_zoned_times_become_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        raw = spark.sql("SELECT 'a' AS entity_id, timestamp'2024-01-01 23:30:00 UTC' AS ts, 1.0D AS eat")
+        assert cleaning.clean(raw).select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("t")).first()["t"] == "2024-01-01 23:30"
+        log = raw.select("entity_id", F.col("ts").alias("event_date"), F.lit("heat").alias("event_type"))
+        assert cleaning.normalise_events(log).first()["event_date"] == datetime(2024, 1, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_names_with_blanks(spark):
+    df = frame(spark, [(1.0, 2.0), (2.0, 4.0), (3.0, 7.0)], "`a b` double, `c-d` double")
+    assert eda.histogram(df, ["a b"], bins=2).agg(F.sum("n")).first()[0] == 3
+    assert eda.correlation_matrix(df, ["a b", "c-d"]).count() == 4
+    assert matrix.standardize(df, ["a b"]).columns == ["a b", "c-d"]
+
+
+def test_scratch_leaves_only_what_is_kept(spark):
+    import os
+
+    from paceline.session import cut, keep, scratch, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = len(os.listdir(folder))
+    points = frame(spark, [(i, [float(i % 7), float(i % 3)]) for i in range(40)], "id long, features array<double>")
+    with scratch(spark):
+        cut(points)
+        kept = keep(points)
+    assert kept.count() == 40 and len(os.listdir(folder)) == before + 1
+    cluster.evaluate_grid(points, algorithms=("kmeans", "agglomerative"), ks=(2, 50), restarts=1)
+    assert len(os.listdir(folder)) == before + 3  # metrics and labels
+
+
+def test_settings_with_more_clusters_than_rows_stay_unscored(spark):
+    points = frame(spark, [(i, [float(i), float(i % 2)]) for i in range(6)], "id long, features array<double>")
+    got = {(r.algorithm, r.params): r.silhouette for r in cluster.evaluate_grid(points, algorithms=("kmeans", "agglomerative", "gmm"), ks=(2, 9), restarts=1).metrics.collect()}
+    assert {k for k, v in got.items() if v is None} == {("kmeans", "k=9"), ("agglomerative", "k=9, micro=512"), ("gmm", "k=9")}
+    assert len(got) == 6
+
+
+def test_one_group_is_ordered_by_many_tasks(spark):
+    """The values of one group, all distinct, lie in several range partitions of the running count."""
+    from paceline.functions.quantiles import _running_count
+
+    counted = spark.range(0, 50_000, 1, 8).select(F.lit("g").alias("k"), F.lit(0).alias("i"), (F.col("id") * 7919 % 50_000).cast("double").alias("v"), F.lit(1).cast("long").alias("c"))
+    out = _running_count(counted, ["k", "i"])
+    assert out.where("upto <> v + 1").count() == 0
+    assert exact_quantiles(counted, ["k"], ["v"], [0.5]).first()["q"][0] == 24_999.5
+
+
+def test_collinear_columns_do_not_break_the_mixture(spark):
+    from paceline.operators.centres import kmeans_fits, mixture_fits
+
+    rows = [(i, [float(i % 10), 2.0 * (i % 10), 5.0 * (i // 50)]) for i in range(100)]
+    points = frame(spark, rows, "id long, features array<double>")
+    fit = mixture_fits(points, kmeans_fits(points, [2], 2, 1))[2]
+    assert all(b >= a - 1e-6 for a, b in zip(fit.history, fit.history[1:])) and len(fit.history) > 1

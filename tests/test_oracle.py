@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from paceline import catalog
 from compare import connect, difference
 
-HEAVY = {"dbscan_activity", "order_features"}
-SQL = entry.oracle_sql()
+#: minutes each; ``tests/compare.py`` runs them
+SLOW = {"evaluate_grid", "global_summary"}
+SQL = {n: q for n, q in entry.oracle_sql().items() if n in catalog.QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +16,7 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", [n for n in SQL if n not in HEAVY])
+@pytest.mark.parametrize("name", [n for n in SQL if n not in SLOW])
 def test_query_matches_sql(spark, sf, con, name):
     got = entry.queries()[name](spark, sf).toPandas()
     assert difference(got, con.execute(SQL[name]).df()) is None
