@@ -57,7 +57,7 @@ ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 BLOCK_SET = frozenset(BLOCKS)
-SPACES = re.compile(r"[ \t\n\r\f\v ]+")
+SPACES = re.compile(r"\s+")
 
 
 def is_furniture(tag: str, attrs: str, in_content: bool) -> bool:
