@@ -30,7 +30,8 @@ from paceline.session import cut
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 BLOCKS = 4096
-SHARDS = 16
+#: Words per output shard, some 100 MB; the number of shards follows from the corpus.
+SHARD_WORDS = 16_000_000
 SEED = "mix"
 #: The block table is broadcast up to this many rows (under 10 MB); larger ones are joined by shuffle.
 BROADCAST_BLOCKS = 100_000
@@ -76,11 +77,11 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return cut(rows.withColumn("block", block_of(F.col("doc_md5"))))
 
 
-def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """One row per source and block: ``(source, block, place, n_blocks, copies, last_md5, bounds, target, source_size)``.
+def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, shards: int | None = None, seed: str = SEED) -> DataFrame:
+    """One row per source and block: ``(source, block, copies, last_md5, shards, target, source_size)``.
 
     A document of the block is taken ``copies`` times and once more if its hash is at most
-    ``last_md5``. ``bounds`` are the ends of the shards' ranges in the source's item order.
+    ``last_md5``; copy i goes to the i-th of ``shards``.
     """
     spark = rows.sparkSession
     blocks = cut(rows.groupBy("source", "block").agg(F.sum("size").alias("block_size")))
@@ -114,15 +115,19 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, shards: int = SHARDS
     joined = placed.join(last, "rank", "left").withColumn("last_md5", F.when(whole, F.lit("~")).when(partial, F.col("cut_md5")))
     joined = cut(joined)
     extra = {r["rank"]: r["n"] for r in joined.where("last_md5 IS NOT NULL").groupBy("rank").agg(F.count("*").alias("n")).collect()}
+    shards = shards or max(1, -(-sum(r["s"] for r in sources) // SHARD_WORDS))
     quotas = np.array([p[5] * p[3] + extra.get(p[1], 0) for p in params], dtype=np.int64)
     per_shard = split_quotas(quotas, shards, np.random.default_rng(list(seed.encode()))) if len(quotas) else np.zeros((shards, 0), np.int64)
     ends = per_shard.cumsum(axis=0)
+    # ends of the shards' ranges in each source's item order: all blocks of the first copy, then of the next
     bounds = spark.createDataFrame([(i, [int(x) for x in ends[:, i]]) for i in range(len(params))], "rank int, bounds array<long>")
-    return joined.join(bounds, "rank").select("source", "block", "place", "n_blocks", "copies", "last_md5", "bounds", "target", "source_size")
+    item = lambda copy: copy * F.col("n_blocks") + F.col("place")
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies")), lambda copy: F.size(F.filter("bounds", lambda end: end <= item(copy))))
+    return joined.join(bounds, "rank").select("source", "block", "copies", "last_md5", at.alias("shards"), "target", "source_size")
 
 
 def _with_plan(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    blocks = cut(blocks)
+    """``rows`` with the plan of their block; ``blocks`` is a written table."""
     small = blocks.count() <= BROADCAST_BLOCKS
     right = blocks.select(F.struct("*").alias("__plan"))
     same = F.col("__source").eqNullSafe(F.col("__plan.source")) & (F.col("__block") == F.col("__plan.block"))
@@ -137,20 +142,19 @@ def n_copies(doc_md5: Column) -> Column:
 def taken(docs: DataFrame, seed: str = SEED, **options: object) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every row: the words that the mix takes of it."""
     rows = sized(docs, seed)
-    marked = _with_plan(rows.withColumn("__source", F.col("source")).withColumn("__block", F.col("block")), plan(rows, seed=seed, **options))
+    marked = _with_plan(rows.withColumn("__source", F.col("source")).withColumn("__block", F.col("block")), cut(plan(rows, seed=seed, **options)))
     return marked.select("doc_id", "size", F.col("__plan.source_size"), F.col("__plan.target"), (F.col("size") * n_copies(F.col("doc_md5"))).alias("taken"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, **options: object) -> DataFrame:
-    """One row per copy taken: the columns of ``docs``, then ``shard`` and ``copy``; each shard is
-    one partition in its locally shuffled order."""
+def mix(docs: DataFrame, shards: int | None = None, seed: str = SEED, **options: object) -> DataFrame:
+    """One row per copy taken: the columns of ``docs``, then ``shard`` and ``copy``; each shard lies
+    in one partition, in its locally shuffled order."""
     shard, copy = free_name(docs, "shard"), free_name(docs, "copy")
-    blocks = plan(sized(docs, seed), shards=shards, seed=seed, **options)
+    blocks = cut(plan(sized(docs, seed), shards=shards, seed=seed, **options))
+    n_shards = blocks.agg(F.max(F.array_max("shards"))).first()[0] or 0
     rows = docs.withColumn("__md5", doc_hash(seed=seed)).withColumn("__source", F.col("source").cast("string")).withColumn("__block", block_of(F.col("__md5")))
     drawn = _with_plan(rows, blocks).withColumn("__n", n_copies(F.col("__md5"))).where("__n > 0")
     copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))))
-    item = F.col(copy) * F.col("__plan.n_blocks") + F.col("__plan.place")
-    at = F.size(F.filter(F.col("__plan.bounds"), lambda end: end <= item))
-    placed = copies.withColumn(shard, at).repartition(shards, shard)
+    placed = copies.withColumn(shard, F.get("__plan.shards", F.col(copy))).repartition(n_shards + 1, shard)
     shuffled = placed.sortWithinPartitions(shard, F.md5(F.concat_ws("|", "__md5", F.col(copy).cast("string"))), "doc_id")
     return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns], shard, copy)
