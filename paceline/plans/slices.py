@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from paceline.operators.cleaning import null_where
 from paceline.operators.features import extract_features
 from paceline.operators.master import union_features
 from paceline.operators.matrix import PcaResult, eta_squared, feature_columns, fit_scale, pca, require_set, top_loadings
-from paceline.session import cut
+from paceline.session import cut, side_by_side
 from paceline.sources.tables import path_exists, read_activity
 
 log = logging.getLogger(__name__)
@@ -146,9 +146,8 @@ def analyze_slices(
     branches: Mapping[str, DataFrame], feature_sets: Sequence[str] = FEATURE_SETS, spaces: Sequence[str] = SPACES, parallel: int = 6, **grid
 ) -> DataFrame:
     """Best rows of every branch and feature set. Slices do not depend on each other, so several run side by side."""
-    jobs = [(branch, kind) for branch in branches for kind in feature_sets]
-    with ThreadPoolExecutor(parallel) as pool:
-        found = list(pool.map(lambda job: analyze_slice(branches[job[0]], *job, spaces=spaces, **grid)[1], jobs))
+    one = lambda branch, kind: analyze_slice(branches[branch], branch, kind, spaces=spaces, **grid)[1]
+    found = side_by_side([partial(one, branch, kind) for branch in branches for kind in feature_sets], parallel)
     return union_features([best for best in found if best is not None])
 
 
