@@ -774,7 +774,7 @@ def summary_round_trip(spark, sf):
     """A nested one-row summary written as JSON and read back."""
     path = _place(spark, "summary")
     sinks.write_summary(master.master_report(cut(weekly(spark, sf))), path)
-    return spark.read.json(path).select("rows", "columns", F.array_join("datasets", ",").alias("datasets"), "entities", "missing")
+    return spark.read.json(path).select("rows", F.col("columns").cast("int").alias("columns"), F.array_join("datasets", ",").alias("datasets"), "entities", "missing")
 
 
 @query
