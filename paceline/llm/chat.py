@@ -17,6 +17,8 @@ repeated rows all stay. An empty table gives no conversations. Extra columns are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,15 +53,17 @@ def jump_tables(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     linked = linked.join(known, F.col("tree").eqNullSafe(F.col("__t")) & (F.col("parent") == F.col("__n")), "left")
     # up: the ancestor reached so far; depth and total: messages and scores from the node to below it
     state = cut(linked.select("tree", "node", F.col("__n").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
-    jumps = []
+    settled, jumps = [], []
     for _ in range(MAX_ROUNDS):
         open_ = state.where("up IS NOT NULL")
+        settled.append(state.where("up IS NULL"))  # at a root: carried along, joined no more
+        every = reduce(DataFrame.unionByName, settled)
         if not open_.limit(1).count():
-            return jumps, state.select("tree", "node", "depth", "total")
+            return jumps, every.select("tree", "node", "depth", "total")
         jumps.append(open_.select("tree", "node", "up"))
-        above = state.select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("depth").alias("__d"), F.col("total").alias("__s"))
-        joined = state.join(above, F.col("tree").eqNullSafe(F.col("__t")) & (F.col("up") == F.col("__n")), "left")
-        state = cut(joined.select("tree", "node", F.col("__up").alias("up"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("__s", F.lit(0.0))).alias("total")))
+        above = every.unionByName(open_).select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("depth").alias("__d"), F.col("total").alias("__s"))
+        joined = open_.join(above, F.col("tree").eqNullSafe(F.col("__t")) & (F.col("up") == F.col("__n")))
+        state = cut(joined.select("tree", "node", F.col("__up").alias("up"), (F.col("depth") + F.col("__d")).alias("depth"), (F.col("total") + F.col("__s")).alias("total")))
     raise ValueError("replies form a cycle")
 
 
