@@ -45,7 +45,10 @@ def base32_sha1(data: Column) -> Column:
 
 
 def classified(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, html, digest, n_bytes, refers_to)``; ``refers_to`` is null for responses."""
+    """``(page_id, url, html, digest, n_bytes, refers_to)``; ``refers_to`` is null for responses.
+
+    Digests alone are grouped; payloads meet only the table of revisits.
+    """
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", or_empty(F.col("html")).alias("html"))
     page = page.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
     ids = cut(page.select("page_id", "digest"))
