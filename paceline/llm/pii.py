@@ -9,7 +9,7 @@ least one rewritten character are mapped back to source positions and added; pla
 Work is linear in the text's length: the patterns are anchored so that no run of characters is scanned from each of its positions.
 
 Defined results: a null or empty text has no spans. Positions are code points, ends exclusive. Spans are sorted by start,
-then kind in the order of KINDS. Added spans that overlap a plain one are left out. Repeated rows get equal results, an empty table none; extra columns pass through.
+then kind in the order of KINDS. Added spans wholly inside one plain span of their kind are left out, others stay beside it. Repeated rows get equal results, an empty table none; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -195,14 +195,15 @@ def find_disguised(text: str, plain: list[Span]) -> list[Span]:
     r = rewrite(text)
     if not any(r.changed):
         return []
-    starts, out = [s[0] for s in plain], []
+    out = []
     for kind, find in enumerate(FINDERS):
+        same = [p for p in plain if p[1] == kind]  # disjoint, in order
+        starts = [p[0] for p in same]
         for a, b in find(r.text):
             if r.touched(a, b):
                 s, e = r.source_span(a, b)
-                i = bisect_right(starts, s)
-                near = plain[max(0, i - 4) : i + 1]
-                if all(e <= p[0] or p[2] <= s for p in near) and not any(s < p[0] < e for p in plain[i : i + 1]):
+                i = bisect_right(starts, s) - 1
+                if i < 0 or same[i][2] < e:
                     out.append((s, kind, e))
     return sorted(out)
 

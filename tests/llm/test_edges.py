@@ -272,6 +272,19 @@ def test_pii_disguises(text, kinds):
     assert [text[a:b] for a, _, b in found] == kinds
 
 
+@pytest.mark.parametrize("text, plain, whole", [
+    ("to jоhn@example.com now", "hn@example.com", "jоhn@example.com"),
+    ("to john@example.cоm now", "john@example.c", "john@example.cоm"),
+    ("call +49 176 12345６７ now", "+49 176 12345", "+49 176 12345６７"),
+    ("host 10.1.2.3４ up", "10.1.2.3", "10.1.2.3４"),
+])
+def test_pii_disguise_beside_a_plain_fragment(text, plain, whole):
+    base = pii.find_plain(text)
+    added = pii.find_disguised(text, base)
+    assert [text[a:b] for a, _, b in base] == [plain] and [text[a:b] for a, _, b in added] == [whole]
+    assert {k for _, k, _ in base} == {k for _, k, _ in added}
+
+
 def test_pii_edges(spark, odd, none):
     rng = random.Random(2)
     for _ in range(3000):
