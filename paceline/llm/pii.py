@@ -4,7 +4,7 @@ Plain identifiers are found in the text as it stands. For the disguised ones, a
 and keeps, for every character it writes, the source characters it stands for: look-alike letters and full-width
 characters become ASCII, zero-width characters go, ``(at)``/``[dot]`` and the bare words between the parts of an address become
 ``@`` and ``.``, runs of spelled digits become digits. Identifiers found in the rewritten text that rest on at
-least one rewritten character are mapped back to source positions and added; plain ones always stay.
+least one rewritten or deleted character are mapped back to source positions and added; plain ones always stay.
 
 Work is linear in the text's length: the patterns are anchored so that no run of characters is scanned from each of its positions.
 
@@ -127,7 +127,10 @@ class Rewritten:
 
     def touched(self, a: int, b: int) -> bool:
         i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1)
-        return any(self.changed[i:j])
+        if any(self.changed[i:j]):
+            return True
+        first, last = self.source_span(a, b)
+        return last - first > b - a  # unchanged pieces with deletions between
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Applies sorted, disjoint ``(start, end, new)`` edits of the present text."""
@@ -193,7 +196,7 @@ def rewrite(text: str) -> Rewritten:
 
 def find_disguised(text: str, plain: list[Span]) -> list[Span]:
     r = rewrite(text)
-    if not any(r.changed):
+    if r.text == text:
         return []
     out = []
     for kind, find in enumerate(FINDERS):

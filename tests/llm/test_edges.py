@@ -285,6 +285,19 @@ def test_pii_disguise_beside_a_plain_fragment(text, plain, whole):
     assert {k for _, k, _ in base} == {k for _, k, _ in added}
 
 
+@pytest.mark.parametrize("gap", list(pii.ZERO_WIDTH))
+@pytest.mark.parametrize("kind, left, right", [
+    ("email", "john@exa", "mple.com"), ("email", "jo", "hn@example.com"), ("email", "john", "@example.com"), ("email", "john@example.c", "om"),
+    ("ip", "192.16", "8.1.1"), ("card", "45320151", "12830366"), ("card", "4532 0151 ", "1283 0366"), ("phone", "+49 176", " 12345678"), ("phone", "+", "49 176 12345678"),
+])
+def test_pii_deletion_as_the_only_disguise(kind, left, right, gap):
+    whole = left + gap + right
+    text = f"{gap}see {whole}{gap} and j@b.com here"
+    base = pii.find_plain(text)
+    added = pii.find_disguised(text, base)
+    assert [(text[a:b], pii.KINDS[k]) for a, k, b in added] == [(whole, kind)]
+
+
 def test_pii_edges(spark, odd, none):
     rng = random.Random(2)
     for _ in range(3000):
