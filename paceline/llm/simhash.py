@@ -13,7 +13,8 @@ goes on. Linked members join at once, and one link per visitor and joined group
 A fingerprint bit is 1 if it is set in over half of the XXH64 hashes (seed 42) of the shingles, repeats included.
 
 Defined results: a null text or one without words has fingerprint zero, which links like any other. Fewer words than a shingle: the whole sequence.
-Rows with equal ids are one document per fingerprint. A null id never names a component unless all its ids are null. An empty table gives an empty result. Extra columns pass through in ``keep_one``.
+Rows with equal ids are one document per fingerprint. A null id never names a component unless all its ids are null. An empty table gives an empty result. Extra columns pass through in ``keep_one``,
+which decides row by row: of each component one row stays, whatever ids it shares with rows of other components.
 """
 
 from __future__ import annotations
@@ -52,16 +53,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``fp``, which holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
+            yield pdf[list(keep)].assign(fp=fps)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, "text").mapInPandas(run, f"{kinds}, fp long")
 
 
 class Levels:
@@ -278,23 +279,47 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row: the smallest id among all that links reach."""
-    marked = cut(fingerprints(docs, shingle))
+def rooted(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns per row with ``fp``, the component's ``root`` and ``component_id``: the smallest id among all that links reach."""
+    marked = cut(fingerprints(docs, shingle, keep))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(cut(links(distinct.select("fp"), radius, shard_rows)))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = cut(rooted.join(named, "root").select(F.col("fp").alias("__fp"), "component_id"))
-    return marked.join(by_fp, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    of_fp = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_fp = cut(of_fp.join(named, "root").select(F.col("fp").alias("__fp"), "root", "component_id"))
+    return marked.join(by_fp, F.col("fp") == F.col("__fp")).select(*keep, "fp", "root", "component_id")
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(doc_id, fp, component_id)`` per row: the smallest id among all that links reach."""
+    return rooted(docs, radius, shingle, shard_rows).select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+ROW = ("__h1", "__h2")
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with two 64-bit hashes of the whole row, nulls told apart from missing neighbours."""
+    parts = []
+    for f in docs.schema:
+        c = F.col(f"`{f.name}`")
+        hashable = not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+        parts += [c if hashable else F.to_json(F.struct(c)), c.isNull()]
+    return docs.withColumns({ROW[0]: F.xxhash64(*parts), ROW[1]: F.xxhash64(F.lit(1), *parts)})
+
+
+def one_per_root(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their root in ``found`` ``(doc_id, ROW, root)``: least id, null ids last, then least
+    row key. Of rows that are equal in all columns one stays."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW)).alias("least")
+    stay = found.groupBy("root").agg(first).select(*[F.col(f"least.{k}").alias(k) for k in ROW])
+    return with_row_key(docs).join(stay, list(ROW), "left_semi").dropDuplicates(list(ROW)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate group; of rows with one id and text only one stays."""
-    found = groups(docs, **options)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").dropDuplicates(["doc_id"])
+    """One row of each near-duplicate group of ``docs``: the one with the smallest id."""
+    return one_per_root(docs, rooted(with_row_key(docs), keep=("doc_id", *ROW), **options))

@@ -100,6 +100,24 @@ def test_simhash_edges(spark, odd, none):
     assert Counter(r["doc_id"] for r in simhash.keep_one(odd).collect()) == Counter(set(want.values()))
 
 
+def prose(seed, n=80):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(5000)}" for _ in range(n)) + "."
+
+
+def test_keep_one_decides_row_by_row(spark):
+    a, b, c, d, e = map(prose, range(5))
+    rows = [
+        (1, a, "s"), (None, a, "s"), (None, b, "s"), (None, c, "t"), (None, c, None),  # a copy and clean texts without an id
+        (7, d, "s"), (7, e, "s"), (7, d, "s"), (9, e, "s"),  # two texts under one id, a repeated row, a copy of one
+        (7, a, "s"),  # a copy of a smaller document beside clean texts of the same id
+    ]
+    got = simhash.keep_one(documents(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", a), ("None", b), ("None", c), ("7", d), ("7", e)])
+    again = simhash.keep_one(documents(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def clouds(n, seed):
     """Fingerprints at random and in dense clouds around a few of them."""
     rng = np.random.default_rng(seed)
