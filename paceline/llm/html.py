@@ -24,6 +24,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.llm.text import free_name
+
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "heading", "place", "furniture")
 BLOCK = "struct<text: string, words: double, links: double, prev_words: double, prev_links: double, next_words: double, next_links: double, heading: double, place: double, furniture: double>"
 MAX_DEPTH = 8
@@ -247,23 +249,23 @@ def tree_expression(model: DecisionTreeClassificationModel, block: Column) -> Co
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """``pages`` without html, with their ``blocks``."""
-    kept = [c for c in pages.columns if c != "html"]
+    """``pages`` without html, with their ``blocks``, or underscores in front if that name is taken."""
+    kept, name = [c for c in pages.columns if c != "html"], free_name(pages, "blocks")
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[kept].assign(blocks=[flat_blocks(h) for h in pdf["html"]])
+            yield pdf[kept].assign(**{name: [flat_blocks(h) for h in pdf["html"]]})
 
-    kinds = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + [f"blocks array<{BLOCK}>"])
+    kinds = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + [f"{name} array<{BLOCK}>"])
     return pages.mapInPandas(cut_up, kinds)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` without html, with ``text`` and ``n_chars``."""
+    """``pages`` without html, with ``text`` and ``n_chars``; underscores in front of names that are taken."""
     model = train(pages.sparkSession)
-    chosen = F.filter("blocks", lambda b: tree_expression(model, b))
+    chosen = F.filter(free_name(pages, "blocks"), lambda b: tree_expression(model, b))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
-    kept = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
-    return blocks(pages).select(*kept, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    kept, name = [F.col(f"`{c}`") for c in pages.columns if c != "html"], free_name(pages, "text")
+    return blocks(pages).select(*kept, text.alias(name)).withColumn(free_name(pages, "n_chars"), F.length(name).cast("long"))
 
 

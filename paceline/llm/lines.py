@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.text import SPACE, let, lines, lower_ascii, or_empty
+from paceline.llm.text import SPACE, free_name, let, lines, lower_ascii, or_empty
 from paceline.session import cut
 
 MIN_CHARS = 20
@@ -77,12 +77,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def with_bitmap(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with ``n_lines``, ``keep_runs`` (the bitmap) and ``n_dropped`` appended."""
-    bitmaps = keep_bitmaps(docs, **options).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("__id")) & (row_hash(F.col("text")) == F.col("__key")), "left")
+    """``docs`` with ``n_lines``, ``keep_runs`` (the bitmap) and ``n_dropped`` appended; underscores in front of names that are taken."""
+    its_id, its_key, its_dropped = (free_name(docs, c) for c in ("__id", "__key", "__dropped"))
+    bitmaps = keep_bitmaps(docs, **options).select(F.col("doc_id").alias(its_id), F.col("row_key").alias(its_key), F.col("dropped").alias(its_dropped))
+    joined = docs.join(bitmaps, F.col("doc_id").eqNullSafe(F.col(its_id)) & (row_hash(F.col("text")) == F.col(its_key)), "left")
     n = F.size(lines(F.col("text")))
-    dropped = F.coalesce(F.col("__dropped"), F.array().cast("array<int>"))
-    return joined.select(*[docs[c] for c in docs.columns], n.cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), runs_of(dropped, n).alias("keep_runs"))
+    dropped = F.coalesce(F.col(its_dropped), F.array().cast("array<int>"))
+    return joined.select(*[docs[c] for c in docs.columns], n.cast("long").alias(free_name(docs, "n_lines")), F.size(dropped).cast("long").alias(free_name(docs, "n_dropped")), runs_of(dropped, n).alias(free_name(docs, "keep_runs")))
 
 
 def apply_bitmap(text: Column, runs: Column) -> Column:
@@ -95,6 +96,6 @@ def apply_bitmap(text: Column, runs: Column) -> Column:
 def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
     """The columns of ``docs``; texts without their repeated lines."""
     marked = with_bitmap(docs, **options)
-    text = apply_bitmap(F.col("text"), F.col("keep_runs"))
+    text = apply_bitmap(F.col("text"), F.col(free_name(docs, "keep_runs")))
     held = marked.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
     return held.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else held

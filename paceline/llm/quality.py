@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.text import let, lines, once, or_empty, word_chars, words
+from paceline.llm.text import free_name, let, lines, once, or_empty, word_chars, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -94,23 +94,30 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return let(bad, with_bad)
 
+    w, l = free_name(docs, "__w"), free_name(docs, "__l")
     out = once(
         docs,
-        let(words(t), measured).alias("__w"),
-        let(lines(t), line_results).alias("__l"),
+        let(words(t), measured).alias(w),
+        let(lines(t), line_results).alias(l),
         F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
     )
-    n, repeats, chars = F.col("__w.n_words"), F.col("__w.n_repeat_words"), F.col("__w.word_chars")
+    n, repeats, chars = F.col(f"{w}.n_words"), F.col(f"{w}.n_repeat_words"), F.col(f"{w}.word_chars")
     failed = (n < MIN_WORDS) | (repeats * 100 > n * MAX_REPEAT_PERCENT)
-    too_much = F.col("__l.lost_chars") * 100 > chars * MAX_LOST_PERCENT
+    too_much = F.col(f"{l}.lost_chars") * 100 > chars * MAX_LOST_PERCENT
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        n.alias("n_words"), chars.alias("word_chars"), "n_symbols", F.col("__l.n_dup_lines"), repeats.alias("n_repeat_words"),
-        failed.alias("base_failed"), F.col("__l.lost_chars"), (~failed & ~too_much).alias("kept"), F.col("__l.cleaned"),
+        n.alias("n_words"), chars.alias("word_chars"), "n_symbols", F.col(f"{l}.n_dup_lines"), repeats.alias("n_repeat_words"),
+        failed.alias("base_failed"), F.col(f"{l}.lost_chars"), (~failed & ~too_much).alias("kept"), F.col(f"{l}.cleaned"),
     )
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that pass, without their failing lines; the columns of ``docs``."""
-    judged = judge(docs).where("kept")
-    return judged.select(*[(F.col("cleaned") if c == "text" else F.length("cleaned").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    """The documents that pass, without their failing lines; the columns of ``docs``, whatever their names."""
+    aside = docs
+    own = {c: c for c in docs.columns}
+    for c in docs.columns:
+        if c.lower() in RESULTS:
+            own[c] = free_name(aside, f"_{c}")
+            aside = aside.withColumnRenamed(c, own[c])
+    judged = judge(aside).where("kept")
+    return judged.select(*[(F.col("cleaned") if c == "text" else F.length("cleaned").cast("long") if c == "n_chars" else F.col(f"`{own[c]}`")).alias(c) for c in docs.columns])
