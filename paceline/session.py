@@ -55,6 +55,12 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that is no longer needed."""
+    fs, hadoop_path = _file_system(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
@@ -82,8 +88,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _scratch.reset(token)
         for path in made:
-            fs, hadoop_path = _file_system(spark, path)
-            fs.delete(hadoop_path, True)
+            remove(spark, path)
 
 
 def side_by_side(jobs: Sequence[Callable[[], T]], parallel: int = 8) -> list[T]:
