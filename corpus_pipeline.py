@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paceline.llm import lines, mixing, near, packing, quality
-from paceline.session import shared_folder
+from paceline.llm import lines, mixing, packing, quality, simhash
+from paceline.session import remove, scratch, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +22,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near.keep_one(docs)
+    """The smallest document of each group of near copies, by the operator's own shingle length and radius."""
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, a row per copy taken, shard by shard in shuffled order."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's rows are written to the shared folder."""
+    """All stages over ``documents``. Every stage's rows are written to the shared folder, where they stay until the next stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if k:
+            remove(spark, f"{base}/{k - 1}")
+        docs = spark.read.parquet(f"{base}/{k}")
     return docs

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceline.llm.text import free_name
 from paceline.session import cut
 
 SHINGLE = 3
@@ -299,7 +300,9 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-ROW = ("__h1", "__h2")
+def row_names(docs: DataFrame) -> tuple[str, str]:
+    """Names for the two hashes of a row that no column of ``docs`` has."""
+    return free_name(docs, "__h1"), free_name(docs, "__h2")
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -309,17 +312,19 @@ def with_row_key(docs: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         hashable = not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
         parts += [c if hashable else F.to_json(F.struct(c)), c.isNull()]
-    return docs.withColumns({ROW[0]: F.xxhash64(*parts), ROW[1]: F.xxhash64(F.lit(1), *parts)})
+    h1, h2 = row_names(docs)
+    return docs.withColumns({h1: F.xxhash64(*parts), h2: F.xxhash64(F.lit(1), *parts)})
 
 
 def one_per_root(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their root in ``found`` ``(doc_id, ROW, root)``: least id, null ids last, then least
+    """The rows of ``docs`` that are the first of their root in ``found`` ``(doc_id, row key, root)``: least id, null ids last, then least
     row key. Of rows that are equal in all columns one stays."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW)).alias("least")
-    stay = found.groupBy("root").agg(first).select(*[F.col(f"least.{k}").alias(k) for k in ROW])
-    return with_row_key(docs).join(stay, list(ROW), "left_semi").dropDuplicates(list(ROW)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = row_names(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *row)).alias("least")
+    stay = found.groupBy("root").agg(first).select(*[F.col(f"least.{k}").alias(k) for k in row])
+    return with_row_key(docs).join(stay, list(row), "left_semi").dropDuplicates(list(row)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: the one with the smallest id."""
-    return one_per_root(docs, rooted(with_row_key(docs), keep=("doc_id", *ROW), **options))
+    return one_per_root(docs, rooted(with_row_key(docs), keep=("doc_id", *row_names(docs)), **options))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paceline.llm import html, lines, quality
+from paceline.llm import html, lines, quality, simhash
 from test_edges import GOOD, documents
 
 SHARED = "this one line is shared by all of them."
@@ -32,3 +32,12 @@ def test_extract_keeps_columns_named_like_results(spark):
     pages = own(spark.createDataFrame([(1, "<article><p>One and two.</p></article>")], "page_id long, html string"), "blocks", "text", "n_chars")
     (r,) = html.extract(pages).collect()
     assert all(r[c] == f"own {c}" for c in ("blocks", "text", "n_chars")) and (r["_text"], r["_n_chars"]) == ("One and two.", 12)
+
+
+def test_keep_one_keeps_columns_named_like_its_own(spark):
+    names = ("__h1", "__h2", "fp", "root", "component_id", "a.b")
+    docs = own(documents(spark, [(1, GOOD, "a"), (2, GOOD, "a"), (3, "some other text", "b")]), *names)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    rows = got.orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == [1, 3] and all(r[c] == f"own {c}" for r in rows for c in names)
