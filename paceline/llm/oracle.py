@@ -108,7 +108,21 @@ SELECT page_id, strlen(html) AS payload_bytes, payload_digest, CASE WHEN page_id
        CASE WHEN page_id <> top THEN top END AS refers_to FROM t
 """
 
+_UNIT = rf"{_SPACE}*{_WORD}|{_SPACE}+"
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_UNIT}') AS u,
+                  sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS r FROM d),
+f AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+                  WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256 FROM g
+"""
+
 SQL = {
     "op3_chat_formatting": OP3, "op4_mixing": OP4, "op6_top_k": OP6, "op8_line_dedup": OP8, "op9_warc": OP9,
-    "op10_quality_rules": OP10,
+    "op10_quality_rules": OP10, "op12_fill_in_middle": OP12,
 }

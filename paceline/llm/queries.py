@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, html, mixing, packing, pii, quality, simhash, topk, warc
+from paceline.llm import chat, fim, html, mixing, packing, pii, quality, simhash, topk, warc
 from paceline.llm import lines as line_dedup
 from paceline.llm.text import read
 from paceline.session import cut, shared_folder
@@ -76,8 +76,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 _ALL = (
     op1_html_extraction, op2_packing, op3_chat_formatting, op4_mixing, op5_simhash, op6_top_k, op7_pii, op8_line_dedup,
-    op9_warc, op10_quality_rules,
+    op9_warc, op10_quality_rules, op12_fill_in_middle,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
