@@ -122,7 +122,32 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(p || m || s) AS restored_sha256 FROM g
 """
 
+def _op13(rounds: int = 4) -> str:
+    """All rounds written out: nearest entries, then means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+n{r} AS (SELECT k, part, x, min(struct_pack(d := list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT, e := e)) AS near
+         FROM p JOIN b{r} USING (part) GROUP BY k, part, x)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT part, e, list(v ORDER BY i) AS c FROM (
+         SELECT part, near.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS v FROM n{r}, (SELECT unnest(range(1, w + 1)) AS i FROM w) GROUP BY part, near.e, i) GROUP BY part, e),
+b{r + 1} AS (SELECT b{r}.part, b{r}.e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} ON b{r}.part = m{r}.part AND b{r}.e = m{r}.e)""")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x,
+                  row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS k FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT min(len(x)) // 4 AS w FROM v),
+p AS (SELECT k, part, x[part * w + 1:(part + 1) * w] AS x FROM v, w, (SELECT unnest(range(4)) AS part)),
+b0 AS (SELECT part, k AS e, x AS c FROM p WHERE k < 256),{",".join(steps)},
+a AS (SELECT k, string_agg(printf('%02x', near.e), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM n{rounds} GROUP BY k),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN a USING (k), h
+"""
+
+
 SQL = {
     "op3_chat_formatting": OP3, "op4_mixing": OP4, "op6_top_k": OP6, "op8_line_dedup": OP8, "op9_warc": OP9,
-    "op10_quality_rules": OP10, "op12_fill_in_middle": OP12,
+    "op10_quality_rules": OP10, "op12_fill_in_middle": OP12, "op13_vector_codes": _op13(),
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, fim, html, mixing, packing, pii, quality, simhash, topk, warc
+from paceline.llm import chat, codes, fim, html, mixing, packing, pii, quality, simhash, topk, warc
 from paceline.llm import lines as line_dedup
 from paceline.llm.text import read
 from paceline.session import cut, shared_folder
@@ -82,8 +82,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = codes.compress(read(spark, sf_dir, "embeddings"))
+    rows = codes.with_label_error(done.rows).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error")
+    return rows.withColumn("codebooks_sha256", F.lit(codes.books_digest(done.books)))
+
+
 _ALL = (
     op1_html_extraction, op2_packing, op3_chat_formatting, op4_mixing, op5_simhash, op6_top_k, op7_pii, op8_line_dedup,
     op9_warc, op10_quality_rules, op12_fill_in_middle,
+    op13_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
