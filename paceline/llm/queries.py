@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, codes, fim, html, mixing, packing, pii, quality, simhash, topk, warc
+from paceline.llm import chat, codes, fim, forest, html, mixing, packing, pii, quality, simhash, topk, warc
 from paceline.llm import lines as line_dedup
 from paceline.llm.text import read
 from paceline.session import cut, shared_folder
@@ -76,6 +76,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fim.restored(F.col("output"), F.col("form"))
@@ -90,7 +94,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_html_extraction, op2_packing, op3_chat_formatting, op4_mixing, op5_simhash, op6_top_k, op7_pii, op8_line_dedup,
-    op9_warc, op10_quality_rules, op12_fill_in_middle,
+    op9_warc, op10_quality_rules, op11_minhash_forest, op12_fill_in_middle,
     op13_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

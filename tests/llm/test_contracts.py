@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, sf, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {m[1] for n in names if (m := re.match(r"op(\d+)_", n))} == {str(i) for i in range(1, 11)}
+    assert {m[1] for n in names if (m := re.match(r"op(\d+)_", n))} == {str(i) for i in range(1, 14)}
     assert "pipeline" in names and set(oracle.SQL) <= set(entry.oracle_sql())
 
 
