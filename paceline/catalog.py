@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 from paceline.functions.columns import window_floor
 from paceline.model import ACTIVITY, FEATURE_KEYS, FEATURE_SETS, MEASURES, SourceSpec
 from paceline.operators import (
-    cleaning, cluster, eda, events, features, interpret, master, matrix, neighbours, profile, rollup, scores,
+    cleaning, cluster, eda, events, features, interpret, master, matrix, neighbours, profile, rollup, scores, sketches,
 )
 from paceline.operators.centres import add_up, assign, kmeans_fits, mixture_fits
 from paceline.plans import slices
 from paceline.session import cut, shared_folder
 from paceline.sources import sinks, tables
 from paceline.sources import warehouse as wh
+from paceline.streaming import activity as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +42,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns(doubles) if doubles else df
 
 
+def _place(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean(wh.hourly(spark, sf), deduplicate=False)
 
@@ -333,6 +338,71 @@ def anomaly_rate(spark, sf):
     return rounded(features.anomaly_rate(h, ["dataset", "system", "window_start"]))
 
 
+# --- streams and day tables ---------------------------------------------------
+
+
+def _delivered(spark, sf, batches: int = 5, late: int = 3 * 86_400):
+    """The hourly table as files in order of arrival, every row up to ``late`` seconds after its time; a last row far ahead closes all windows.
+
+    Returns a stream of these files, some at a time, and the delay that no row exceeds.
+    """
+    rows, path = cut(hourly(spark, sf)), _place(spark, "arrivals")
+    at = F.unix_seconds(stream.event_time())
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    width = (last + late - first) // batches + 1
+    slot = F.floor((at + F.pmod(F.xxhash64("entity_id", "ts"), F.lit(late)) - first) / width)
+    for k in range(batches):
+        rows.where(slot == k).coalesce(2).write.mode("append").parquet(path)
+    end = rows.limit(1).withColumns({"entity_id": F.lit("~"), "ts": F.timestamp_seconds(F.lit(last + 200 * 86_400)).cast("timestamp_ntz")})
+    end.write.mode("append").parquet(path)
+    return stream.read_activity_stream(spark, path, rows.schema, files_per_batch=2), f"{late + width + 3600} seconds"
+
+
+def _streamed(spark, result):
+    out = _place(spark, "closed")
+    running = stream.write_stream(result, f"{out}/rows", f"{out}/progress")
+    running.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{out}/rows")
+
+
+@query
+def stream_daily(spark, sf):
+    """The daily roll-up of a stream of files whose rows come late and in any order."""
+    rows, delay = _delivered(spark, sf)
+    return rounded(_streamed(spark, stream.stream_daily(rows, by=SOURCE, delay=delay)))
+
+
+@query
+def stream_weekly(spark, sf):
+    """Weekly features of the same stream, from keyed state."""
+    rows, delay = _delivered(spark, sf)
+    return rounded(_streamed(spark, stream.stream_features(rows, "weekly", by=SOURCE, delay=delay, resolution="hourly", scale_type="native")))
+
+
+@query
+def sketch_monthly(spark, sf):
+    """Monthly features of every entity merged from its day rows; months of fewer than K hours keep exact order statistics."""
+    days = cut(sketches.day_sketches(hourly(spark, sf), by=SOURCE))
+    return rounded(sketches.features_from_days(days, "monthly", by=SOURCE))
+
+
+@query
+def sketch_sources(spark, sf):
+    """Whole sources by month, merged from day rows: exact moments, and whether every sketched quantile is within a hundredth of its rank."""
+    rows = cut(hourly(spark, sf))
+    days = cut(sketches.day_sketches(rows, by=SOURCE, entities=False))
+    merged = cut(sketches.merge_days(days, "monthly"))
+    parts = []
+    for c in ("eat", "rest", "steps"):
+        worst = sketches.rank_errors(rows, merged, "monthly", SOURCE, c).groupBy(*SOURCE, "window_start").agg(F.max("error").alias("e"))
+        n = F.col(f"{c}_n")
+        parts.append(merged.join(worst, [*SOURCE, "window_start"]).select(
+            *SOURCE, "window_start", F.lit(c).alias("variable"), n.alias("n"), (F.col(f"{c}_sum") / n).alias("mean"),
+            F.sqrt(F.col(f"{c}_m2") / (n - 1)).alias("std"), F.col(f"{c}_min").alias("min"), F.col(f"{c}_max").alias("max"), (F.col("e") <= 0.01).alias("within"),
+        ))
+    return rounded(master.union_features(parts))
+
+
 def _branches(spark, sf):
     """Weekly features of the hourly and of the daily branch; the hours are read once."""
     hours = cut(hourly(spark, sf))
@@ -729,10 +799,6 @@ def global_summary(spark, sf):
 # --- readers and writers ------------------------------------------------------
 
 
-def _place(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def activity_round_trip(spark, sf):
     """Every source written as text with broken cells and read back; a source that does not exist is skipped."""

@@ -53,6 +53,44 @@ def _hot_features(df: DataFrame, keys: Sequence[str], cols: Sequence[str], aggs:
     return base.join(wide, cond, "left").select(*[base[c] for c in base.columns], *[wide[f"__q_{c}"] for c in cols])
 
 
+def record_flags(df: DataFrame, by: Sequence[str]) -> list[Column]:
+    """Missing cells of a record and, where labels are given, whether it is an anomaly."""
+    counted = [c for c in df.columns if c not in by and c not in ("dataset", "system")]
+    return [missing_cells(counted)] + ([is_anomaly("anomaly_label")] if "anomaly_label" in df.columns else [])
+
+
+def windowed(df: DataFrame, window: str, by: Sequence[str]) -> DataFrame:
+    """``(by, entity_id, window_start, measures, __missing, __anomaly)`` per record with a time: all that features need of it."""
+    require(df, ("entity_id", "ts"), "activity table")
+    missing, *anomaly = record_flags(df, by)
+    flags = [missing.alias("__missing"), *[a.alias("__anomaly") for a in anomaly]]
+    return df.where(F.col("ts").isNotNull()).select(
+        *[F.col(f"`{k}`") for k in by], "entity_id", window_floor("ts", window).alias("window_start"), *[F.col(f"`{c}`") for c in measure_columns(df)], *flags
+    )
+
+
+def finished(grouped: DataFrame, by: Sequence[str], cols: Sequence[str], acts: Sequence[str], labelled: bool, metadata: dict[str, str]) -> DataFrame:
+    """The feature columns, in their order, from the aggregates of each group."""
+    keys = [*by, "entity_id", "window_start"]
+    literal = {k: f"'{v}' AS {k}" for k, v in metadata.items()}
+    available = {*keys, *grouped.columns}
+    head = [
+        literal.get(c, c) if c not in by else c for c in FEATURE_METADATA[:8] if c in available or c in literal
+    ]
+    stats = []
+    for c in cols:
+        stats += [
+            f"`{c}_mean`", f"`{c}_std`", f"`{c}_min`", f"`{c}_max`", f"`__q_{c}`[2] AS `{c}_median`", f"`__q_{c}`[0] AS `{c}_p10`",
+            f"`__q_{c}`[4] AS `{c}_p90`", f"`__q_{c}`[3] - `__q_{c}`[1] AS `{c}_iqr`",
+            f"if(`{c}_mean` <> 0, `{c}_std` / `{c}_mean`, NULL) AS `{c}_cv`",
+        ]
+    total = " + ".join(f"`__sum_{c}`" for c in acts)
+    ratios = [f"if({total} > 0, `__sum_{c}` / ({total}), NULL) AS `ratio_{c}`" for c in acts]
+    tail = ["anomaly_count", "anomaly_count / n_records AS anomaly_rate"] if labelled else []
+    extra = [f"`{k}`" for k in by if k not in FEATURE_METADATA]
+    return grouped.selectExpr(*extra, *head, *stats, *ratios, *tail)
+
+
 def extract_features(
     df: DataFrame,
     window: str = "weekly",
@@ -70,16 +108,11 @@ def extract_features(
     The source is read once: its keys, measures and two flags are written as a narrow table, groups
     are counted from that, and only if one is too large for an aggregation buffer is it treated apart.
     """
-    require(df, ("entity_id", "ts"), "activity table")
     by = list(by)
     cols, acts = measure_columns(df), activity_columns(df)
     labelled = "anomaly_label" in df.columns
-    counted = [c for c in df.columns if c not in by and c not in ("dataset", "system")]
     keys = by + ["entity_id", "window_start"]
-    flags = [missing_cells(counted).alias("__missing")] + ([is_anomaly("anomaly_label").alias("__anomaly")] if labelled else [])
-    work = df.where(F.col("ts").isNotNull()).select(
-        *[F.col(f"`{k}`") for k in by], "entity_id", window_floor("ts", window).alias("window_start"), *[F.col(f"`{c}`") for c in cols], *flags
-    )
+    work = windowed(df, window, by)
     aggs = _mergeable(cols, acts, labelled)
 
     probs = ", ".join(f"{q}D" for q in QUANTILES)
@@ -96,23 +129,7 @@ def extract_features(
         ordinary, crowded = work.join(hot, cond, "left_anti"), cut(work.join(hot, cond, "left_semi"))
         grouped = ordinary.groupBy(*keys).agg(*aggs, *quantiles).unionByName(_hot_features(crowded, keys, cols, aggs))
 
-    literal = {k: f"'{v}' AS {k}" for k, v in metadata.items()}
-    available = {*keys, *grouped.columns}
-    head = [
-        literal.get(c, c) if c not in by else c for c in FEATURE_METADATA[:8] if c in available or c in literal
-    ]
-    stats = []
-    for c in cols:
-        stats += [
-            f"`{c}_mean`", f"`{c}_std`", f"`{c}_min`", f"`{c}_max`", f"`__q_{c}`[2] AS `{c}_median`", f"`__q_{c}`[0] AS `{c}_p10`",
-            f"`__q_{c}`[4] AS `{c}_p90`", f"`__q_{c}`[3] - `__q_{c}`[1] AS `{c}_iqr`",
-            f"if(`{c}_mean` <> 0, `{c}_std` / `{c}_mean`, NULL) AS `{c}_cv`",
-        ]
-    total = " + ".join(f"`__sum_{c}`" for c in acts)
-    ratios = [f"if({total} > 0, `__sum_{c}` / ({total}), NULL) AS `ratio_{c}`" for c in acts]
-    tail = ["anomaly_count", "anomaly_count / n_records AS anomaly_rate"] if labelled else []
-    extra = [f"`{k}`" for k in by if k not in FEATURE_METADATA]
-    return grouped.selectExpr(*extra, *head, *stats, *ratios, *tail)
+    return finished(grouped, by, cols, acts, labelled, metadata)
 
 
 def activity_ratios(df: DataFrame, keys: Sequence[str]) -> DataFrame:

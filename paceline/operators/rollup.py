@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.columns import (
@@ -25,14 +25,19 @@ def modal_label(label: str = "anomaly_label"):
     return F.coalesce(F.mode(F.when(is_anomaly(label), F.col(label)), True), F.lit(UNLABELLED))
 
 
-def rollup_daily(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sums per entity and calendar day with modal label and anomaly hours: one aggregation."""
+def daily_aggregates(df: DataFrame) -> list[Column]:
+    """Sums, modal label and anomaly hours of an entity-day."""
     aggs = [F.count("*").alias("n_source_rows")] + [sum_or_zero(c).alias(c) for c in measure_columns(df)]
     if "anomaly_label" in df.columns:
         aggs += [modal_label().alias("anomaly_label"), F.count_if(is_anomaly("anomaly_label")).alias("anomaly_hours")]
+    return aggs
+
+
+def rollup_daily(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sums per entity and calendar day with modal label and anomaly hours: one aggregation."""
     work = _dated(df).withColumn("ts", day_floor("ts"))
     grouped = work.withColumnRenamed("ts", "day").groupBy(*by, "entity_id", "day")
-    return grouped.agg(*aggs).withColumnRenamed("day", "ts")
+    return grouped.agg(*daily_aggregates(df)).withColumnRenamed("day", "ts")
 
 
 def audit_rollup(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -273,6 +273,14 @@ SQL["daily_features"] = sql(
 SQL["monthly_features"] = sql(
     f"SELECT dataset, system, {_K}, {_F} FROM f",
     ("f", features("clean", "month", ["dataset", "system"], list(MEASURES), list(ACTIVITY))))
+SQL["stream_daily"], SQL["stream_weekly"] = SQL["rollup_daily"], SQL["weekly_features"]
+# values of the group itself instead of interpolated ones
+_AT_RANK = re.sub(r"median\((\w+)\)", r"quantile_disc(\1, 0.5)", features("clean", "month", ["dataset", "system"], list(MEASURES), list(ACTIVITY)).replace("quantile_cont", "quantile_disc"))
+SQL["sketch_monthly"] = sql(f"SELECT dataset, system, {_K}, {_F} FROM f", ("f", _AT_RANK))
+SQL["sketch_sources"] = sql(" UNION ALL ".join(
+    f"""SELECT dataset, system, date_trunc('month', ts)::TIMESTAMP AS window_start, '{m}' AS variable, count({m}) AS n, {r(f'avg({m})', 'mean')},
+      {r(f'stddev_samp({m})', 'std')}, {r(f'min({m})', 'min')}, {r(f'max({m})', 'max')}, true AS within FROM clean GROUP BY ALL"""
+    for m in ("eat", "rest", "steps")))
 _ORDER = ["ruminate", "eat", "graze", "rest"]
 SQL["order_features"] = sql(
     f"SELECT 'orders' AS dataset, 'trade' AS system, {_K}, {rs(*feature_list(_ORDER, _ORDER))} FROM f",
