@@ -1,30 +1,20 @@
 """Distances between bounded blocks of rows, distributed by Spark.
 
-Two ways to bring rows together without a cross join or a list of pairs:
-
-* ``tile_apply``: every row meets every other row once. Rows are hashed into
-  tiles, a task gets two tiles and emits per-row sums only (theta-join by tiling,
-  Okcan & Riedewald 2011). For measures that are quadratic by definition.
-* ``Cells``: rows are assigned to Voronoi cells of sampled pivots; the triangle
-  inequality tells which cells a row has to look at (pivot-based kNN join, Lu et
-  al. 2012). Big cells are cut into chunks, so no task holds a whole cell.
+``tile_apply`` lets every row meet every other row once: rows are hashed into tiles, a task gets two tiles and emits per-row sums only
+(theta-join by tiling, Okcan & Riedewald 2011). For measures that are quadratic by definition; searches use ``tree``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.session import cut
-
 TILE_ROWS = 32_768
 CHUNK_ROWS = 4_096
-MAX_PIVOTS = 4_096  # bounds what the driver holds and ships: pivots x dimensions doubles
 STRIP = 256  # rows of a distance matrix held at once
 
 
@@ -89,114 +79,3 @@ def tile_apply(
         return fn(a, b, False)
 
     return spread.drop("__o").groupBy(*by, "__lo", "__hi").applyInPandas(run, schema)
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Distinct points in pivot cells plus what is known about each cell (at most MAX_PIVOTS of them)."""
-
-    points: DataFrame  # pid, w, features, cell
-    pivots: np.ndarray
-    count: np.ndarray  # distinct points per cell
-    weight: np.ndarray  # rows per cell
-    radius: np.ndarray
-    slack: float  # rounding allowance of every bound
-
-    def replace_points(self, points: DataFrame) -> Cells:
-        return Cells(points, self.pivots, self.count, self.weight, self.radius, self.slack)
-
-
-def distinct_points(df: DataFrame, key: str = "id", features: str = "features") -> DataFrame:
-    """Equal vectors as one weighted point ``(pid, w, features)``, named by their lowest key."""
-    return df.groupBy(F.col(features).alias("features")).agg(F.min(key).alias("pid"), F.count("*").alias("w"))
-
-
-def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(squared(x, pivots))
-
-
-def build_cells(points: DataFrame, rows_per_cell: int = 1_024, max_pivots: int = MAX_PIVOTS) -> Cells | None:
-    """Assigns points to the nearest of a hash-sampled set of pivots.
-
-    Pivots follow the density of the data, so cells hold similar numbers of points.
-    """
-    points = cut(points)
-    n = points.count()
-    if n == 0:
-        return None
-    m = int(min(max_pivots, max(1, -(-n // rows_per_cell))))
-    picked = points.orderBy(F.xxhash64("pid"), "pid").limit(m).select("features").collect()
-    pivots = np.array([r[0] for r in picked], dtype=np.float64)
-
-    def assign(batches):
-        for pdf in batches:
-            x = stack(pdf["features"])
-            cell, dist = np.empty(len(x), np.int32), np.empty(len(x))
-            for s in range(0, len(x), STRIP):
-                d = _to_pivots(x[s : s + STRIP], pivots)
-                cell[s : s + STRIP] = d.argmin(1)
-                dist[s : s + STRIP] = d.min(1)
-            yield pdf.assign(cell=cell, dist=dist, norm=(x * x).sum(1))
-
-    kind = points.schema["pid"].dataType.simpleString()
-    assigned = cut(points.mapInPandas(assign, f"features array<double>, pid {kind}, w long, cell int, dist double, norm double"))
-    stats = assigned.groupBy("cell").agg(
-        F.count("*").alias("n"), F.sum("w").alias("w"), F.max("dist").alias("r"), F.max("norm").alias("norm")
-    ).collect()
-    count, weight, radius = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
-    for s in stats:
-        count[s["cell"]], weight[s["cell"]], radius[s["cell"]] = s["n"], s["w"], s["r"]
-    slack = 1e-7 * max(1.0, max(s["norm"] for s in stats) ** 0.5)
-    return Cells(assigned.select("pid", "w", "features", "cell"), pivots, count, weight, radius, slack)
-
-
-def lower_bounds(d: np.ndarray, own: np.ndarray, cells: Cells, between: np.ndarray) -> np.ndarray:
-    """No point of cell j is nearer than this to the row: ball bound and bisector bound.
-
-    ``between`` holds the distances of the pivots, computed once per task.
-    """
-    ball = d - cells.radius[None, :]
-    p2 = between[own]
-    mine = d[np.arange(len(d)), own][:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        bisector = np.where(p2 > 0, (d * d - mine * mine) / (2.0 * p2), 0.0)
-    low = np.maximum(np.maximum(ball, bisector), 0.0) - cells.slack
-    low[np.arange(len(d)), own] = -1.0
-    low[:, cells.count == 0] = np.inf
-    return low
-
-
-def probe(
-    queries: DataFrame,
-    data: DataFrame,
-    cells: Cells,
-    fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    schema: str,
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """Runs ``fn(query chunk, data chunk)`` for every query and the cell in its ``target`` column.
-
-    Both sides of a cell are cut into chunks; every pair of chunks is one group.
-    """
-    queries = cut(queries)
-    asked = {r["target"]: r["n"] for r in queries.groupBy("target").agg(F.count("*").alias("n")).collect()}
-    spark = queries.sparkSession
-    layout = [
-        (int(j), int(max(1, -(-int(cells.count[j]) // chunk_rows))), int(max(1, -(-n // chunk_rows)))) for j, n in asked.items()
-    ]
-    plan = F.broadcast(spark.createDataFrame(layout, "target int, dn int, qn int"))  # one row per cell
-    q = queries.join(plan, "target").withColumns({
-        "qc": F.pmod(F.xxhash64("pid"), F.col("qn")).cast("int"),
-        "dc": F.explode(F.sequence(F.lit(0), F.col("dn") - 1)),
-    }).drop("dn", "qn")
-    d = data.withColumnRenamed("cell", "target").join(plan, "target").withColumns({
-        "dc": F.pmod(F.xxhash64("pid"), F.col("dn")).cast("int"),
-        "qc": F.explode(F.sequence(F.lit(0), F.col("qn") - 1)),
-    }).drop("dn", "qn")
-    names = _names(schema)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(columns=names) if a.empty or b.empty else fn(a, b)
-
-    keys = ["target", "dc", "qc"]
-    return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(run, schema)
