@@ -4,8 +4,9 @@ Documents fall by hash into BLOCKS blocks per source, and a source's blocks are
 A source's target buys whole copies of all its blocks and, for the rest, the first blocks of that order; the block at
 the cut is bought document by document up to the nearest word count. That gives exact block quotas per source.
 A binary tree then splits the quotas among output shards: at every node the left half's share of each source is one
-multivariate-hypergeometric draw. Each shard takes its own disjoint range of each source's permuted blocks and
-shuffles its rows locally by hash. Every draw follows from the seed, so reruns agree.
+multivariate-hypergeometric draw. Nodes are rows of a table and carry where their range of each source's permuted blocks begins; a task splits
+one node down to at most FAN_OUT others, so the tree takes a round for every factor FAN_OUT of shards. Each shard takes its own disjoint range
+and shuffles its rows locally by hash. Every draw follows from the seed and the node, so reruns agree.
 
 Size is the number of words ``[^\x20\x09-\x0D]+``. Sources are ordered by code point, null last; weights repeat along
 that order. A source's target stops at MAX_REPEAT times its size, the excess is shared anew by weight.
@@ -13,7 +14,7 @@ that order. A source's target stops at MAX_REPEAT times its size, the excess is
 Defined results: null text has size 0; sources of size 0 get target 0; an empty table gives an empty mix. Rows with
 one document id in a source are drawn together. A null id is a document like any other. Extra columns pass through.
 
-The driver holds one number row per source (name, size, quotas), never per document or block.
+The driver holds one number row per source (name, size, quota), never per document, block or shard.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,9 @@ from paceline.session import cut
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 BLOCKS = 4096
-#: Words per output shard, some 100 MB; the number of shards follows from the corpus.
-SHARD_WORDS = 16_000_000
+#: Words per output shard, some 50 MB, and the least number of shards; never more than there are blocks to deal.
+SHARD_WORDS, LEAST_SHARDS = 8_000_000, 16
+FAN_OUT = 256
 SEED = "mix"
 #: The block table is broadcast up to this many rows (under 10 MB); larger ones are joined by shuffle.
 BROADCAST_BLOCKS = 100_000
@@ -61,14 +64,40 @@ def targets(sizes: Sequence[int], weights: Sequence[int], max_repeat: int = MAX_
     return [float(max_repeat * sizes[i]) if i in full or not weight else weights[i] * rest / weight for i in range(len(sizes))]
 
 
-def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Items of each source per shard, ``(shards, sources)``; shard totals differ by rounding only."""
-    if shards == 1:
-        return quotas[None, :]
-    left = shards // 2
-    taken = int(quotas.sum()) * left // shards
-    half = rng.multivariate_hypergeometric(quotas, taken, method="marginals") if taken else np.zeros_like(quotas)
-    return np.concatenate([split_quotas(half, left, rng), split_quotas(quotas - half, shards - left, rng)])
+def split_node(first: int, shards: int, quotas: np.ndarray, starts: np.ndarray, seed: str, most: int = FAN_OUT) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first shard, shards, quotas, starts)`` of the nodes below one, until they are single shards or ``most`` in number. ``quotas`` are the items
+    of each source, ``starts`` their places in the source's order; totals of nodes are in proportion to their shards, but for rounding."""
+    out, deepest = [(first, shards, quotas, starts)], 1
+    while deepest < most and any(n > 1 for _, n, _, _ in out):
+        below = []
+        for at, n, items, begin in out:
+            if n == 1:
+                below.append((at, n, items, begin))
+                continue
+            left = n // 2
+            taken = int(items.sum()) * left // n
+            rng = np.random.default_rng([*seed.encode(), at, n])
+            half = rng.multivariate_hypergeometric(items, taken, method="marginals") if taken else np.zeros_like(items)
+            below += [(at, left, half, begin), (at + left, n - left, items - half, begin + half)]
+        out, deepest = below, 2 * deepest
+    return out
+
+
+def split_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
+    """``(shard, rank, start, items)``: the range of each source's items that a shard takes, from ``(rank, items)``; empty ranges are left out."""
+
+    def split(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("rank")
+        made = split_node(int(nodes["shard"].iloc[0]), int(nodes["shards"].iloc[0]), nodes["items"].to_numpy(), nodes["start"].to_numpy(), seed)
+        parts = [pd.DataFrame({"shard": a, "shards": n, "rank": nodes["rank"].to_numpy(), "start": s, "items": q}) for a, n, q, s in made]
+        return pd.concat(parts)[lambda t: t["items"] > 0]
+
+    schema = "shard long, shards long, rank int, start long, items long"
+    nodes = quotas.select(F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("shards"), "rank", F.lit(0).cast("long").alias("start"), "items")
+    left = shards
+    while left > 1:
+        nodes, left = cut(nodes.groupBy("shard", "shards").applyInPandas(split, schema)), -(-left // FAN_OUT)
+    return nodes.drop("shards")
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -115,46 +144,53 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, shards: int | None =
     joined = placed.join(last, "rank", "left").withColumn("last_md5", F.when(whole, F.lit("~")).when(partial, F.col("cut_md5")))
     joined = cut(joined)
     extra = {r["rank"]: r["n"] for r in joined.where("last_md5 IS NOT NULL").groupBy("rank").agg(F.count("*").alias("n")).collect()}
-    shards = shards or max(1, -(-sum(r["s"] for r in sources) // SHARD_WORDS))
-    quotas = np.array([p[5] * p[3] + extra.get(p[1], 0) for p in params], dtype=np.int64)
-    per_shard = split_quotas(quotas, shards, np.random.default_rng(list(seed.encode()))) if len(quotas) else np.zeros((shards, 0), np.int64)
-    ends = per_shard.cumsum(axis=0)
-    # ends of the shards' ranges in each source's item order: all blocks of the first copy, then of the next
-    bounds = spark.createDataFrame([(i, [int(x) for x in ends[:, i]]) for i in range(len(params))], "rank int, bounds array<long>")
-    item = lambda copy: copy * F.col("n_blocks") + F.col("place")
-    at = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies")), lambda copy: F.size(F.filter("bounds", lambda end: end <= item(copy))))
-    return joined.join(bounds, "rank").select("source", "block", "copies", "last_md5", at.alias("shards"), "target", "source_size")
-
-
-def _with_plan(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``rows`` with the plan of their block; ``blocks`` is a written table."""
+    quotas = [(p[1], p[5] * p[3] + extra.get(p[1], 0)) for p in params]
+    items = sum(q for _, q in quotas)
+    shards = min(shards or max(LEAST_SHARDS, -(-sum(r["s"] for r in sources) // SHARD_WORDS)), max(1, items))
+    ranges = split_quotas(spark.createDataFrame(quotas, "rank int, items long").where("items > 0"), shards, seed)
+    # a source's items: all blocks of the first copy in their order, then of the next; each falls to the shard whose range began last
+    bought = F.col("copies") + F.when(F.col("last_md5").isNotNull(), 1).otherwise(0)
+    dealt = joined.where(bought > 0).select("rank", "block", "n_blocks", "place", F.explode(F.sequence(F.lit(0).cast("long"), bought - 1)).alias("copy"))
+    both = dealt.select("rank", (F.col("copy") * F.col("n_blocks") + F.col("place")).alias("item"), "block", "copy", F.lit(None).cast("long").alias("shard"))
+    both = both.unionByName(ranges.select("rank", F.col("start").alias("item"), F.lit(None).cast("int").alias("block"), F.lit(None).cast("long").alias("copy"), "shard"))
+    began = Window.partitionBy("rank").orderBy("item", F.col("shard").asc_nulls_last())  # at most twice the items of a source
+    placed = both.withColumn("shard", F.last("shard", ignorenulls=True).over(began)).where("block IS NOT NULL")
+    drawn = placed.groupBy("rank", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda c: c["shard"]).alias("shards"))
+    return joined.join(drawn, ["rank", "block"], "left").select("source", "block", "copies", "last_md5", "shards", "target", "source_size")
+
+
+def _with_plan(rows: DataFrame, blocks: DataFrame, source: str, block: str, plan: str) -> DataFrame:
+    """``rows`` with the plan of their block as a struct; ``blocks`` is a written table."""
     small = blocks.count() <= BROADCAST_BLOCKS
-    right = blocks.select(F.struct("*").alias("__plan"))
-    same = F.col("__source").eqNullSafe(F.col("__plan.source")) & (F.col("__block") == F.col("__plan.block"))
+    right = blocks.select(F.struct("*").alias(plan))
+    same = F.col(source).eqNullSafe(F.col(f"{plan}.source")) & (F.col(block) == F.col(f"{plan}.block"))
     return rows.join(F.broadcast(right) if small else right, same)
 
 
-def n_copies(doc_md5: Column) -> Column:
-    p = F.col("__plan")
-    return p["copies"] + F.when(doc_md5 <= p["last_md5"], 1).otherwise(0)
+def draws(doc_md5: Column, plan: Column) -> Column:
+    """The shards that draw a document of the block, one entry a copy."""
+    n = plan["copies"] + F.when(doc_md5 <= plan["last_md5"], 1).otherwise(0)
+    return F.filter(F.slice(F.coalesce(plan["shards"], F.array().cast("array<long>")), F.lit(1), n.cast("int")), lambda s: s.isNotNull())
 
 
 def taken(docs: DataFrame, seed: str = SEED, **options: object) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` of every row: the words that the mix takes of it."""
+    """``(doc_id, size, source_size, target, taken)`` of every row: the words that all shards together draw of it."""
     rows = sized(docs, seed)
-    marked = _with_plan(rows.withColumn("__source", F.col("source")).withColumn("__block", F.col("block")), cut(plan(rows, seed=seed, **options)))
-    return marked.select("doc_id", "size", F.col("__plan.source_size"), F.col("__plan.target"), (F.col("size") * n_copies(F.col("doc_md5"))).alias("taken"))
+    marked = _with_plan(rows.withColumnsRenamed({"source": "of", "block": "at"}), cut(plan(rows, seed=seed, **options)), "of", "at", "plan")
+    drawn = F.size(draws(F.col("doc_md5"), F.col("plan")))
+    return marked.select("doc_id", "size", F.col("plan.source_size"), F.col("plan.target"), (F.col("size") * drawn).alias("taken"))
 
 
 def mix(docs: DataFrame, shards: int | None = None, seed: str = SEED, **options: object) -> DataFrame:
     """One row per copy taken: the columns of ``docs``, then ``shard`` and ``copy``; each shard lies
     in one partition, in its locally shuffled order."""
-    shard, copy = free_name(docs, "shard"), free_name(docs, "copy")
+    shard, copy, md5, source, block, aim, of = (free_name(docs, c) for c in ("shard", "copy", "__md5", "__source", "__block", "__plan", "__draws"))
     blocks = cut(plan(sized(docs, seed), shards=shards, seed=seed, **options))
-    n_shards = blocks.agg(F.max(F.array_max("shards"))).first()[0] or 0
-    rows = docs.withColumn("__md5", doc_hash(seed=seed)).withColumn("__source", F.col("source").cast("string")).withColumn("__block", block_of(F.col("__md5")))
-    drawn = _with_plan(rows, blocks).withColumn("__n", n_copies(F.col("__md5"))).where("__n > 0")
-    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))))
-    placed = copies.withColumn(shard, F.get("__plan.shards", F.col(copy))).repartition(n_shards + 1, shard)
-    shuffled = placed.sortWithinPartitions(shard, F.md5(F.concat_ws("|", "__md5", F.col(copy).cast("string"))), "doc_id")
-    return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns], shard, copy)
+    n_shards = blocks.agg(F.max(F.array_max("shards"))).first()[0]
+    rows = docs.withColumn(md5, doc_hash(seed=seed)).withColumn(source, F.col("source").cast("string")).withColumn(block, block_of(F.col(md5)))
+    drawn = _with_plan(rows, blocks, source, block, aim).withColumn(of, draws(F.col(md5), F.col(aim)))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    copies = drawn.select(*kept, md5, F.posexplode(of).alias(copy, shard)).withColumn(shard, F.col(shard).cast("int"))
+    placed = copies.repartitionById((n_shards or 0) + 1, F.col(shard))
+    shuffled = placed.sortWithinPartitions(shard, F.md5(F.concat_ws("|", md5, F.col(copy).cast("string"))), "doc_id")
+    return shuffled.select(*kept, shard, copy)

@@ -169,10 +169,46 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
     assert len(sizes) == 5 and sizes.max() < 1.2 * sizes.min() and list(mixed["doc_id"]) == list(mixing.mix(docs, shards=5).toPandas()["doc_id"])
 
 
-def test_splitting_tree_spends_exact_quotas():
+@pytest.mark.parametrize("fan_out", [2, 256])
+def test_splitting_tree_spends_exact_quotas(spark, fan_out, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN_OUT", fan_out)
+    monkeypatch.setattr(mixing.split_node, "__defaults__", (fan_out,))
     quotas = np.array([5, 0, 1000, 37], dtype=np.int64)
-    split = mixing.split_quotas(quotas, 7, np.random.default_rng(3))
-    assert (split.sum(axis=0) == quotas).all() and np.ptp(split.sum(axis=1)) <= 2 and (split >= 0).all()
+    table = spark.createDataFrame(list(enumerate(quotas.tolist())), "rank int, items long")
+    got = mixing.split_quotas(table, 7).toPandas()
+    split = got.pivot_table(index="shard", columns="rank", values="items", fill_value=0).reindex(columns=range(4), fill_value=0).to_numpy().astype(int)
+    assert (split.sum(axis=0) == quotas).all() and len(split) == 7 and np.ptp(split.sum(axis=1)) <= 3 and (split >= 0).all()
+    for rank, part in got.sort_values("start").groupby("rank"):  # ranges lie end to end
+        assert list(part["start"]) == [0, *part["items"].cumsum()[:-1]] and part["items"].sum() == quotas[rank]
+    assert got.equals(mixing.split_quotas(table, 7).toPandas())
+
+
+def test_the_query_is_dealt_to_many_even_shards(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    blocks = mixing.plan(mixing.sized(docs)).where("shards IS NOT NULL")
+    assert blocks.selectExpr("explode(shards) AS s").distinct().count() >= 8
+    # a document is taken as often as shards draw it: without a shard's draw, nothing of it is taken
+    mixed = mixing.mix(docs)
+    dealt = mixed.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    taken = mixing.taken(docs).toPandas()
+    taken = taken[taken["size"] > 0].set_index("doc_id")
+    assert ((taken["taken"] // taken["size"])[lambda n: n > 0].sort_index() == dealt.reindex(taken.index).dropna().sort_index()).all()
+
+
+def test_shards_lie_one_to_a_partition(spark):
+    docs = documents(spark, [(i, "w " * 20, f"s{i % 5}") for i in range(4000)])
+    mixed = mixing.mix(docs, shards=12).withColumn("p", F.spark_partition_id())
+    by = mixed.groupBy("p", "shard").count().collect()
+    assert len(by) == 12 == len({r["p"] for r in by}) == len({r["shard"] for r in by})
+    assert max(r["count"] for r in by) <= 2 * sum(r["count"] for r in by) / 12
+
+
+def test_mix_keeps_columns_named_like_its_own(spark):
+    docs = documents(spark, [(i, "w " * 20, f"s{i % 5}") for i in range(50)])
+    own = ("__md5", "__source", "__block", "__n", "__plan", "__draws", "shard", "copy", "a.b")
+    docs = docs.select("*", *[F.lit(7).alias(c) for c in own])
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "_shard", "_copy"] and all(r[c] == 7 for r in got.collect() for c in own)
 
 
 def test_packing_edges(spark, odd, none):
