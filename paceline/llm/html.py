@@ -3,7 +3,8 @@
 A page is cut into flat blocks at block-level tags. Each block carries its word count and link density, those of the blocks before and
 behind it, whether it is a heading, whether it lies inside or outside an ``article`` or ``main`` element (or the page has none), and whether
 an enclosing element marks it as furniture by tag, role, class or id. A decision tree trained on the small labelled
-table below decides which blocks are text; it becomes a Spark expression over the array of blocks.
+table below decides which blocks are text; it becomes a Spark expression over the array of blocks. More than half of that table comes from pages without
+any telling tag or name, where menus, teasers and link lists differ from text by their link densities and lengths alone.
 
 Scripts, styles, comments and other unseen elements never make blocks. Character references are decoded, white space inside a block becomes one
 space, and the chosen blocks are joined by a line feed in page order. Whole pages are read; nothing is capped.
@@ -31,9 +32,9 @@ BLOCK = "struct<text: string, words: double, links: double, prev_words: double,
 MAX_DEPTH = 8
 
 # Element kinds of the HTML standard.
-UNSEEN = "script style noscript template textarea svg math iframe object canvas video audio select datalist head"
+UNSEEN = "script style title noscript template textarea svg math iframe object canvas video audio select datalist"
 BLOCKS = (
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button option"
 ).split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +52,7 @@ CONTENT_NAMES = frozenset("article post entry content main story body text".spli
 _ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<unseen>{UNSEEN.replace(' ', '|')})\b{_ATTRS}(?:/>|>.*?(?:</(?P=unseen)\s*>|(?=<body\b)|\Z))"
+    rf"|<(?P<unseen>{UNSEEN.replace(' ', '|')})\b{_ATTRS}(?:/>|>.*?(?:</(?P=unseen)\s*>|\Z))"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|<[/a-zA-Z][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
@@ -84,10 +85,57 @@ def is_furniture(tag: str, attrs: str, in_content: bool) -> bool:
     return False
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class Open:
+    """The open elements of a page, with running counts, so that no question and no end tag needs a look at all of them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, furniture, content
+        self.places: dict[str, list[int]] = {}  # of each tag, from the outermost
+        self.blocks: list[int] = []  # places of block-level elements
+        self.links = self.headings = self.furniture = self.content = 0
+
+    def _count(self, tag: str, furniture: bool, content: bool, by: int) -> None:
+        self.links += by * (tag == "a")
+        self.headings += by * (tag in HEADINGS)
+        self.furniture += by * furniture
+        self.content += by * content
+
+    def push(self, tag: str, furniture: bool, content: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_SET:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, furniture, content))
+        self._count(tag, furniture, content, 1)
+
+    def cut(self, place: int) -> None:
+        """Closes everything from ``place`` on."""
+        while len(self.stack) > place:
+            one = self.stack.pop()
+            self.places[one[0]].pop()
+            if one[0] in BLOCK_SET:
+                self.blocks.pop()
+            self._count(*one, -1)
+
+    def close(self, tag: str) -> None:
+        """An end tag: closes the innermost such element; one that is not block-level does not reach out of its block."""
+        at = self.places.get(tag)
+        if at and (tag in BLOCK_SET or not self.blocks or at[-1] > self.blocks[-1]):
+            self.cut(at[-1])
+
+    def make_room(self, tag: str) -> None:
+        """A block-level start tag ends what may not hold it."""
+        shut = CLOSES.get(tag, {"p"})
+        while self.blocks and self.stack[self.blocks[-1]][0] in shut:
+            self.cut(self.blocks[-1])
+
+
 def flat_blocks(html: str | None) -> list[dict]:
     """The blocks of one page with their features."""
     raw: list[list] = []  # text, link characters, heading, inside, furniture
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, content
+    open_ = Open()
     parts: list[str] = []
     links = heading = 0
     seen_content = False
@@ -97,18 +145,16 @@ def flat_blocks(html: str | None) -> list[dict]:
         text = SPACES.sub(" ", unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            inside, furniture = any(s[2] for s in stack), any(s[1] for s in stack)
-            raw.append([text, min(links, len(text)), heading, inside, furniture])
+            raw.append([text, min(links, len(text)), heading, open_.content > 0, open_.furniture > 0])
         links = heading = 0
 
     def add(text: str) -> None:
         nonlocal links, heading
         if text:
             parts.append(text)
-            tags = {s[0] for s in stack[-8:]}
-            if "a" in tags:
+            if open_.links:
                 links += len(text.strip())
-            if tags & {"h1", "h2", "h3", "h4", "h5", "h6"}:
+            if open_.headings:
                 heading = 1
 
     html, at = html or "", 0
@@ -125,26 +171,15 @@ def flat_blocks(html: str | None) -> list[dict]:
         if tag in BLOCK_SET:
             flush()
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK_SET and stack[i][0] in BLOCK_SET:
-                    break
+            open_.close(tag)
             continue
         if tag in VOID or m["attrs"].endswith("/"):
             continue
         if tag in BLOCK_SET:
-            shut = CLOSES.get(tag, {"p"})
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
-                elif stack[i][0] in BLOCK_SET:
-                    break
+            open_.make_room(tag)
         content = tag in ("article", "main")
         seen_content |= content
-        inside = content or any(s[2] for s in stack)
-        stack.append((tag, is_furniture(tag, m["attrs"], inside), content))
+        open_.push(tag, is_furniture(tag, m["attrs"], content or open_.content > 0), content)
     add(html[at:])
     flush()
     out = []
@@ -163,37 +198,37 @@ def _filler(n: int, start: int = 0) -> str:
     return " ".join(base[(start + i) % len(base)] for i in range(n)) + "."
 
 
-def labelled_pages() -> list[tuple[str, list[str]]]:
-    """Pages of common layouts and lengths, with their text blocks in order."""
+MARK = "\u2063"  # stands behind every block of the labelled pages that is text
+
+
+def labelled_pages(seed: int = 7) -> list[str]:
+    """Pages of common layouts and lengths whose text blocks end in MARK."""
+    plain = lambda html: html.replace(MARK, "")
     menu = "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "World news", "Sport", "About us")) + "</ul>"
     foot = "<footer>&copy; 2020 Example Media. All rights reserved. <a href='/p'>Privacy</a></footer>"
     pages = []
     for k, sizes in enumerate(((60, 25, 1, 80), (8, 5, 3), (120, 2, 40, 15, 70), (30,), (1, 1, 12), (18, 22, 9))):
-        ps = [_filler(n, 3 * i + k) for i, n in enumerate(sizes)]
-        title = _filler(5, k)[:-1]
+        ps = [_filler(n, 3 * i + k) + MARK for i, n in enumerate(sizes)]
+        title = _filler(5, k)[:-1] + MARK
         body = "".join(f"<p>{p}</p>" for p in ps)
         linked = _filler(14, k)
-        with_link = body + f"<p>{linked} <a href='/x'>More on this</a> {linked}</p>"
-        texts = [title, *ps, f"{linked} More on this {linked}"]
+        with_link = body + f"<p>{linked} <a href='/x'>More on this</a> {linked}{MARK}</p>"
         noise = f"<div><p>{_filler(9, k + 5)}</p></div>"
         semantic = f"<article><h1>{title}</h1>{with_link}</article>"
         # semantic elements; loose text outside the article is not part of it
-        pages.append((f"<body><nav>{menu}</nav><div>{_filler(6 + 12 * k, 2)}</div>{semantic}{foot}</body>", texts))
-        pages.append((f"<body><header>{menu}</header>{noise}<main><h2>{title}</h2>{with_link}<div class='comments'><p>{_filler(20 + 9 * k)}</p></div></main><aside>{noise}{menu}</aside></body>", texts))
-        pages.append((f"<body>{semantic.replace('</article>', '')}<form><p>{_filler(4)}</p></form><ul class='share'><li><a href='/s'>Share</a></li></ul></article>{noise}</body>", texts))
+        pages.append(f"<body><nav>{menu}</nav><div>{_filler(6 + 12 * k, 2)}</div>{semantic}{foot}</body>")
+        pages.append(f"<body><header>{menu}</header>{noise}<main><h2>{title}</h2>{with_link}<div class='comments'><p>{_filler(20 + 9 * k)}</p></div></main><aside>{noise}{menu}</aside></body>")
+        pages.append(f"<body>{semantic.replace('</article>', '')}<form><p>{_filler(4)}</p></form><ul class='share'><li><a href='/s'>Share</a></li></ul></article>{noise}</body>")
         loose = "".join(f"<div>{_filler(n, k)}</div>" for n in (14 + 5 * k, 40, 22))
-        pages.append((f"<body>{loose}{semantic}{loose}</body>", texts))
-        pages.append((f"<body>{semantic}<section class='related'><h3>{title}</h3>{body}</section></body>", texts))
+        pages.append(f"<body>{loose}{semantic}{loose}</body>")
+        pages.append(f"<body>{semantic}<section class='related'><h3>{plain(title)}</h3>{plain(body)}</section></body>")
         # class names only
-        long = [p for p in ps if p.count(" ") >= 8]
-        text = "".join(f"<p>{p}</p>" for p in long)
+        text = "".join(f"<p>{p}</p>" for p in ps if p.count(" ") >= 8)
         boxes = {name: f"<div class='{name}'><p>{_filler(n, k)}</p><p>{_filler(n + 7, k)}</p></div>" for name, n in (("promo-box", 12 + k), ("related-posts", 25), ("reader_comments", 33 + k), ("newsletterSignup", 9))}
-        if long:
-            pages.append((f"<body>{boxes['promo-box']}<div class='entry-content'><h2>{title}</h2>{text}</div>{boxes['related-posts']}{boxes['reader_comments']}{boxes['newsletterSignup']}</body>", [title, *long]))
-            pages.append((f"<body><div class='top-menu'>{menu}</div><div class='post-content'><h1>{title}</h1>{text}</div><div class='sidebar'><p>{_filler(30)}</p></div><div id='cookie-notice'>{_filler(15)}</div>{foot}</body>", [title, *long]))
-            # no hints at all: links and lengths decide
-            pages.append((f"<body><div>{menu}</div><div><h1>{title}</h1>{text}</div><div>{menu}</div><div>{_filler(3)}</div></body>", [title, *long]))
-    rng = random.Random(7)
+        if text:
+            pages.append(f"<body>{boxes['promo-box']}<div class='entry-content'><h2>{title}</h2>{text}</div>{boxes['related-posts']}{boxes['reader_comments']}{boxes['newsletterSignup']}</body>")
+            pages.append(f"<body><div class='top-menu'>{menu}</div><div class='post-content'><h1>{title}</h1>{text}</div><div class='sidebar'><p>{_filler(30)}</p></div><div id='cookie-notice'>{_filler(15)}</div>{foot}</body>")
+    rng = random.Random(seed)
 
     def some(low: int, high: int) -> str:
         return _filler(rng.randint(low, high), rng.randint(0, 9))
@@ -204,28 +239,40 @@ def labelled_pages() -> list[tuple[str, list[str]]]:
         cut = len(words) - round(share * len(words))
         return " ".join(words[:cut]) + (" <a href='/l'>" + " ".join(words[cut:]) + "</a>" if cut < len(words) else "")
 
-    for k in range(60):  # layouts of every size, half of them with an article; texts may hold links
-        links = lambda: "".join(f"<div><a href='/m'>{some(1, 3)[:-1]}</a></div>" for _ in range(rng.randint(2, 8)))
-        short = lambda: f"<div>{some(1, 5)}</div>"
-        semantic = k % 2 == 0
-        title, ps = some(1, 9)[:-1], [some(1 if semantic else 9, 70) for _ in range(rng.randint(2, 6))]
-        body = "".join(f"<div>{linked(p, rng.choice((0, 0, 0.1, 0.3, 1) if semantic else (0, 0, 0.1, 0.3)))}</div>" for p in ps)
-        box = f"<div class='sidebar'>{short()}{''.join(f'<div>{p}</div>' for p in ps)}</div>" if rng.random() < 0.5 else ""
-        main = f"<h1>{title}</h1>{body}"
-        loose = f"<div>{some(9, 40)}</div>" if semantic else ""
-        pages.append((f"<body>{links()}{short()}{loose}{f'<article>{main}</article>' if semantic else main}{loose}{links()}{short()}{box}{links()}</body>", [title, *ps]))
+    div = lambda text: f"<div>{text}</div>"
+    entry = lambda low, high: div(f"<a href='/m'>{some(low, high)[:-1]}</a>")
+    short = lambda: div(some(1, 5))
+    for _ in range(30):  # with an article, of every size; its texts may hold links
+        title, ps = some(1, 9)[:-1] + MARK, [some(1, 70) + MARK for _ in range(rng.randint(2, 6))]
+        body = "".join(div(linked(p, rng.choice((0, 0, 0.1, 0.3, 1)))) for p in ps)
+        box = f"<div class='sidebar'>{short()}{''.join(div(plain(p)) for p in ps)}</div>" if rng.random() < 0.5 else ""
+        menus = ["".join(entry(1, 3) for _ in range(rng.randint(2, 8))) for _ in range(3)]
+        loose = div(some(9, 40))
+        pages.append(f"<body>{menus[0]}{short()}{loose}<article><h1>{title}</h1>{body}</article>{loose}{menus[1]}{short()}{box}{menus[2]}</body>")
+    for _ in range(120):  # nothing tells but lengths and links: menus of short links, teasers of long ones, bylines, the small print
+        title, ps = some(2, 9)[:-1] + MARK, [some(9, 70) + MARK for _ in range(rng.randint(2, 7))]
+        body = "".join(div(linked(p, rng.choice((0, 0, 0, 0.1, 0.3)))) for p in ps)
+        menu, more = ("".join(entry(1, 3) for _ in range(rng.randint(2, 8))) for _ in range(2))
+        teasers = ["".join(entry(4, 24) for _ in range(rng.randint(1, 6))) for _ in range(3)]
+        half = ["".join(div(linked(some(6, 30), rng.choice((0.6, 0.8, 0.9)))) for _ in range(rng.randint(0, 3))) for _ in range(2)]
+        head = rng.choice((f"<h1>{title}</h1>", ""))
+        print_ = rng.choice(("", short(), div("&copy; 2020 Example Media")))
+        order = [rng.choice((menu, "")), rng.choice((teasers[0], "")), half[0]]
+        rng.shuffle(order)
+        tail = [more, teasers[1], half[1], print_]
+        rng.shuffle(tail)
+        inner = body.replace("</div>", "</div>" + rng.choice(("", "", entry(4, 20))), 1)
+        pages.append(f"<body>{''.join(order)}{head}{inner}{''.join(tail)}{teasers[2]}</body>")
     return pages
 
 
-def labelled_blocks() -> list[tuple]:
-    """The labelled table: FEATURES and ``label`` of every block of the labelled pages (under 2,000 rows)."""
+def labelled_blocks(pages: list[str] | None = None) -> list[tuple]:
+    """The labelled table: FEATURES and ``label`` of every block of the labelled pages (some 4,000 rows). Labels come from MARK alone, features from
+    the pages without it."""
     rows = []
-    for html, texts in labelled_pages():
-        wanted, i = texts, 0
-        for b in flat_blocks(html):
-            is_text = i < len(wanted) and b["text"] == wanted[i] and not b["furniture"]
-            i += is_text
-            rows.append((*(b[f] for f in FEATURES), float(is_text)))
+    for page in labelled_pages() if pages is None else pages:
+        marked, clean = flat_blocks(page), flat_blocks(page.replace(MARK, ""))
+        rows += [(*(b[f] for f in FEATURES), float(MARK in m["text"])) for m, b in zip(marked, clean, strict=True)]
     return rows
 
 
