@@ -549,12 +549,32 @@ def pca_variance(spark, sf):
 
 @query
 def pca_by_resolution(spark, sf):
-    """Explained variance of the absolute features for two groups of sources; a third group has no rows."""
+    """Explained variance of the ratios for two groups of sources; a third group has no rows."""
+    return _parts_explained(spark, sf, "ratios")
+
+
+@query
+def pca_by_resolution_absolute(spark, sf):
+    """The same for the absolute features."""
+    return _parts_explained(spark, sf, "absolute")
+
+
+def _parts_explained(spark, sf, feature_set):
     groups = {"extensive": list(wh.EXTENSIVE), "intensive": ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD"], "absent": ["NONE"]}
-    found = slices.pca_by_resolution(staged(spark, sf), "ratios", groups)
+    found = slices.pca_by_resolution(staged(spark, sf), feature_set, groups)
     return rounded(spark.createDataFrame([(g, *r.explained) for g, r in found.items()], "part string, explained_pc1 double, explained_pc2 double"), 5)
 
 
+@query
+def pca_summary(spark, sf):
+    """The one-row summaries of PCA of every feature set, with what drives the first component."""
+    f = staged(spark, sf)
+    parts = [slices.analyze_pca(f, name)[1] for name in FEATURE_SETS]
+    return rounded(master.union_features(parts).select(
+        "feature_set", "n_rows", "n_features", "explained_pc1", "explained_pc2", "eta_system", "eta_dataset", "eta_system_pc2", "eta_dataset_pc2", "verdict",
+    ), 4)
+
+
 @query
 def projection_with_features(spark, sf):
     """The projection of the ratios joined with the features on the four keys."""
@@ -796,9 +816,68 @@ def global_summary(spark, sf):
     return out.select("branch", "feature_set", "space", (sound & known & F.col("interpretation").isNotNull()).alias("sound"))
 
 
+@query
+def density_grid(spark, sf):
+    """All density settings of the entity-weeks in scaled space with their scores."""
+    points, _ = _ratio_matrix(spark, sf)
+    grid = cluster.evaluate_grid(points.select("id", "features"), algorithms=("dbscan",))
+    return rounded(grid.metrics.select("min_samples", "percentile", "eps", "n_clusters", "n_noise", "silhouette", "davies_bouldin", "calinski_harabasz"), 4)
+
+
+@query
+def slice_grid(spark, sf):
+    """Best configuration of every branch, feature set and space, from a small grid; whether its scores lie in their ranges and its relations are known."""
+    branches = dict(zip(("hourly", "daily"), map(cut, _branches(spark, sf))))
+    bests = slices.analyze_slices(branches, ks=(2, 3), restarts=2, min_samples=(5,), percentiles=(75,))
+    return bests.select("branch", "feature_set", "space", "n_rows", _sound(bests).alias("sound"))
+
+
+def _sound(bests):
+    scores_ = F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") > 0) & (F.col("calinski_harabasz") > 0) & (F.col("n_clusters") >= 2)
+    kinds = ("strong", "moderate", "none")
+    # every row of the slice is in the tables of the best labels, but for noise
+    counted = F.aggregate("contingency_dataset", F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    return scores_ & F.col("relation_system.relation").isin(*kinds) & F.col("relation_dataset.relation").isin(*kinds) & (counted <= F.col("n_rows")) & F.col("mean_purity").between(0, 1)
+
+
+@query
+def base_clusters(spark, sf):
+    """The base analysis of the hourly branch: scaled space, no density clustering."""
+    metrics, best = slices.analyze_clusters(staged(spark, sf), "hourly", "ratios", ks=(2, 3, 4), restarts=3)
+    won = best.select("algorithm", "k").withColumn("best", F.lit(True))
+    picked = metrics.join(won, ["algorithm", "k"], "left").agg(F.count("best").alias("n_best")).scalar()
+    return metrics.select("branch", "feature_set", "space", "algorithm", "k", "n_clusters", "n_noise", F.col("silhouette").isNotNull().alias("scored"), picked.alias("n_best"))
+
+
 # --- readers and writers ------------------------------------------------------
 
 
+def _as_files(spark, sf) -> list[SourceSpec]:
+    """Every source of the hourly table as a text file."""
+    base, whole = _place(spark, "sources"), cut(wh.hourly(spark, sf))
+    specs = []
+    for r in whole.select("dataset", "system").distinct().orderBy("dataset").collect():
+        part = whole.where(F.col("dataset") == r["dataset"]).select(
+            F.col("entity_id").alias("Cow_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Time"),
+            *[F.col(m).cast("string").alias(m.capitalize()) for m in MEASURES], F.col("anomaly_label").alias("Anomaly_Label"),
+        )
+        sinks.write_table(part, f"{base}/{r['dataset']}.csv", "csv")
+        specs.append(SourceSpec(f"{base}/{r['dataset']}.csv", r["dataset"], r["system"], "hourly", "native"))
+    return specs
+
+
+@query
+def branch_features(spark, sf):
+    """Weekly features of a branch straight from its source files; one source has no event coverage."""
+    return rounded(slices.branch_features(spark, _as_files(spark, sf), uncovered=["FURNITURE"]))
+
+
+@query
+def source_audit(spark, sf):
+    """Size, frequency and resolution class of every source, read from its file."""
+    return rounded(slices.audit(tables.read_activities(spark, _as_files(spark, sf))))
+
+
 @query
 def activity_round_trip(spark, sf):
     """Every source written as text with broken cells and read back; a source that does not exist is skipped."""

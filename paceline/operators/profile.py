@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.functions.columns import hour_floor, label_or_default, measure_columns, missing_cells
+from paceline.functions.columns import label_or_default, measure_columns, missing_cells
 from paceline.functions.quantiles import exact_medians
 from paceline.session import cut
 
@@ -26,28 +26,27 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequ
     if not keys:
         packed = right.select(F.struct(*columns).alias("s")).scalar()
         return left.withColumn("__s", packed).select(*left.columns, *[F.col(f"__s.{c}") for c in columns])
-    joined = left.join(F.broadcast(right), null_safe(keys, left, right), "left")
+    joined = left.join(right, null_safe(keys, left, right), "left")
     return joined.select(*[left[c] for c in left.columns], *[right[c] for c in columns])
 
 
 def time_gaps(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Gaps in hours between consecutive distinct times of each source.
 
-    Times are first cut into hours. Inside an hour ``lag`` runs over that hour's
-    distinct times only; gaps across hours come from the hours' first and last
-    times. One window spans a source's hours (some thousands a year), none its times.
+    Distinct times are dealt to range partitions, so that neighbours in time lie together however crowded an hour or a source is. ``lag`` runs inside a
+    partition; the gaps between partitions come from a table of their ends, a row per source and partition.
     """
     by = list(by)
-    # read by both kinds of gap below, so written once
-    times = cut(df.where(F.col("ts").isNotNull()).select(*by, "ts").distinct().withColumn("__h", hour_floor("ts")))
+    times = df.where(F.col("ts").isNotNull()).select(*by, "ts").distinct()
+    ranged = cut(times.repartitionByRange(*[F.col(f"`{k}`") for k in by], "ts").withColumn("__part", F.spark_partition_id()))
 
     def hours(late: Column, early: Column) -> Column:
         return (F.unix_micros(late.cast("timestamp")) - F.unix_micros(early.cast("timestamp"))) / F.lit(3.6e9)
 
-    within = times.withColumn("__prev", F.lag("ts").over(Window.partitionBy(*by, "__h").orderBy("ts")))
+    within = ranged.withColumn("__prev", F.lag("ts").over(Window.partitionBy("__part", *by).orderBy("ts")))
     inner = within.where(F.col("__prev").isNotNull()).select(*by, hours(F.col("ts"), F.col("__prev")).alias("gap_hours"))
-    ends = times.groupBy(*by, "__h").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    across = ends.withColumn("__prev", F.lag("last").over(Window.partitionBy(*by).orderBy("__h")))
+    ends = ranged.groupBy(*by, "__part").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    across = ends.withColumn("__prev", F.lag("last").over(Window.partitionBy(*by).orderBy("__part")))  # at most one row per partition
     outer = across.where(F.col("__prev").isNotNull()).select(*by, hours(F.col("first"), F.col("__prev")).alias("gap_hours"))
     return inner.unionByName(outer)
 

@@ -129,7 +129,7 @@ def rollup_report(daily: DataFrame, by: Sequence[str] = (), **provenance: str) -
         cond = F.lit(True)
         for k in by:
             cond = cond & base[k].eqNullSafe(medians[k])
-        out = base.join(F.broadcast(medians), cond, "left").select(
+        out = base.join(medians, cond, "left").select(
             *[base[c] for c in base.columns], *[medians[f"median_{c}"] for c in cols]
         )
     else:

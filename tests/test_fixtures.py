@@ -305,3 +305,26 @@ def test_collinear_columns_do_not_break_the_mixture(spark):
     points = frame(spark, rows, "id long, features array<double>")
     fit = mixture_fits(points, kmeans_fits(points, [2], 2, 1))[2]
     assert all(b >= a - 1e-6 for a, b in zip(fit.history, fit.history[1:])) and len(fit.history) > 1
+
+
+def test_gaps_of_one_crowded_hour_are_dealt_to_many_partitions(spark):
+    """All times of a source in one hour: neighbours across partitions are stitched."""
+    import datetime as dt
+
+    from paceline.operators.profile import time_gaps
+
+    start = dt.datetime(2024, 5, 1)
+    rows = [("a", start + dt.timedelta(milliseconds=7 * i * i % 3_599_000)) for i in range(1500)] + [("b", start + dt.timedelta(hours=5 * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "source string, ts timestamp_ntz")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r["source"], round(r["gap_hours"] * 3_600_000)) for r in time_gaps(df, ["source"]).collect())
+        parts = df.distinct().repartitionByRange("source", "ts").selectExpr("spark_partition_id() AS p").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = []
+    for s in "ab":
+        times = sorted({t for x, t in rows if x == s})
+        want += [(s, round((b - a).total_seconds() * 1000)) for a, b in zip(times, times[1:])]
+    assert got == sorted(want) and parts > 2

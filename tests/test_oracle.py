@@ -7,7 +7,7 @@ from paceline import catalog
 from compare import connect, difference
 
 #: minutes each; ``tests/compare.py`` runs them
-SLOW = {"evaluate_grid", "global_summary"}
+SLOW = {"evaluate_grid", "global_summary", "slice_grid", "density_grid"}
 SQL = {n: q for n, q in entry.oracle_sql().items() if n in catalog.QUERIES}
 
 
