@@ -8,11 +8,11 @@ Neighbours: rows are range-sorted by (region, deeper minima), and each set meets
 shares the longest prefixes (in a crowded region the BEST nearest). So depth adapts: in a small region all pairs meet at the base, in a crowded one only sets that agree far down. A crowded region may span
 many range partitions: the ends of each partition are passed on and sorted again, so that no neighbour is lost at a seam.
 
-A region with more than NEAR + 1 sets has pairs that never were neighbours. They are found exactly. Neighbours are checked first, the best ones of each
-set, and joined into groups; sets of regions that hold several groups then go through a prefix join: a set's shingles are ordered by how many of these sets have them, rare
-ones first, and a pair that is similar enough must share a shingle among the first of both (the smaller set's first n - ceil(1.6 n / 1.8) + 1, the
-larger one's first n - ceil(0.8 n) + 1). Only pairs of different groups meet: the shingle's largest group is not joined with itself. Shingles that all of a crowd has
-come last and drop out, so a shared template does not make pairs.
+A region with more than NEAR + 1 sets has pairs that never were neighbours. They are found exactly. The best neighbours of each set are checked
+first and joined into groups; where a region still holds several groups, all its sets outside its largest group meet the whole region, chunk by
+chunk: a task gets the full sets of two chunks, counts the common shingles of all their pairs by products of incidence matrices, and returns
+links between groups only, no pairs. Regions of the same sets are done once. That costs sets outside the largest group times sets, which is what an exact
+answer in a crowd of texts a little below the similarity asks for; it is spread over tasks of bounded size.
 
 Every link is confirmed on the full sets. Pairs and links stay tables; components follow from ``simhash.components``.
 
@@ -29,9 +29,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.simhash import components
@@ -41,6 +42,8 @@ SHINGLE, PERCENT = 4, 80
 TREES, BASE, DEEPER = 24, 4, 6
 #: Sets before it that a set meets in a tree, and the best of all trees that are checked at once.
 NEAR, BEST = 6, 2
+#: Sets of a chunk of a crowded region, and shingles counted at once.
+CHUNK, COLUMNS = 512, 4_096
 SEED = 42
 STRIP = 1_024
 TEXT_KEY = ("t1", "t2")
@@ -67,11 +70,6 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def overlap(n: Column, m: Column, percent: int) -> Column:
-    """The least intersection of similar sets of ``n`` and ``m``: 100 * i >= percent * (n + m - i)."""
-    return F.ceil(percent * (n + m) / (100 + percent))
-
-
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, t1, t2, set_id, n, regions, deeper)``: hashes of the text, hash and size of the set, its region in each tree, and all
     minima in 32 bits, the first ones again at the end."""
@@ -198,38 +196,84 @@ def grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(roots, sets.set_id == roots.node, "left").select(*sets.columns, F.coalesce("root", "set_id").alias("group"))
 
 
-def divided(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(set_id, n, group)`` of all sets in crowded regions that hold more than one group."""
-    crowded = members.where(F.col("crowd") > NEAR + 1).select("region", "set_id").join(groups, "set_id")
-    several = crowded.groupBy("region").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("region")
-    return cut(crowded.join(several, "region", "left_semi").select("set_id", "n", "group").distinct())
-
-
-def rare_first(sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """``(s, set_id, n, group, probe)``: the first shingles of each set, those that the fewest of these sets have first."""
-    tokens = cut(sets.join(full, "set_id").select("set_id", "n", "group", F.explode("hashes").alias("s")))
-    counted = tokens.groupBy("s").agg(F.count("*").alias("holders"))
-    place = F.row_number().over(Window.partitionBy("set_id").orderBy("holders", "s"))
-    n = F.col("n")
-    first = tokens.join(counted, "s").withColumn("place", place).where(F.col("place") <= n - F.ceil(percent * n / 100) + 1)
-    return first.where("holders > 1").select("s", "set_id", "n", "group", (F.col("place") <= n - overlap(n, n, percent) + 1).alias("probe"))
-
-
-def across_groups(first: DataFrame, percent: int) -> DataFrame:
-    """``(a, na, b, nb)`` pairs of different groups that share a first shingle and whose sizes allow the similarity."""
-    first = cut(first)
-    held = first.groupBy("s", "group").agg(F.count("*").alias("n"), F.max("probe").alias("probe"))
-    keys = held.groupBy("s").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.count("*").alias("groups"), F.max("probe").alias("probe"))
-    rows = cut(first.join(keys.where("groups > 1 AND probe").select("s", "largest"), "s"))
-    small = rows.where("probe").select("s", *[F.col(c).alias(f"x_{c}") for c in ("set_id", "n", "group", "largest")])
-    large = rows.select("s", *[F.col(c).alias(f"y_{c}") for c in ("set_id", "n", "group", "largest")])
-    inside = F.col("x_group") == F.col("x_largest")
-    # the largest group of a shingle meets the others only
-    met = [small.where(~inside).join(large, "s"), small.where(inside).join(large.where("y_group <> y_largest"), "s")]
-    fits = (F.col("x_group") != F.col("y_group")) & (F.col("x_n") <= F.col("y_n")) & (100 * F.col("x_n") >= percent * F.col("y_n"))
-    x, y = (F.struct(F.col(f"{k}_set_id").alias("s"), F.col(f"{k}_n").alias("n")) for k in "xy")
-    ordered = met[0].unionByName(met[1]).where(fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    return ordered.select(F.col("a.s").alias("a"), F.col("a.n").alias("na"), F.col("b.s").alias("b"), F.col("b.n").alias("nb")).distinct()
+def tiles(members: DataFrame, groups: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(region, o, c, set_id, n, group)`` of all crowded regions that hold several groups: chunks ``o`` of the sets outside the region's
+    largest group, dealt to all chunks ``c`` of the region, and the other way round."""
+    crowded = cut(members.where(F.col("crowd") > NEAR + 1).select("region", "set_id", "n").join(groups.select("set_id", "group"), "set_id"))
+    sizes = crowded.groupBy("region", "group").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
+    whole = sizes.groupBy("region").agg(
+        F.max_by("group", F.struct("m", "group")).alias("largest"), F.max("m").alias("m"), F.sum("m").alias("r"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
+    )
+    plan = whole.where("r > m").dropDuplicates(["r", "x", "y"]).select("region", "largest", F.ceil((F.col("r") - F.col("m")) / chunk).alias("os"), F.ceil(F.col("r") / chunk).alias("cs"))
+    rows = cut(crowded.join(plan, "region"))
+    own, other = F.pmod(F.xxhash64("set_id", F.lit(2)), F.col("os")), F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("cs"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outside = rows.where(F.col("group") != F.col("largest")).withColumn("o", own).withColumn("c", every("cs"))
+    inside = rows.withColumn("c", other).withColumn("o", every("os"))
+    names = ("region", "o", "c", "set_id", "n", "group")
+    return outside.select(*names), inside.select(*names)
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all sets of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    rows, cols = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
+    left, right = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(left, right)
+    if not len(shared):
+        return out
+    sides = []
+    for values, place in ((left, rows), (right, cols)):
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        hit = shared[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], place[hit][order]))
+    for start in range(0, len(shared), COLUMNS):
+        dense = []
+        for (at, place), height in zip(sides, out.shape):
+            lo, hi = np.searchsorted(at, [start, start + COLUMNS])
+            m = np.zeros((height, min(COLUMNS, len(shared) - start)), np.float32)
+            m[place[lo:hi], at[lo:hi] - start] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def spanning(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of pairs ``(x, y)`` that connect what all of them connect."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    out = []
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        i, j = find(i), find(j)
+        if i != j:
+            root[i] = j
+            out.append(k)
+    return out
+
+
+def across_groups(members: DataFrame, groups: DataFrame, full: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """``(a, b)`` links between sets of different groups that share a crowded region, enough of them to connect all that are similar."""
+    outside, inside = (t.join(full, "set_id") for t in tiles(members, groups, chunk))
+    inside = inside.select(*[F.col(c).alias(f"in_{c}") for c in inside.columns])
+    keys = ("region", "o", "c")
+
+    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        q = q.rename(columns=lambda c: c.removeprefix("in_"))
+        n = p["n"].to_numpy()[:, None] + q["n"].to_numpy()[None, :]
+        near = (100 + percent) * common(list(p["hashes"]), list(q["hashes"])).astype(np.int64) >= percent * n
+        i, j = np.nonzero(near & (p["group"].to_numpy()[:, None] != q["group"].to_numpy()[None, :]))
+        some = spanning(p["group"].to_numpy()[i], q["group"].to_numpy()[j])
+        return pd.DataFrame({"a": p["set_id"].to_numpy()[i[some]], "b": q["set_id"].to_numpy()[j[some]]})
+
+    return cut(outside.groupBy(*keys).cogroup(inside.groupBy(*[f"in_{k}" for k in keys])).applyInPandas(run, "a long, b long"))
 
 
 def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -240,13 +284,13 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("prefix"), "a")) <= BEST
     tried = cut(pairs.withColumn("best", best).where(F.col("best") | (F.col("crowd") <= NEAR + 1)))
     confirmed = Confirmed(docs, marked, shingle, percent)
-    found = confirmed.links(tried, confirmed.read(tried.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()))
+    full = confirmed.read(members.select("set_id").distinct())
+    found = confirmed.links(tried.where("best"), full)
     groups = cut(grouped(members.select("set_id", "n").distinct(), found))
-    rest = divided(members, groups)
-    if rest.limit(1).count():
-        full = confirmed.read(rest.select("set_id"))
-        found = found.unionByName(confirmed.links(cut(across_groups(rare_first(rest, full, percent), percent)), full))
-    return found
+    # what the best neighbours have joined already need not be looked at again
+    of = [groups.select(F.col("set_id").alias(k), F.col("group").alias(f"g{k}")) for k in "ab"]
+    apart = cut(tried.where("not best").join(of[0], "a").join(of[1], "b").where("ga <> gb"))
+    return found.unionByName(confirmed.links(apart, full)).unionByName(across_groups(members, groups, full, percent))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -97,18 +97,33 @@ def test_neighbours_across_seams(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_prefix_join_is_exact(spark):
-    """Without any tree: the join of rare shingles alone finds all pairs of different groups."""
+@pytest.mark.parametrize("chunk", [7, 512])
+def test_chunks_of_a_region_are_exact(spark, chunk, monkeypatch):
+    """Without any neighbours: what the chunks link connects all pairs of different groups."""
+    monkeypatch.setattr(forest, "COLUMNS", 16)
     rng = random.Random(2)
     sets = {i: set(rng.sample(range(60), rng.randint(1, 25))) for i in range(80)}
     for i in range(80, 140):
         sets[i] = sets[i - 80] ^ {rng.randrange(60)}
     sets = {i: s for i, s in sets.items() if s}
-    rows = spark.createDataFrame([(i, len(s), i % 3) for i, s in sets.items()], "set_id long, n long, group long")
+    members = spark.createDataFrame([(r, len(sets), i, len(s)) for i, s in sets.items() for r in (1, 2)], "region long, crowd long, set_id long, n long")
+    groups = spark.createDataFrame([(i, len(s), 1 if i < 30 else i) for i, s in sets.items()], "set_id long, n long, group long")
     full = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "set_id long, hashes array<long>")
-    got = {(r["a"], r["b"]) for r in forest.across_groups(forest.rare_first(rows, full, 80), 80).collect()}
-    near = {(i, j) for i, j in combinations(sorted(sets), 2) if i % 3 != j % 3 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    assert near and near <= got
+    assert forest.tiles(members, groups)[0].select("region").distinct().count() == 1
+    found = [(r["a"], r["b"]) for r in forest.across_groups(members, groups, full, 80, chunk).collect()]
+    like = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    group = lambda i: 1 if i < 30 else i
+    assert all(like(i, j) and group(i) != group(j) for i, j in found)
+    near = [(i, j) for i, j in combinations(sorted(sets), 2) if group(i) != group(j) and like(i, j)]
+    roots = []
+    for links in (near, found):
+        root = {i: group(i) for i in sets}
+        for _ in root:
+            for i, j in links:
+                low = min(root[i], root[j])
+                root = {k: low if r in (root[i], root[j]) else r for k, r in root.items()}
+        roots.append(root)
+    assert near and roots[0] == roots[1]
 
 
 def test_edges(spark):
