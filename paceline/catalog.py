@@ -517,11 +517,12 @@ def _ratio_matrix(spark, sf):
 
 
 def _components(spark, sf):
-    """``(feature set, PCA)`` of all three sets."""
+    """``(feature set, PCA)`` of all three sets, from one matrix and one pass over it."""
     f = slices.keyed(staged(spark, sf))
-    for name in FEATURE_SETS:
-        points, names = slices.feature_matrix(f, name)
-        yield name, matrix.pca(cut(points), names)
+    model = matrix.fit_scale(f, list(dict.fromkeys(c for s in FEATURE_SETS for c in matrix.feature_columns(f, s))))
+    points = cut(model.features(f, ["id", *FEATURE_KEYS]))
+    sets = {s: [c for c in matrix.feature_columns(f, s) if c in model.columns] for s in FEATURE_SETS}
+    return matrix.pca_sets(points, list(model.columns), sets).items()
 
 
 def _of_all_sets(spark, sf, part):

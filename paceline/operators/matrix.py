@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.columns import present
 from paceline.functions.quantiles import exact_quantiles
 from paceline.model import FEATURE_KEYS, FEATURE_SET_COLUMNS, FEATURE_SETS
+from paceline.operators.tsqr import centred_factor, principal
 
 
 def feature_columns(df: DataFrame, feature_set: str) -> list[str]:
@@ -109,22 +109,25 @@ class PcaResult:
 
 
 def pca(df: DataFrame, names: Sequence[str], k: int = 2, features: str = "features") -> PcaResult:
-    """Principal components of a centred ``features`` column.
+    """Principal components of a ``features`` column, from its QR factor; signs are fixed: the largest loading is positive."""
+    return pca_sets(df, names, {"": names}, k, features)[""]
 
-    The covariance is one tree aggregation; the projection is a dot product with the
-    (variables x k) loadings. Signs are fixed: the largest loading is positive.
+
+def pca_sets(df: DataFrame, names: Sequence[str], sets: Mapping[str, Sequence[str]], k: int = 2, features: str = "features") -> dict[str, PcaResult]:
+    """Principal components of several subsets of the columns ``names`` from one pass: a subset's factor is that of its columns of the whole triangle.
+
+    The projection is a dot product with the (variables x k) loadings.
     """
-    spark = df.sparkSession
-    vectors = df.select(array_to_vector(features).alias("v"))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    pc = np.array(model.pc.toArray())
-    for j in range(pc.shape[1]):
-        if pc[np.argmax(np.abs(pc[:, j])), j] < 0:
-            pc[:, j] *= -1
+    factor = centred_factor(df, features)
+    return {name: _components(df, columns, [list(names).index(c) for c in columns], factor, k, features) for name, columns in sets.items()}
+
+
+def _components(df: DataFrame, names: Sequence[str], at: Sequence[int], factor: np.ndarray, k: int, features: str) -> PcaResult:
+    pc, explained = principal(factor[:, list(at)], k)
     keep = [c for c in df.columns if c != features]
     # plain products stay inside whole-stage codegen
     coords = [
-        " + ".join(f"`{features}`[{i}] * {float(w)!r}D" for i, w in enumerate(pc[:, j])) + f" AS pc{j + 1}"
+        " + ".join(f"`{features}`[{i}] * {float(w)!r}D" for i, w in zip(at, pc[:, j])) + f" AS pc{j + 1}"
         for j in range(pc.shape[1])
     ]
     projection = df.selectExpr(*[f"`{c}`" for c in keep], *coords)
@@ -135,8 +138,7 @@ def pca(df: DataFrame, names: Sequence[str], k: int = 2, features: str = "featur
     schema = ", ".join(
         ["variable string"] + [f"pc{j + 1} double" for j in range(k)] + [f"abs_pc{j + 1} double" for j in range(k)]
     )
-    explained = tuple(float(v) for v in model.explainedVariance.toArray())
-    return PcaResult(projection, spark.createDataFrame(rows, schema), explained, pc)
+    return PcaResult(projection, df.sparkSession.createDataFrame(rows, schema), explained, pc)
 
 
 def with_features(projection: DataFrame, features: DataFrame) -> DataFrame:
