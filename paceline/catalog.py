@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +16,7 @@ from paceline.operators import (
 )
 from paceline.operators.centres import add_up, assign, kmeans_fits, mixture_fits
 from paceline.plans import slices
-from paceline.session import cut, shared_folder
+from paceline.session import cut, own_place
 from paceline.sources import sinks, tables
 from paceline.sources import warehouse as wh
 from paceline.streaming import activity as stream
@@ -42,10 +41,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns(doubles) if doubles else df
 
 
-def _place(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean(wh.hourly(spark, sf), deduplicate=False)
 
@@ -346,7 +341,7 @@ def _delivered(spark, sf, batches: int = 5, late: int = 3 * 86_400):
 
     Returns a stream of these files, some at a time, and the delay that no row exceeds.
     """
-    rows, path = cut(hourly(spark, sf)), _place(spark, "arrivals")
+    rows, path = cut(hourly(spark, sf)), own_place(spark, "arrivals")
     at = F.unix_seconds(stream.event_time())
     first, last = rows.agg(F.min(at), F.max(at)).first()
     width = (last + late - first) // batches + 1
@@ -359,7 +354,7 @@ def _delivered(spark, sf, batches: int = 5, late: int = 3 * 86_400):
 
 
 def _streamed(spark, result):
-    out = _place(spark, "closed")
+    out = own_place(spark, "closed")
     running = stream.write_stream(result, f"{out}/rows", f"{out}/progress")
     running.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{out}/rows")
@@ -855,7 +850,7 @@ def base_clusters(spark, sf):
 
 def _as_files(spark, sf) -> list[SourceSpec]:
     """Every source of the hourly table as a text file."""
-    base, whole = _place(spark, "sources"), cut(wh.hourly(spark, sf))
+    base, whole = own_place(spark, "sources"), cut(wh.hourly(spark, sf))
     specs = []
     for r in whole.select("dataset", "system").distinct().orderBy("dataset").collect():
         part = whole.where(F.col("dataset") == r["dataset"]).select(
@@ -882,7 +877,7 @@ def source_audit(spark, sf):
 @query
 def activity_round_trip(spark, sf):
     """Every source written as text with broken cells and read back; a source that does not exist is skipped."""
-    base, whole = _place(spark, "activity"), cut(wh.hourly(spark, sf))
+    base, whole = own_place(spark, "activity"), cut(wh.hourly(spark, sf))
     specs = []
     for r in whole.select("dataset", "system").distinct().orderBy("dataset").collect():
         part = whole.where(F.col("dataset") == r["dataset"]).select(
@@ -897,7 +892,7 @@ def activity_round_trip(spark, sf):
 
 @query
 def event_log_round_trip(spark, sf):
-    path = _place(spark, "log") + ".csv"
+    path = own_place(spark, "log") + ".csv"
     log = wh.event_log(spark, sf)
     dated = F.when(F.col("event_type") == "BIRTH", F.lit("no date")).otherwise(F.date_format("event_date", "yyyy-MM-dd"))
     sinks.write_table(log.select(F.col("entity_id").alias("official_tag"), dated.alias("date"), F.concat(F.lit(" "), F.lower("event_type")).alias("event")), path, "csv")
@@ -907,7 +902,7 @@ def event_log_round_trip(spark, sf):
 @query
 def feature_tables_round_trip(spark, sf):
     """Both branches written in order of their keys, as Parquet and as text, and read back as the master table's input."""
-    base = _place(spark, "features")
+    base = own_place(spark, "features")
     a, b = _branches(spark, sf)
     sinks.write_table(a, f"{base}/a.parquet", order_by=FEATURE_KEYS)
     sinks.write_table(b, f"{base}/b.csv", "csv", order_by=FEATURE_KEYS)
@@ -918,7 +913,7 @@ def feature_tables_round_trip(spark, sf):
 @query
 def summary_round_trip(spark, sf):
     """A nested one-row summary written as JSON and read back."""
-    path = _place(spark, "summary")
+    path = own_place(spark, "summary")
     sinks.write_summary(master.master_report(cut(weekly(spark, sf))), path)
     return spark.read.json(path).select("rows", F.col("columns").cast("int").alias("columns"), F.array_join("datasets", ",").alias("datasets"), "entities", "missing")
 
@@ -926,7 +921,7 @@ def summary_round_trip(spark, sf):
 @query
 def slice_round_trip(spark, sf):
     """Slices written one after the other, one of them a second time; all are read back, each once."""
-    path, f = _place(spark, "slices"), staged(spark, sf)
+    path, f = own_place(spark, "slices"), staged(spark, sf)
     empty = slices.consolidate(spark, path)
     for kind in ("ratios", "absolute", "ratios"):
         rows = profile.branch_summary(f).select("n_rows", F.lit(kind == "absolute" or slices.consolidate(spark, path) is not None).alias("later"))

@@ -61,6 +61,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def own_place(spark: SparkSession, name: str) -> str:
+    """A new path ``name`` in a folder of its own below the shared one, which goes away with the session."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, hadoop_path = _file_system(spark, folder)
+    fs.mkdirs(hadoop_path)
+    fs.deleteOnExit(hadoop_path)
+    return f"{folder}/{name}"
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that ``cut`` made and nobody reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
