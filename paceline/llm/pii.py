@@ -1,8 +1,8 @@
 r"""Offset-preserving detection of personal data, in plain and in disguised spelling.
 
 Plain identifiers are found in the text as it stands. For the disguised ones, a transducer rewrites the text
-and keeps, for every character it writes, the source characters it stands for: look-alike letters and full-width
-characters become ASCII, zero-width characters go, ``(at)``/``[dot]`` and the bare words between the parts of an address become
+and keeps, for every character it writes, the source characters it stands for: look-alike letters, compatible forms (mathematical, circled, full-width)
+and digits of other scripts become ASCII, zero-width characters go, ``(at)``/``[dot]`` and the bare words between the parts of an address become
 ``@`` and ``.``, runs of spelled digits become digits. Identifiers found in the rewritten text that rest on at
 least one rewritten or deleted character are mapped back to source positions and added; plain ones always stay.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -29,12 +30,29 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Letters that look like Latin ones.
+# Letters and marks that look like ASCII ones without being forms of them.
 LOOKALIKES = dict(zip(
-    "АВЕКМНОРСТУХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαεικρυν",
-    "ABEKMHOPCTYXaeopcyxijsdqwABEZHIKMNOPTYXoaeikpuv",
+    "АВЕЅІЈКМНОРСТУХԚԜаеорсухіјѕһԁԍԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαεικρυνɡɑıɩⲟօոս·․•‧∙⋅。｡‐‑‒–−",
+    "ABESIJKMHOPCTYXQWaeopcyxijshdgqwlABEZHIKMNOPTYXoaeikpuvgaiioonu........-----",
     strict=True,
 ))
+
+
+def forms() -> dict[str, str]:
+    """Characters that Unicode calls compatible forms of one ASCII letter, digit or mark of an identifier (mathematical, circled, raised, full-width),
+    and the decimal digits of all scripts."""
+    out = {}
+    for code in range(0x80, 0x20000):
+        c = chr(code)
+        if unicodedata.category(c) == "Nd":
+            out[c] = str(unicodedata.digit(c))
+        elif unicodedata.decomposition(c).startswith("<"):
+            plain = unicodedata.normalize("NFKC", c)
+            if len(plain) == 1 and (plain in LOCAL or plain in "@()"):
+                out[c] = plain
+    return out
+
+
 # Digit words of the four languages.
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -43,8 +61,10 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 ZERO_WIDTH = "​‌‍⁠﻿­"
-ONE_TO_ONE = str.maketrans(LOOKALIKES | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)})
-OTHERS = re.compile("[" + "".join(LOOKALIKES) + ZERO_WIDTH + "！-～]")
+#: What every such character is rewritten to; zero-width ones to nothing.
+ONE_TO_ONE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | forms() | LOOKALIKES | dict.fromkeys(ZERO_WIDTH, "")
+OTHER = frozenset(ONE_TO_ONE)
+NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _AT, _DOT = r"(?:at|arobase|arroba|ät)", r"(?:dot|punkt|point|punto)"
 # Endings that a fully spelled-out address must have, as any words may stand around "at" and "dot".
 _TOP = "com|org|net|edu|gov|info|biz|io|ai|app|dev|eu|uk|us|ca|au|nz|ie|in|de|at|ch|fr|be|nl|es|mx|ar|it|pt|br|pl|se|no|fi|dk|cz|ru|jp|cn|test|example|invalid"
@@ -56,8 +76,8 @@ SPELLED_ADDRESS = re.compile(rf"(?<![\w.%+-])[a-z0-9][a-z0-9._%+-]{{0,63}}(?P<at
 BRACKETS = re.compile(rf"(?P<at>{BRACKETED_AT})|(?P<dot>{BRACKETED_DOT})", re.IGNORECASE)
 #: An address whose at is plain or bracketed, with spelled dots behind it.
 DOTS_BEHIND = re.compile(rf"@[a-z0-9-]{{1,63}}(?:(?: {_DOT} |\.)[a-z0-9-]{{1,63}})*? {_DOT} (?:{_TOP})(?!\w)", re.IGNORECASE)
-#: At least four digit words in a row, with a spelled or written plus in front and dots or digits between.
-SPELLED_DIGITS = re.compile(rf"(?<!\w)(?:plus[ -])?(?:(?:{_SPELLED})(?!\w)[ ,-]{{0,2}}|(?:{_DOT}|\.)[ ]|[0-9]+(?!\w)[ -]?){{3,400}}(?:{_SPELLED}|[0-9]+)(?!\w)", re.IGNORECASE)
+#: At least four parts in a row, digit words with dots or digits between, a spelled plus in front. A run is taken whole, so none is scanned twice.
+SPELLED_DIGITS = re.compile(rf"(?<!\w)(?:plus[ -])?(?:(?:{_SPELLED})(?!\w)[ ,-]{{0,2}}|(?:{_DOT}|\.)[ ]|[0-9]+(?!\w)[ -]?){{4,}}+", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"(?P<plus>plus[ -])|(?P<word>{_SPELLED})(?!\w)|(?P<dot>{_DOT}(?!\w)|\.)|(?P<digits>[0-9]+)", re.IGNORECASE)
 SPACED_WORD = re.compile(rf"(?: {_DOT} )", re.IGNORECASE)
 
@@ -169,17 +189,20 @@ class Rewritten:
 
 
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    """One edit for a run of spelled digits: digits and dots, a plus in front."""
-    if sum(1 for p in SPELLED_PART.finditer(m[0]) if p["word"]) < 4:
+    """One edit for a run of spelled digits, up to its last digit: digits and dots, a plus in front."""
+    parts = list(SPELLED_PART.finditer(m[0]))
+    while parts and parts[-1]["dot"]:
+        parts.pop()
+    if sum(1 for p in parts if p["word"]) < 4:
         return []
-    parts = ["+" if p["plus"] else "." if p["dot"] else p["digits"] or DIGIT_WORDS[p["word"].lower()] for p in SPELLED_PART.finditer(m[0])]
-    return [(m.start(), m.end(), "".join(parts))]
+    new = ["+" if p["plus"] else "." if p["dot"] else p["digits"] or DIGIT_WORDS[p["word"].lower()] for p in parts]
+    return [(m.start(), m.start() + parts[-1].end(), "".join(new))]
 
 
 def rewrite(text: str) -> Rewritten:
     r = Rewritten(text)
-    if not text.isascii():
-        r.replace([(m.start(), m.end(), "" if m[0] in ZERO_WIDTH else m[0].translate(ONE_TO_ONE)) for m in OTHERS.finditer(r.text)])
+    if not OTHER.isdisjoint(text):
+        r.replace([(m.start(), m.end(), ONE_TO_ONE[m[0]]) for m in NOT_ASCII.finditer(text) if m[0] in OTHER])
     if any(c in r.text for c in "[({<"):
         r.replace([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETS.finditer(r.text)])
     low = r.text.lower()
