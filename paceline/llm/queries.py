@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from paceline.llm import chat, codes, fim, forest, html, mixing, packing, pii, quality, simhash, topk, warc
 from paceline.llm import lines as line_dedup
 from paceline.llm.text import read
-from paceline.session import cut, shared_folder
+from paceline.session import cut, own_place
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = own_place(spark, "warc")
     warc.write(read(spark, sf_dir, "pages"), path)
     # responses answer from their payloads, revisits from their headers alone
     responses = warc.read(spark, path).where(F.col("record_type") == "response")

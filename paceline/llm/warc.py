@@ -4,18 +4,21 @@ Writing: one record per page. A record is one text row; the writer's line separa
 record, so any store that Spark writes to will do. Pages with equal payloads become one response (largest page id)
 and revisits of it, which carry digest and length but no payload.
 
-Reading: files are planned into partitions by size. Predicates on record type and page id are pushed down:
+Reading: files are planned into partitions by size; a file holds FILE_BYTES or so. Predicates on record type and page id are pushed down:
 each record's headers are parsed first, and the block of an unwanted record is skipped by its
-Content-Length without being read or decoded. ``payload=false`` skips all blocks. The driver lists files through Spark's own file system
+Content-Length without being read or decoded. ``payload=false`` skips all blocks. Other writers' archives are read too: all record types, gzipped ones (a member a record or
+a whole file; these are read through, as they cannot be skipped), header names in any case, folded lines, missing fields. The driver lists files through Spark's own file system
 classes; tasks open them through pyarrow, which knows local, HDFS and object-store addresses.
 
 Defined results: null html is an empty payload; null url and null id leave their header out and read back as null. A
-null id is smaller than any other; rows with equal payload and equal largest id are all responses. Control characters and
+null id is smaller than any other. Fields that a record lacks are null; a missing payload length is that of the block behind its HTTP headers. The payload of requests and responses begins
+behind the HTTP headers, that of other types is the block, revisits have none; transfer and content encodings stay as stored. Rows with equal payload and equal largest id are all responses. Control characters and
 percent signs of an url are percent-encoded in the header and decoded when read. An empty table gives an empty archive. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
 import urllib.parse
 from collections.abc import Iterator, Sequence
@@ -33,7 +36,9 @@ EOL = "\r\n"
 CLOSE = EOL + EOL
 SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 PARTITION_BYTES = 64 << 20
-RECORDS_PER_FILE = 20_000
+#: Size of the archives that are written, and records of one at most.
+FILE_BYTES, RECORDS_PER_FILE = 128 << 20, 20_000
+HTTP = ("request", "response")
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -80,7 +85,11 @@ def record(p: str = "") -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write(pages: DataFrame, path: str, records_per_file: int | None = None) -> None:
+    """Writes the archives; with large pages fewer records go to a file, so that it stays near FILE_BYTES."""
+    if records_per_file is None:
+        mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+        records_per_file = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (mean + 512))))
     rows = classified(pages).select(record().alias("value"))
     rows.write.option("lineSep", CLOSE).option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -122,10 +131,11 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        """Small files together, up to ``partitionbytes`` a partition."""
+        """Small files together, up to ``partitionbytes`` a partition. The list of files stays here: a task is sent its own only."""
         out: list[Files] = []
         room = 0
-        for path, size in self.files:
+        files, self.files = self.files, []
+        for path, size in files:
             if not out or room < int(size):
                 out.append(Files([]))
                 room = self.bytes
@@ -137,40 +147,136 @@ class WarcReader(DataSourceReader):
         for uri in partition.paths:
             fs, path = pyarrow.fs.FileSystem.from_uri(uri)
             with fs.open_input_file(path) as raw:
-                yield from self._records(raw)
-
-    def _records(self, raw: pyarrow.NativeFile) -> Iterator[tuple]:
-        buffer, base, size = b"", 0, raw.size()
-        at = 0
-        while at < size:
-            # headers first: read on only until their end
-            while (end := buffer.find(b"\r\n\r\n", at - base)) < 0:
-                more = raw.read_at(1 << 16, base + len(buffer)) if base + len(buffer) < size else b""
-                if not more:
-                    raise ValueError(f"no end of headers after byte {at}")
-                buffer += more
-            fields = dict(x.split(": ", 1) for x in buffer[at - base : end].decode().split("\r\n")[1:])
-            at = base + end + 4
-            length = int(fields["Content-Length"])
-            row = self._row(fields)
+                packed = raw.read_at(2, 0) == b"\x1f\x8b"
+                yield from self._records(Unpacked(raw) if packed else Plain(raw))
+
+    def _records(self, source: Plain | Unpacked) -> Iterator[tuple]:
+        while (head := source.head()) is not None:
+            fields = headers(head)
+            length = int(fields.get("content-length") or 0)
+            row = _row(fields)
+            if not _accepts(self.filters, row) and (row["payload_bytes"] is not None or not any(f.attribute[0] == "payload_bytes" for f in self.filters)):
+                source.skip(length + 4)
+                continue
+            payload = None
+            if row["payload_bytes"] is None and row["record_type"] != "revisit":
+                # its HTTP headers are looked at, the rest only if it is wanted
+                first = source.peek(length)
+                inside = first.find(b"\r\n\r\n") + 4 if row["record_type"] in HTTP else 0
+                row["payload_bytes"] = max(0, length - inside) if inside != 3 else 0
             if _accepts(self.filters, row):
-                block = b""
-                if self.payload and length:
-                    inside = buffer[at - base : at - base + length]
-                    block = inside + (raw.read_at(length - len(inside), at + len(inside)) if len(inside) < length else b"")
-                payload = block.partition(b"\r\n\r\n")[2] if row["record_type"] == "response" and self.payload else None
+                if self.payload and length and row["record_type"] != "revisit":
+                    block = source.take(length)
+                    payload = block.partition(b"\r\n\r\n")[2] if row["record_type"] in HTTP else block
+                    source.skip(4)
+                else:
+                    payload = b"" if self.payload and row["record_type"] != "revisit" else None
+                    source.skip(length + 4)
                 yield (*row.values(), payload)
-            at += length + 4
-            buffer, base = (buffer[at - base :], at) if at - base < len(buffer) else (b"", at)
-
-    @staticmethod
-    def _row(fields: dict) -> dict:
-        number = lambda k: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", fields.get(k, ""))) else None
-        url = fields.get("WARC-Target-URI")
-        return {
-            "page_id": number("WARC-Record-ID"), "url": None if url is None else urllib.parse.unquote(url), "record_type": fields["WARC-Type"],
-            "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(fields["WARC-Payload-Length"]), "refers_to": number("WARC-Refers-To"),
-        }
+            else:
+                source.skip(length + 4)
+
+
+class Plain:
+    """A file that is read from place to place: what is skipped is not read."""
+
+    CHUNK = 1 << 16
+
+    def __init__(self, raw: pyarrow.NativeFile) -> None:
+        self.raw, self.size = raw, raw.size()
+        self.buffer, self.base, self.at = b"", 0, 0
+
+    def _more(self) -> bool:
+        place = self.base + len(self.buffer)
+        new = self.raw.read_at(min(self.CHUNK, self.size - place), place) if place < self.size else b""
+        self.buffer += new
+        return bool(new)
+
+    def head(self) -> bytes | None:
+        """The next record's headers; None at the end."""
+        if self.at - self.base < len(self.buffer):
+            self.buffer, self.base = self.buffer[self.at - self.base :], self.at
+        else:
+            self.buffer, self.base = b"", self.at
+        while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+            if not self._more():
+                if self.buffer.strip():
+                    raise ValueError(f"no end of headers after byte {self.at}")
+                return None
+        self.at += end + 4
+        return self.buffer[:end].lstrip(b"\r\n")
+
+    def peek(self, length: int) -> bytes:
+        """The block's bytes up to the end of its HTTP headers or so."""
+        start = self.at - self.base
+        while b"\r\n\r\n" not in self.buffer[start : start + length] and len(self.buffer) - start < length and self._more():
+            pass
+        return self.buffer[start : start + length]
+
+    def take(self, length: int) -> bytes:
+        start = self.at - self.base
+        inside = self.buffer[start : start + length]
+        self.at += length
+        missing = length - len(inside)
+        return inside + (self.raw.read_at(missing, self.at - missing) if missing else b"")
+
+    def skip(self, length: int) -> None:
+        self.at += length
+
+
+class Unpacked(Plain):
+    """A gzipped file, one member after the other, held no further than the block that is looked at."""
+
+    def __init__(self, raw: pyarrow.NativeFile) -> None:
+        raw.seek(0)
+        self.stream = gzip.GzipFile(fileobj=raw)
+        self.buffer, self.base, self.at = b"", 0, 0
+
+    def _more(self) -> bool:
+        new = self.stream.read(self.CHUNK)
+        self.buffer += new
+        return bool(new)
+
+    def take(self, length: int) -> bytes:
+        parts, start = [self.buffer], self.at - self.base
+        have = len(self.buffer)
+        while have - start < length and (new := self.stream.read(max(self.CHUNK, length - (have - start)))):
+            parts.append(new)
+            have += len(new)
+        self.buffer = b"".join(parts)
+        self.at += length
+        return self.buffer[start : start + length]
+
+    def skip(self, length: int) -> None:
+        self.at += length
+        while self.at - self.base > len(self.buffer):
+            self.base, self.buffer = self.base + len(self.buffer), b""
+            if not self._more():
+                self.at = self.base
+                return
+
+
+def headers(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; folded lines belong to the field before them."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields
+
+
+def _row(fields: dict[str, str]) -> dict:
+    number = lambda k: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", fields.get(k, ""))) else None
+    url, digest, length = fields.get("warc-target-uri"), fields.get("warc-payload-digest"), fields.get("warc-payload-length")
+    return {
+        "page_id": number("warc-record-id"), "url": None if url is None else urllib.parse.unquote(url.strip("<>")), "record_type": fields.get("warc-type"),
+        "payload_digest": digest and digest.removeprefix("sha1:"), "payload_bytes": int(length) if length else None, "refers_to": number("warc-refers-to"),
+    }
 
 
 class WarcSource(DataSource):
@@ -192,6 +298,6 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
-    files = sorted((f.getPath().toUri().toString(), f.getLen()) for f in found if f.getPath().getName().startswith("part-"))
+    files = sorted((f.getPath().toUri().toString(), f.getLen()) for f in found if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
     listing = "\n".join(f"{uri}\t{size}" for uri, size in files)
     return spark.read.format("warc").option("files", listing).option("payload", str(payload).lower()).load()

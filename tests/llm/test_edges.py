@@ -393,3 +393,65 @@ def test_tree_holds_on_unseen_layouts(spark):
     rows = [(i, h) for i, (h, _) in enumerate(pages)]
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()}
     assert [got[i].split("\n") for i in range(len(pages))] == [t for _, t in pages] and model.depth >= 2
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("write to 𝐣𝐨𝐡𝐧@example.com now", "email"), ("𝐣ohn@example.com", "email"), ("joɡh@example.com", "email"), ("joһn@example.com", "email"),
+    ("john@ⓔxample.com", "email"), ("john@example·com", "email"), ("call +٤٩ ١٥٢ ٣٤٥ ٦٧٨٩", "phone"), ("call +①② ③④⑤ ⑥⑦⑧ ⑨⓪①", "phone"), ("call +49‑152‑345‑6789", "phone"),
+    ("at 192·168·10·20 it is", "ip"), ("card ４１１１ １１１１ １１１１ １１１１ x", "card"),
+])
+def test_forms_and_confusables_are_seen_through(text, kind):
+    spans = pii.find_disguised(text, pii.find_plain(text))
+    k = pii.KINDS.index(kind)
+    (found,) = [s for s in spans if s[1] == k]
+    first = next(i for i, c in enumerate(text) if not c.isascii())
+    assert found[0] <= first < found[2]
+
+
+def test_long_runs_of_digit_words_are_cut_nowhere():
+    words = " ".join(["one"] * 500)
+    assert pii.rewrite(f"x {words} y").text == f"x {'1' * 500} y"
+
+
+def warc_record(kind, block, *fields, eol="\r\n"):
+    head = eol.join(["WARC/1.0", *([f"WARC-Type: {kind}"] if kind else []), *fields, f"Content-Length: {len(block)}"])
+    return f"{head}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    records = [
+        warc_record("warcinfo", b"software: other\r\n"), warc_record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "WARC-Target-URI: <http://a/>"),
+        warc_record("response", http + b"<p>one\r\n\r\ntwo</p>", "warc-target-uri:http://a/", "WARC-Payload-Digest: sha1:ABC", "WARC-Record-ID: <urn:uuid:1>"),
+        warc_record("metadata", b"k: v", "X-Folded: a", " b"), warc_record("response", http + b"x" * 200_000), warc_record("revisit", b"", "WARC-Refers-To: <urn:uuid:1>"),
+        warc_record("resource", b"plain"), warc_record(None, b""),
+    ]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(b"".join(records))
+    (tmp_path / "w/b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "w/c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "w/empty.warc").write_bytes(b"")
+    path = f"file://{tmp_path}/w"
+    rows = warc.read(spark, path).toPandas()
+    assert len(rows) == 24
+    for kind, n, payload in (("warcinfo", 17, b"software: other\r\n"), ("metadata", 4, b"k: v"), ("resource", 5, b"plain"), ("request", 0, b"")):
+        mine = rows[rows["record_type"] == kind]
+        assert list(mine["payload_bytes"]) == [n] * 3 and list(map(bytes, mine["payload"])) == [payload] * 3
+    responses = rows[rows["record_type"] == "response"]
+    assert sorted({(n, bytes(p)) for n, p in zip(responses["payload_bytes"], responses["payload"])}) == [(17, b"<p>one\r\n\r\ntwo</p>"), (200_000, b"x" * 200_000)]
+    assert set(rows["url"].dropna()) == {"http://a/"} and set(rows["payload_digest"].dropna()) == {"ABC"} and rows["record_type"].isna().sum() == 3
+    assert rows[rows["record_type"] == "revisit"]["payload"].isna().all()
+    bare = warc.read(spark, path, payload=False).where("record_type = 'response' AND payload_bytes > 100").collect()
+    assert [r["payload_bytes"] for r in bare] == [200_000] * 3 and all(r["payload"] is None for r in bare)
+
+
+def test_archives_stay_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    pages = spark.createDataFrame([(i, "u", f"{i}" + "y" * 20_000) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w")
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    assert len(files) >= 5 and max(f.stat().st_size for f in files) < 60_000 and warc.read(spark, f"file://{tmp_path}/w").count() == 12
+    reader = warc.WarcReader({"files": "file:///a\t9\nfile:///b\t9"})
+    assert reader.partitions() and not reader.files
