@@ -23,17 +23,22 @@ def master_table(tables: Sequence[DataFrame], keys: Sequence[str] = FEATURE_KEYS
     """Union that is unique on the keys; the earliest table in the list wins.
 
     The winner is an arg-min aggregate, so copies of one key collapse before the
-    shuffle however many there are. Within a table the tie goes to the lowest row hash.
+    shuffle however many there are. Within a table the tie goes to the lowest row hash, then to the least row.
     """
     for i, t in enumerate(tables):
         require(t, keys, f"feature table {i}")
-    ranked = union_features([t.withColumn("__rank", F.lit(i)) for i, t in enumerate(tables)])
+    return first_of_each(union_features([t.withColumn("__rank", F.lit(i)) for i, t in enumerate(tables)]), keys)
+
+
+def first_of_each(ranked: DataFrame, keys: Sequence[str], keep_rank: bool = False) -> DataFrame:
+    """One row per key of a table with ``__rank``: the one of the lowest rank, of these the one with the lowest hash, then the least row."""
     rest = [c for c in ranked.columns if c not in keys and c != "__rank"]
-    order = F.struct(F.col("__rank"), F.xxhash64(*rest) if rest else F.lit(0))
+    kept = [*rest, "__rank"] if keep_rank else rest
     if not rest:
-        return ranked.select(*keys).distinct()
-    best = ranked.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__b"))
-    columns = [c for c in ranked.columns if c != "__rank"]
+        return ranked.groupBy(*keys).agg(F.min("__rank").alias("__rank")) if keep_rank else ranked.select(*keys).distinct()
+    order = F.struct(F.col("__rank"), F.xxhash64(*rest), F.struct(*rest))
+    best = ranked.groupBy(*keys).agg(F.min_by(F.struct(*kept), order).alias("__b"))
+    columns = [c for c in ranked.columns if c != "__rank" or keep_rank]
     return best.select(*[F.col(c) if c in keys else F.col(f"__b.{c}") for c in columns])
 
 

@@ -306,6 +306,7 @@ SQL["master_inputs"] = sql(f"""
     min(dataset) AS dataset, min(system) AS system FROM branches GROUP BY rk""")
 _NUMERIC = ["n_records", "n_missing", *[f"{m}_{st}" for m in MEASURES for st in STATISTICS], *[f"ratio_{a}" for a in ACTIVITY], "anomaly_count", "anomaly_rate"]
 SQL["numeric_summary"] = sql(" UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n_values FROM weekly" for c in _NUMERIC))
+SQL["master_deliveries"] = SQL["master_table"]
 SQL["master_report"] = sql(f"""
   SELECT count(*) AS rows, {9 + len(feature_list())} AS columns, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS datasets,
     string_agg(DISTINCT system, ',' ORDER BY system) AS systems, count(DISTINCT entity_id) AS entities,

@@ -50,21 +50,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _file_system(spark: SparkSession, path: str) -> tuple:
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it knows it."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that is no longer needed."""
-    fs, hadoop_path = _file_system(spark, path)
+    fs, hadoop_path = file_system(spark, path)
     fs.delete(hadoop_path, True)
 
 
 def own_place(spark: SparkSession, name: str) -> str:
     """A new path ``name`` in a folder of its own below the shared one, which goes away with the session."""
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, hadoop_path = _file_system(spark, folder)
+    fs, hadoop_path = file_system(spark, folder)
     fs.mkdirs(hadoop_path)
     fs.deleteOnExit(hadoop_path)
     return f"{folder}/{name}"
@@ -86,7 +87,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/paceline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, hadoop_path = _file_system(spark, path)
+    fs, hadoop_path = file_system(spark, path)
     fs.deleteOnExit(hadoop_path)
     if (made := _scratch.get()) is not None:
         made.append(path)
