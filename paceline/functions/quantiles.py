@@ -24,6 +24,8 @@ SLACK = 3.0 / ACCURACY
 # below this many values the slack is worth less than a couple of ranks, and the
 # group is small enough to be ordered whole
 SMALL_GROUP = 10_000
+# with at most so many groups their brackets are broadcast; the values never are, however small their files
+BROADCAST_GROUPS = 10_000
 
 
 def exact_quantiles(
@@ -53,10 +55,11 @@ def exact_quantiles(
         # open (NULL) beyond the extremes and for small groups
         return f"if(n >= {SMALL_GROUP}, edge[{edges.index(e)}], NULL)" if e in edges else "cast(NULL AS DOUBLE)"
 
-    sketch = long.groupBy(*group).agg(
+    sketch = cut(long.groupBy(*group).agg(
         F.expr("count(x) AS n"), F.expr("avg(x) AS mean"), F.expr("max(x) AS max"),
         F.percentile_approx("x", [float(e) for e in edges], accuracy).alias("edge"),
-    )
+    ))
+    side = "broadcast" if sketch.count() <= BROADCAST_GROUPS else "merge"
     slivers = ", ".join(
         f"struct({i} AS i, {edge(p - slack)} AS lo, {edge(p + slack)} AS hi)" for i, p in enumerate(probs)
     )
@@ -64,7 +67,7 @@ def exact_quantiles(
         *[f"`{k}` AS `__{k}`" for k in group], "struct(n, mean, max) AS st", f"array({slivers}) AS sl"
     )
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in group]
-    placed = long.join(right, same, "inner").select(*group, "st", "x", F.explode("sl").alias("s"))
+    placed = long.join(right.hint(side), same, "inner").select(*group, "st", "x", F.explode("sl").alias("s"))
     # all rows below a sliver collapse into one NULL-valued counter per task
     counted = (
         placed.where("coalesce(x <= s.hi, true)")
@@ -72,7 +75,7 @@ def exact_quantiles(
         .groupBy(*group, "st", "i", "v")
         .agg(F.count("*").alias("c"))
     )
-    ranked = _running_count(counted, [*group, "i"])
+    ranked = _running_count(counted, [*group, "i"], side)
     ranked = ranked.withColumn("pos", F.expr(f"array({', '.join(f'{float(q)}D' for q in probs)})[i] * (st.n - 1)"))
     # the value whose cumulative count first exceeds a 0-based rank
     at_rank = "max(CASE WHEN v IS NOT NULL AND upto > {0} AND upto - c <= {0} THEN v END)"
@@ -87,10 +90,10 @@ def exact_quantiles(
     return one.selectExpr(*[f"`{k}`" for k in group], "st.n", "st.mean", "st.max", "q")
 
 
-def _running_count(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _running_count(counted: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     """``counted`` with ``upto``, the running sum of ``c`` in order of ``v`` within ``keys``.
 
-    Values are range-partitioned and written, partitions are summed, and their running totals are added back.
+    Values are range-partitioned and written, partitions are summed, and their running totals, a row per key and one per partition at most, are added back.
     """
     by = [F.col(f"`{k}`") for k in keys]
     order = F.col("v").asc_nulls_first()
@@ -100,7 +103,7 @@ def _running_count(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
     bases = totals.select(*[c.alias(f"__{k}") for c, k in zip(by, keys)], F.col("__p").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
     local = placed.withColumn("__local", F.sum("c").over(Window.partitionBy(*by, "__p").orderBy(order)))
     same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in keys] + [F.col("__p") == F.col("__q")]
-    return local.join(bases, same).select(*[F.col(f"`{c}`") for c in counted.columns], (F.col("__base") + F.col("__local")).alias("upto"))
+    return local.join(bases.hint(side), same).select(*[F.col(f"`{c}`") for c in counted.columns], (F.col("__base") + F.col("__local")).alias("upto"))
 
 
 def exact_medians(
