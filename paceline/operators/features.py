@@ -45,6 +45,17 @@ def _mergeable(cols: Sequence[str], acts: Sequence[str], labelled: bool) -> list
     return aggs
 
 
+def _percentiles(cols: Sequence[str], approximate: bool = False) -> list[Column]:
+    probs = ", ".join(f"{q}D" for q in QUANTILES)
+    percentile = f"percentile_approx(`{{0}}`, array({probs}), 10000)" if approximate else f"percentile(`{{0}}`, array({probs}))"
+    return [F.expr(percentile.format(c) + f" AS `__q_{c}`") for c in cols]
+
+
+def window_aggregates(cols: Sequence[str], acts: Sequence[str], labelled: bool) -> list[Column]:
+    """What ``finished`` needs of a window's records, given as ``windowed`` gives them."""
+    return _mergeable(cols, acts, labelled) + _percentiles(cols)
+
+
 def _hot_features(df: DataFrame, keys: Sequence[str], cols: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     base = df.groupBy(*keys).agg(*aggs)
     q = exact_quantiles(df, keys, cols, QUANTILES)
@@ -115,9 +126,7 @@ def extract_features(
     work = windowed(df, window, by)
     aggs = _mergeable(cols, acts, labelled)
 
-    probs = ", ".join(f"{q}D" for q in QUANTILES)
-    percentile = f"percentile_approx(`{{0}}`, array({probs}), 10000)" if approximate else f"percentile(`{{0}}`, array({probs}))"
-    quantiles = [F.expr(percentile.format(c) + f" AS `__q_{c}`") for c in cols]
+    quantiles = _percentiles(cols, approximate)
     hot = None
     if hot_group_rows is not None and not approximate and cols:
         work = cut(work)

@@ -2,12 +2,13 @@
 
 Both operators take a streaming activity table and return a streaming result in append mode: a day or window is given out
 once, when the watermark (the latest time seen, less ``delay``) has passed its end. Rows may come in any order as long as none is
-later than ``delay``; of later ones, days drop what belongs to a closed day, windows drop every row behind the watermark. Spark counts
+later than ``delay``; of later ones, days and weeks drop what belongs to a closed one, months drop every row behind the watermark. Spark counts
 the dropped rows in the progress (``dropped_rows``).
 
 The roll-up is an event-time window aggregation with the aggregates of ``rollup_daily``; its state is one buffer an entity-day.
+Features of days and weeks are one with the aggregates of ``extract_features``; the state of an entity-window is keyed by both and holds its values, as the quantiles are exact.
 
-Window features need exact quantiles, so all values of an entity-window are kept until it closes: per key a list state with the
+Months differ in length, which event-time windows cannot express. There all values of an entity-window are kept by a stateful processor until it closes: per key a list state with the
 rows seen and an event-time timer at the window's end. Expired keys give one row and their state is cleared, so the state is as large
 as the open windows. An entity-window must fit in a task, as in any exact quantile of a group; ``extract_features`` brackets larger ones.
 
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from paceline.functions.columns import activity_columns, as_col, measure_columns, utc_wall_time, window_floor
-from paceline.operators.features import QUANTILES, finished, record_flags
+from paceline.operators.features import QUANTILES, finished, record_flags, window_aggregates
 from paceline.operators.rollup import daily_aggregates
 
 #: Keyed state with timers needs a store that keeps several columns a key.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Windows of a fixed length, and where they start after Thursday, the first of January 1970.
+FIXED = {"daily": ("1 day", "0 days"), "weekly": ("7 days", "4 days")}
 LENGTHS = {"daily": "interval 1 day", "weekly": "interval 7 days", "monthly": "interval 1 month"}
 
 
@@ -112,11 +115,17 @@ def stream_features(rows: DataFrame, window: str = "weekly", by: Sequence[str] =
     """``extract_features`` of a stream."""
     by, cols, acts, labelled = list(by), measure_columns(rows), activity_columns(rows), "anomaly_label" in rows.columns
     keys = [*by, "entity_id", "window_start"]
-    processor = WindowFeatures(keys, cols, acts, labelled)
     at = rows.where(F.col("ts").isNotNull()).withColumn("__at", event_time()).withWatermark("__at", delay)
+    missing, *anomaly = record_flags(rows, by)
+    if window in FIXED:
+        length, offset = FIXED[window]
+        flags = [missing.alias("__missing"), *[a.alias("__anomaly") for a in anomaly]]
+        records = at.select(*[F.col(f"`{c}`") for c in [*by, "entity_id", *cols]], "__at", *flags)
+        days = records.groupBy(*by, "entity_id", F.window("__at", length, length, offset).alias("__window")).agg(*window_aggregates(cols, acts, labelled))
+        return finished(days.withColumn("window_start", utc_wall_time("__window.start")).drop("__window"), by, cols, acts, labelled, metadata)
+    processor = WindowFeatures(keys, cols, acts, labelled)
     start = window_floor("ts", window)
     ends = F.unix_millis(event_time(start + F.expr(LENGTHS[window])))
-    missing, *anomaly = record_flags(rows, by)
     flags = [missing.alias("missing"), *[a.cast("int").alias("anomaly") for a in anomaly]]
     records = at.select(*[F.col(f"`{c}`") for c in [*by, "entity_id", *cols]], start.alias("window_start"), ends.alias("end_ms"), "__at", *flags)
     kinds = {k: records.schema[k].dataType.simpleString() for k in keys}

@@ -70,3 +70,17 @@ def test_a_window_without_values(spark, tmp_path):
     run(stream.stream_features(live, "daily"), tmp_path)
     want = extract_features(spark.createDataFrame([("a", START, None, None, None, None)], SCHEMA), "daily")
     assert difference(spark.read.schema(want.schema).parquet(str(tmp_path / "out")).toPandas(), want.toPandas()) is None
+
+
+def test_windows_of_every_length_equal_the_batch(spark, tmp_path):
+    """Days and weeks are aggregated by the engine, without a call of Python per entity-window; months keep their rows in a processor."""
+    rows, path = records(4, n=120, days=45), str(tmp_path / "in")
+    deliver(spark, rows + closing(200), path)
+    live = stream.read_activity_stream(spark, path, SCHEMA)
+    for window in ("daily", "weekly", "monthly"):
+        result = stream.stream_features(live, window, delay="30 days")
+        assert ("TransformWithState" in result._jdf.queryExecution().analyzed().toString()) == (window == "monthly")
+        run(result, tmp_path / window)
+        want = extract_features(spark.createDataFrame(rows, SCHEMA), window)
+        got = spark.read.schema(want.schema).parquet(str(tmp_path / window / "out"))
+        assert difference(got.select(want.columns).toPandas(), want.toPandas()) is None
