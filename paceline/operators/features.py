@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,9 @@ from paceline.session import cut
 
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 # above this many rows a single (entity, window) no longer fits one aggregation buffer
-HOT_GROUP_ROWS = 2_000_000
+HOT_GROUP_ROWS = 500_000
+# groups are first counted together in so many buckets: a group is only looked at where its whole bucket is that large
+BUCKETS = 65_536
 
 
 def _same_keys(keys: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
@@ -28,7 +30,11 @@ def _same_keys(keys: Sequence[str], left: DataFrame, right: DataFrame) -> Column
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """Keys of the groups larger than ``limit`` (at most rows/limit of them), None if there are none."""
-    hot = cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys))
+    placed = df.withColumn("__b", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(BUCKETS)))
+    crowded = cut(placed.groupBy("__b").agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select("__b"))  # at most rows/limit
+    if not crowded.limit(1).count():
+        return None
+    hot = cut(placed.join(F.broadcast(crowded), "__b").groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys))
     return hot if hot.limit(1).count() else None
 
 
@@ -51,6 +57,25 @@ def _percentiles(cols: Sequence[str], approximate: bool = False) -> list[Column]
     return [F.expr(percentile.format(c) + f" AS `__q_{c}`") for c in cols]
 
 
+def _in_one_aggregate(cols: Sequence[str], acts: Sequence[str], labelled: bool) -> tuple[Callable[[str], str], Callable[[str, int], str]]:
+    """What ``_columns`` needs, spelled as aggregates of the records. A window's quantiles come from the ordered list of its present values, interpolated as
+    ``percentile`` does: windows are many and mostly small, and a list is far less to set up than a ``percentile`` a column."""
+    named = {"n_records": "count(1)", "n_missing": "cast(sum(__missing) AS BIGINT)"}
+    for c in cols:
+        named |= {f"{c}_mean": f"avg(`{c}`)", f"{c}_std": f"stddev_samp(`{c}`)", f"{c}_min": f"min(`{c}`)", f"{c}_max": f"max(`{c}`)"}
+    named |= {f"__sum_{c}": f"coalesce(sum(`{c}`), 0.0D)" for c in acts}
+    if labelled:
+        named["anomaly_count"] = "count_if(__anomaly)"
+
+    def quantile(c: str, i: int) -> str:
+        value = f"cast(`{c}` AS DOUBLE)"
+        place = f"({QUANTILES[i]}D * (count({value}) - 1))"
+        a, b = (f"get(sort_array(collect_list({value})), cast({end}({place}) AS INT))" for end in ("floor", "ceil"))
+        return f"if({a} = {b}, {a}, (ceil({place}) - {place}) * {a} + ({place} - floor({place})) * {b})"
+
+    return named.__getitem__, quantile
+
+
 def window_aggregates(cols: Sequence[str], acts: Sequence[str], labelled: bool) -> list[Column]:
     """What ``finished`` needs of a window's records, given as ``windowed`` gives them."""
     return _mergeable(cols, acts, labelled) + _percentiles(cols)
@@ -80,26 +105,38 @@ def windowed(df: DataFrame, window: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def finished(grouped: DataFrame, by: Sequence[str], cols: Sequence[str], acts: Sequence[str], labelled: bool, metadata: dict[str, str]) -> DataFrame:
-    """The feature columns, in their order, from the aggregates of each group."""
+def _columns(
+    by: Sequence[str], cols: Sequence[str], acts: Sequence[str], labelled: bool, metadata: dict[str, str],
+    of: Callable[[str], str] = "`{}`".format, quantile: Callable[[str, int], str] = "`__q_{}`[{}]".format,
+) -> list[tuple[str, str]]:
+    """The feature columns in their order, each with the SQL that makes it of the aggregates, which ``of`` and ``quantile`` spell."""
     keys = [*by, "entity_id", "window_start"]
-    literal = {k: f"'{v}' AS {k}" for k, v in metadata.items()}
-    available = {*keys, *grouped.columns}
-    head = [
-        literal.get(c, c) if c not in by else c for c in FEATURE_METADATA[:8] if c in available or c in literal
-    ]
-    stats = []
+    literal = {k: f"'{v}'" for k, v in metadata.items()}
+    out = [(k, f"`{k}`") for k in by if k not in FEATURE_METADATA]
+    for c in FEATURE_METADATA[:8]:
+        if c in literal and c not in by:
+            out.append((c, literal[c]))
+        elif c in keys:
+            out.append((c, f"`{c}`"))
+        elif c in ("n_records", "n_missing"):
+            out.append((c, of(c)))
     for c in cols:
-        stats += [
-            f"`{c}_mean`", f"`{c}_std`", f"`{c}_min`", f"`{c}_max`", f"`__q_{c}`[2] AS `{c}_median`", f"`__q_{c}`[0] AS `{c}_p10`",
-            f"`__q_{c}`[4] AS `{c}_p90`", f"`__q_{c}`[3] - `__q_{c}`[1] AS `{c}_iqr`",
-            f"if(`{c}_mean` <> 0, `{c}_std` / `{c}_mean`, NULL) AS `{c}_cv`",
+        mean, std = of(f"{c}_mean"), of(f"{c}_std")
+        out += [
+            (f"{c}_mean", mean), (f"{c}_std", std), (f"{c}_min", of(f"{c}_min")), (f"{c}_max", of(f"{c}_max")),
+            (f"{c}_median", quantile(c, 2)), (f"{c}_p10", quantile(c, 0)), (f"{c}_p90", quantile(c, 4)),
+            (f"{c}_iqr", f"{quantile(c, 3)} - {quantile(c, 1)}"), (f"{c}_cv", f"if({mean} <> 0, {std} / {mean}, NULL)"),
         ]
-    total = " + ".join(f"`__sum_{c}`" for c in acts)
-    ratios = [f"if({total} > 0, `__sum_{c}` / ({total}), NULL) AS `ratio_{c}`" for c in acts]
-    tail = ["anomaly_count", "anomaly_count / n_records AS anomaly_rate"] if labelled else []
-    extra = [f"`{k}`" for k in by if k not in FEATURE_METADATA]
-    return grouped.selectExpr(*extra, *head, *stats, *ratios, *tail)
+    total = " + ".join(of(f"__sum_{c}") for c in acts)
+    out += [(f"ratio_{c}", f"if({total} > 0, {of(f'__sum_{c}')} / ({total}), NULL)") for c in acts]
+    if labelled:
+        out += [("anomaly_count", of("anomaly_count")), ("anomaly_rate", f"{of('anomaly_count')} / {of('n_records')}")]
+    return out
+
+
+def finished(grouped: DataFrame, by: Sequence[str], cols: Sequence[str], acts: Sequence[str], labelled: bool, metadata: dict[str, str]) -> DataFrame:
+    """The feature columns, in their order, from the aggregates of each group."""
+    return grouped.selectExpr(*[f"{made} AS `{name}`" for name, made in _columns(by, cols, acts, labelled, metadata)])
 
 
 def extract_features(
@@ -126,19 +163,26 @@ def extract_features(
     work = windowed(df, window, by)
     aggs = _mergeable(cols, acts, labelled)
 
-    quantiles = _percentiles(cols, approximate)
+    of, quantile = _in_one_aggregate(cols, acts, labelled)
+    columns = _columns(by, cols, acts, labelled, metadata, of, quantile)
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        if approximate:
+            return finished(rows.groupBy(*keys).agg(*aggs, *_percentiles(cols, True)), by, cols, acts, labelled, metadata)
+        # records travel once and plain: lists do not get smaller before a shuffle
+        together = rows.repartition(*[F.col(f"`{k}`") for k in keys]).groupBy(*keys)
+        made = together.agg(*[F.expr(f"{sql} AS `{name}`") for name, sql in columns if name not in keys])
+        return made.select(*[F.col(f"`{name}`") for name, _ in columns])
+
     hot = None
     if hot_group_rows is not None and not approximate and cols:
         work = cut(work)
         hot = hot_groups(work, keys, hot_group_rows)
     if hot is None:
-        grouped = work.groupBy(*keys).agg(*aggs, *quantiles)
-    else:
-        cond = _same_keys(keys, work, hot)
-        ordinary, crowded = work.join(hot, cond, "left_anti"), cut(work.join(hot, cond, "left_semi"))
-        grouped = ordinary.groupBy(*keys).agg(*aggs, *quantiles).unionByName(_hot_features(crowded, keys, cols, aggs))
-
-    return finished(grouped, by, cols, acts, labelled, metadata)
+        return gathered(work)
+    cond = _same_keys(keys, work, hot)
+    ordinary, crowded = work.join(hot, cond, "left_anti"), cut(work.join(hot, cond, "left_semi"))
+    return gathered(ordinary).unionByName(finished(_hot_features(crowded, keys, cols, aggs), by, cols, acts, labelled, metadata))
 
 
 def activity_ratios(df: DataFrame, keys: Sequence[str]) -> DataFrame:
